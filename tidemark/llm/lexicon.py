@@ -51,3 +51,38 @@ OPENING_WORDS = {
 # --- fixed values: Thai company words around a name
 THAI_COMPANY_BEFORE = ("บริษัท", "ห้างหุ้นส่วน", "หจก.", "บจก.")
 THAI_COMPANY_AFTER = ("จก.", "จำกัด", "มหาชน")
+
+# --- fixed values: hesitation sounds by language; the last letter may be drawn out
+FILLERS = {
+    "en": "uh um erm hmm hm uhm er mm mhm".split(),
+    "de": "äh ähm öh öhm hm hmm".split(),
+    "es": "em eh ehm mmm eeh".split(),
+    "fr": "euh heu beuh hum euhm".split(),
+    "it": "ehm eeh uhm mmm".split(),
+    "pt": "ahn hã hum ééé hmm".split(),
+    "ru": "э-э эм ммм хм э-э-э".split(),
+    "ar": "اممم إممم همم آآآ".split(),
+    "hi": "उम्म उह अं हम्म".split(),
+    "ja": "あのー えー えーと えっと ええと うーん".split(),
+    "ko": "음 어 으음 흠".split(),
+    "zh": "嗯 呃 额 唔".split(),
+    "th": "อืม เอ่อ อ่า".split(),
+}
+# --- fixed values: names of sounds in annotations
+SOUNDS = (
+    "music|applause|laughter|laughs|laughing|coughs|coughing|cough|sighs|sigh|silence|noise|inaudible|crosstalk|cheering|clapping|chuckles|pause",
+    "musik|applaus|gelächter|hustet|husten|lachen|lacht|seufzt|stille|rauschen",
+    "música|aplausos|risas|tose|tos|suspira|silencio|ruido",
+    "musique|applaudissements|rires|il tousse|elle tousse|tousse|toux|soupir|silence|bruit",
+    "musica|applausi|risate|tossisce|tosse|sospira|silenzio|rumore",
+    "risos|tosse|suspiro|silêncio|ruído",
+    "музыка|аплодисменты|смех|кашляет|кашель|вздох|тишина|шум",
+    "موسيقى|تصفيق|ضحك|سعال|تنهد|صمت|ضوضاء",
+    "संगीत|तालियाँ|हँसी|खाँसी|शोर|सन्नाटा",
+    "音楽|拍手|笑い|笑い声|笑|咳|咳払い|雑音|沈黙",
+    "음악|박수|웃음|기침|한숨|소음|침묵",
+    "音乐|掌声|笑声|咳嗽|叹气|噪音|沉默|鼓掌",
+    "ดนตรี|เสียงดนตรี|เสียงเพลง|เสียงปรบมือ|เสียงหัวเราะ|เสียงไอ|เสียงรบกวน",
+)
+# --- fixed values: column entries that name nobody
+NOBODY = frozenset(["", "?", "??", "unknown", "n/a", "none", "null", "-", "unk", "speaker"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.chunking import split_oversized
 from tidemark.llm.leakage import find_leaks
 from tidemark.llm.sentences import split_sentences
+from tidemark.llm.turns import cast_of, clean_rows, speaker_turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,6 +61,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["p3_pieces"] = p3_pieces
 
 
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of clean speech."""
+    cast = cast_of(table(spark, sf_dir, "speaker_refs"), table(spark, sf_dir, "jobs"))
+    # only what the turns need goes into the shuffle
+    spoken = clean_rows(table(spark, sf_dir, "speaker_phrases"), cast).drop("clean")
+    return speaker_turns(spoken).select("ep", "first_idx", "last_idx", "speaker", "n_letters")
+
+
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a stretch of a test item."""
