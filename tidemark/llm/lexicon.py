@@ -86,3 +86,40 @@ SOUNDS = (
 )
 # --- fixed values: column entries that name nobody
 NOBODY = frozenset(["", "?", "??", "unknown", "n/a", "none", "null", "-", "unk", "speaker"])
+
+# --- fixed values: languages and the ways a label may spell them (codes, English and native names)
+LANGUAGE_NAMES = {
+    "ar": "ara arabic العربية",
+    "de": "deu ger german deutsch",
+    "en": "eng english",
+    "es": "spa spanish español castellano",
+    "fr": "fra fre french français",
+    "hi": "hin hindi हिन्दी",
+    "it": "ita italian italiano",
+    "ja": "jpn japanese 日本語",
+    "ko": "kor korean 한국어",
+    "pt": "por portuguese português",
+    "ru": "rus russian русский",
+    "th": "tha thai ไทย",
+    "zh": "zho chi chinese mandarin 中文",
+}
+# --- fixed values: labels that name no language
+NO_LANGUAGE = frozenset(["", "?", "??", "???", "n/a", "na", "none", "null", "unknown", "unk", "und", "mul", "mis", "zxx", "xx", "xxx", "-", "--", "other"])
+# --- fixed values: romanisation of Cyrillic
+CYRILLIC_LATIN = dict(
+    zip(
+        "абвгдеёжзийклмнопрстуфхцчшщъыьэюя",
+        "a b v g d e yo zh z i y k l m n o p r s t u f kh ts ch sh shch  y  e yu ya".split(" "),
+        strict=True,
+    )
+)
+# --- fixed values: romanisation of Devanagari: consonants, vowels, vowel signs
+DEVANAGARI_CONSONANTS = dict(
+    zip(
+        "कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसह",
+        "k kh g gh n ch chh j jh n t th d dh n t th d dh n p ph b bh m y r l v sh sh s h".split(),
+        strict=True,
+    )
+)
+DEVANAGARI_VOWELS = dict(zip("अआइईउऊऋएऐओऔऑ", "a aa i ee u oo ri e ai o au o".split(), strict=True))
+DEVANAGARI_SIGNS = dict(zip("ािीुूृेैोौॉंँः", "aa i ee u oo ri e ai o au o n n h".split(), strict=True))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunking import split_oversized
+from tidemark.llm.langid import identify, label_defects, training_texts
 from tidemark.llm.leakage import find_leaks
+from tidemark.llm.ppm import ByteModels
 from tidemark.llm.sentences import split_sentences
 from tidemark.llm.turns import cast_of, clean_rows, speaker_turns
 
@@ -75,3 +77,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a stretch of a test item."""
     found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.select("doc_id", "item_id")
+
+
+def language_models(spark: SparkSession, sf_dir: str) -> ByteModels:
+    """Byte models fitted on a bounded sample of phrases and units, whose languages the jobs state."""
+    units = table(spark, sf_dir, "translation_units")
+    texts = [(table(spark, sf_dir, "phrases"), "text", "source_lang"), (units, "source_text", "source_lang"), (units, "target_text", "target_lang")]
+    return ByteModels.fit(training_texts(table(spark, sf_dir, "jobs"), texts), order=4)
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a missing or wrong label, and the segments of mixed ones."""
+    segments = identify(table(spark, sf_dir, "documents"), language_models(spark, sf_dir))
+    return label_defects(segments).select("doc_id", "defect", "seg_no", "char_start", "lang")

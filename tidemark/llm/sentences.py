@@ -36,6 +36,7 @@ _THAI_EVENT = regex.compile(
 )
 _LEFT = regex.compile(r"[\p{L}\p{M}\p{N}.'’-]*$")
 _LEFT_LATIN = regex.compile(r"[\p{Latin}\p{N}.'’-]*$")
+_SPEAKER = regex.compile(r"(?:\[[^\]\n]*\]\s*)?\p{Lu}\p{Latin}*(?: \p{Lu}\p{Latin}*)?[:：]")
 # --- fixed values: German words before an ordinal number
 _BEFORE_ORDINAL = frozenset("am vom zum den der dem die das bis ab seit im jeden".split())
 _THAI = regex.compile(r"\p{Thai}")
@@ -226,7 +227,7 @@ def _after_pair(text: str, sent_start: int, i: int, j: int) -> bool:
     if head <= sent_start or (text[sent_start:head].rstrip(".)）、．").strip().isdigit()):
         kind = "start"
     elif text[head - 1] in ":：":
-        kind = "colon"
+        kind = "start" if _SPEAKER.fullmatch(text, sent_start, head) else "colon"
     else:
         kind = "mid"
     if c.isupper() or c in "¿¡":
