@@ -246,8 +246,8 @@ def identify(docs: DataFrame, models: ByteModels, fit: Fit = Fit()) -> DataFrame
                     end = parts[a + j - 1][1] if len(cuts) > 2 else len(t)
                     out.append((r, k, len(cuts) - 1, start, end, m.langs[path[i]], conf))
             rows = [o[0] for o in out]
-            got = pd.DataFrame([o[1:] for o in out], columns=["seg_no", "n_segments", "char_start", "char_end", "code", "confidence"])
-            got = got.astype({"seg_no": "int32", "n_segments": "int32", "char_start": "int32", "char_end": "int32", "code": "object", "confidence": "float64"})
+            got = pd.DataFrame([o[1:] for o in out], columns=["seg_no", "n_segments", "char_start", "char_end", "lang", "confidence"])
+            got = got.astype({"seg_no": "int32", "n_segments": "int32", "char_start": "int32", "char_end": "int32", "lang": "object", "confidence": "float64"})
             labels = pd.Series([label_code(x) for x in pdf["lang"].iloc[rows]], dtype=object)
             yield pd.concat([pdf[["doc_id"]].iloc[rows].reset_index(drop=True), labels.rename("label"), got], axis=1)
 
