@@ -123,3 +123,45 @@ DEVANAGARI_CONSONANTS = dict(
 )
 DEVANAGARI_VOWELS = dict(zip("अआइईउऊऋएऐओऔऑ", "a aa i ee u oo ri e ai o au o".split(), strict=True))
 DEVANAGARI_SIGNS = dict(zip("ािीुूृेैोौॉंँः", "aa i ee u oo ri e ai o au o n n h".split(), strict=True))
+
+# --- fixed values: texts that stand for a missing translation
+PLACEHOLDERS = frozenset(
+    "null none nil nan na n/a n.a undefined todo tbd tba fixme xxx empty blank missing no_translation untranslated placeholder".split()
+    + ["no translation", "not translated", "translation missing", "to be translated", "empty string", "no text", "no output", "lorem ipsum", "not available"]
+)
+# --- fixed values: words that frame a copied or translated text
+FRAMES = frozenset(
+    "translation translated übersetzung traducción traduction traduzione tradução перевод 翻訳 翻译 译文 번역 ترجمة الترجمة अनुवाद คำแปล"
+    " source original text output answer result target here is the".split()
+)
+# --- fixed values: how a translator declines, by language
+REFUSALS = (
+    r"(?:can'?t|can’t|cannot|can not|could not|unable to|won'?t be able to|won’t be able to|must decline|have to decline|decline to"
+    r"|(?:not|n[o'’]t) (?:feel )?comfortable|not have enough|n[o'’]t have enough|refuse to|not able to)\b[^.!?]{0,40}?\b(?:translat\w*|render\w*|process\w*|comply\w*|fulfil\w*"
+    r"|assist(?: you)? with|help(?: you)? with (?:that|this|your request)|provide (?:a |this |that )?(?:translation|text|content)|this (?:request|instruction|content|passage))",
+    r"as an? (?:ai|artificial intelligence|language model|large language model)\b",
+    r"against my (?:guidelines|policy|policies|programming)",
+    r"(?:no puedo|no me es posible|me es imposible|no soy capaz de|no podré|me niego a)[^.!?]{0,40}(?:traduc\w+|esa petición|esta petición|esa solicitud|esta solicitud|este contenido)|como (?:un )?modelo de lenguaje|como (?:una )?(?:ia|inteligencia artificial)\b",
+    r"(?:ne peux (?:pas|malheureusement pas)|ne puis|m'est impossible|m’est impossible|ne suis pas en mesure|refuse de)[^.!?]{0,40}(?:tradui\w+|traduction|cette demande|ce contenu)|en tant que modèle de langu\w+|en tant qu['’]ia\b",
+    r"(?:kann|darf|werde|möchte)[^.!?]{0,40}\b(?:nicht|keine)\b[^.!?]{0,30}(?:übersetz\w*|anfrage)|übersetzung[^.!?]{0,40}nicht möglich|(?:bei dieser anfrage|mit dieser anfrage) nicht|als (?:sprachmodell|ki)\b",
+    r"(?:non posso|non mi è possibile|mi è impossibile|non sono in grado|non riesco)[^.!?]{0,40}(?:tradu\w+|questa richiesta|questo contenuto)|(?:come|in quanto) modello linguistico|in qualità di modello",
+    r"(?:não posso|não consigo|não me é possível|é-me impossível|não sou capaz)[^.!?]{0,40}(?:traduz\w+|tradução|esse pedido|este pedido|deste conteúdo)|como (?:um )?modelo de linguagem",
+    r"(?:не могу|не смогу|не в состоянии|невозможно)[^.!?]{0,40}(?:перевест\w+|перевод\w*|эт(?:им|ой|у) (?:запрос\w*|просьб\w*)|с этим запросом)|перевод[^.!?]{0,40}(?:невозможен|не могу|не представляется)|как языковая модель|будучи языковой моделью",
+    r"翻訳(?:は|を|することは)?(?:でき|いたしかね|致しかね|お断り)|訳文[はを]?[^。]{0,12}(?:かねます|できません)|言語モデルとして|AIとして|お応えできません",
+    r"번역(?:문)?(?:을|를|은|는)?\s*(?:할|해 드릴|제공할|제공하기|제공해)[^.!?]{0,12}(?:없|어렵)|언어 모델(?:로서|이므로|로써)|그 요청은 도와",
+    r"(?:无法|不能|不便|难以|没法|拒绝)[^。！？]{0,8}(?:翻译|提供[^。！？]{0,8}(?:译文|翻译)|完成(?:这个|该|此)请求|处理(?:这个|该|此)请求)|作为(?:一个)?(?:AI|人工智能|语言模型|大?语言模型)",
+    r"(?:لا أستطيع|لا يمكنني|يتعذر علي|لا أقدر|غير قادر)[^.!؟]{0,30}(?:ترجم\w*|هذا الطلب|المحتوى)|بصفتي نموذج|كنموذج لغ",
+    r"अनुवाद[^।!?]{0,40}(?:नहीं (?:कर|दे)|संभव नहीं|असमर्थ)|भाषा मॉडल होने|अनुरोध में मदद नहीं",
+    r"ไม่สามารถ(?:แปล|ให้คำแปล|ช่วย(?:เหลือ)?(?:ใน|กับ|ตาม)?คำขอ)|ไม่อาจ(?:แปล|ให้คำแปล)|(?:แปล|คำแปล)[^.]{0,20}ไม่ได้|ในฐานะ(?:แบบจำลอง|โมเดล)ภาษา",
+)
+# --- fixed values: marks that may close a complete text
+TERMINAL = ".!?。！？؟।॥…‥"
+# --- fixed values: words that read the same in every language
+SHARED_WORDS = frozenset("ok okay tv dj vip ceo ai app wifi internet email www".split())
+# --- fixed values: pieces of words of which every refusal holds at least one
+REFUSAL_STEMS = (
+    "translat render process comply fulfil assist help provide request instruction content passage as a guideline policy policies programming"
+    " traduc petición solicitud contenido modelo de como tradui demande contenu modèle tant qu übersetz anfrage sprachmodell als ki"
+    " tradu richiesta contenuto modello pedido conteúdo перев запрос просьб языков 翻訳 訳文 モデル お応え aiとして 번역 언어 요청"
+    " 翻译 译文 请求 作为 ترجم الطلب المحتوى نموذج अनुवाद मॉडल अनुरोध แปล คำขอ โมเดล แบบจำลอง"
+).split()

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunking import split_oversized
-from tidemark.llm.langid import identify, label_defects, training_texts
+from tidemark.llm.langid import Fit, identify, label_defects, training_texts
 from tidemark.llm.leakage import find_leaks
+from tidemark.llm.pairs import Dictionaries, find_defects
 from tidemark.llm.ppm import ByteModels
 from tidemark.llm.sentences import split_sentences
 from tidemark.llm.turns import cast_of, clean_rows, speaker_turns
@@ -32,6 +33,27 @@ def job_langs(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     return table(spark, sf_dir, "jobs").select("ep", F.lower(F.trim(column)).alias("lang")).where("ep is not null").dropDuplicates(["ep"])
 
 
+def logged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ep, idx, line_id, source_text, target_text) of the logged translation lines."""
+    events = table(spark, sf_dir, "translate_events").select("ep", "idx", F.explode("pairs").alias("p"))
+    return events.select("ep", "idx", F.col("p.id").alias("line_id"), "p.source_text", "p.target_text")
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective logged lines with the type of their defect."""
+    jobs = table(spark, sf_dir, "jobs")
+    units = table(spark, sf_dir, "translation_units")
+    logged = logged_pairs(spark, sf_dir)
+    # the sources of two batches an episode add words that only the log has
+    sources = logged.where("idx < 2").select("ep", F.col("line_id").alias("idx"), "source_text")
+    texts = [(table(spark, sf_dir, "phrases"), "text", "source_lang"), (units, "target_text", "target_lang"), (sources, "source_text", "source_lang")]
+    samples = training_texts(jobs, texts, Fit(bytes_each=120_000))
+    langs = jobs.groupBy("ep").agg(*[F.first(F.lower(F.trim(c)), ignorenulls=True).alias(c) for c in ("source_lang", "target_lang")])
+    models = Dictionaries.fit(samples), ByteModels.fit(samples, order=4)
+    return find_defects(logged.join(langs, "ep", "left"), models, ["ep", "idx", "line_id"]).distinct()
+
+
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of the ASR phrases and of the translated units."""

@@ -12,6 +12,7 @@ sentences. Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,8 +35,6 @@ _EVENT = regex.compile(
 _THAI_EVENT = regex.compile(
     r"(?P<t>[!?。！？؟।॥｡.…‥]+)|(?P<q>[“„«「『‹《\"])|(?P<b>[(\[（【{［])|(?P<n>\n[^\S\n]*\n\s*)|(?P<l>\n[^\S\n]*(?=(?P<k>\d{1,3})[.)．、]))|(?P<w>\s+)"
 )
-_LEFT = regex.compile(r"[\p{L}\p{M}\p{N}.'’-]*$")
-_LEFT_LATIN = regex.compile(r"[\p{Latin}\p{N}.'’-]*$")
 _SPEAKER = regex.compile(r"(?:\[[^\]\n]*\]\s*)?\p{Lu}\p{Latin}*(?: \p{Lu}\p{Latin}*)?[:：]")
 # --- fixed values: German words before an ordinal number
 _BEFORE_ORDINAL = frozenset("am vom zum den der dem die das bis ab seit im jeden".split())
@@ -89,6 +88,19 @@ def _skip(text: str, i: int) -> int:
     return i
 
 
+def _token(text: str, lo: int, hi: int, latin: bool = False) -> str:
+    """The run of letters, marks, digits, full stops, apostrophes and hyphens that ends at hi."""
+    i = hi
+    while i > lo:
+        c = text[i - 1]
+        if not (c.isalnum() or c in ".'’-" or not c.isascii() and unicodedata.category(c)[0] == "M"):
+            break
+        if latin and ord(c) > 0x24F and c != "’":
+            break
+        i -= 1
+    return text[i:hi]
+
+
 def _dot_ends(text: str, start: int, dot: int, sent_start: int) -> bool:
     """Whether the single full stop at `dot` ends the sentence that began at `sent_start`."""
     n, after = len(text), dot + 1
@@ -98,7 +110,7 @@ def _dot_ends(text: str, start: int, dot: int, sent_start: int) -> bool:
     c = text[nxt]
     gap = nxt > after
     p = text[dot - 1] if dot > start else ""
-    tok = (_LEFT_LATIN if p.isascii() else _LEFT).search(text, max(sent_start, dot - 40), dot)[0]
+    tok = _token(text, max(sent_start, dot - 40), dot, p.isascii())
     if not gap:
         if not (c.isalpha() or c in "¿¡"):
             return False
@@ -124,10 +136,9 @@ def _dot_ends(text: str, start: int, dot: int, sent_start: int) -> bool:
     cased = c.isupper()
     if last in L.BEFORE_NUMBER and c.isdigit() or c in "№#":
         return False
-    if low in L.INSIDE:
+    if low in L.INSIDE or low == "co" and text.startswith(("KG", "Ltd", "Inc"), nxt):
         return False
-    before = _LEFT.search(text, max(sent_start, dot - 60), _rstrip(text, sent_start, dot - len(tok)))
-    prev = before[0].rstrip(".").lower() if before else ""
+    prev = _token(text, max(sent_start, dot - 60), _rstrip(text, sent_start, dot - len(tok))).rstrip(".").lower()
     if (prev.rpartition(".")[2], last) in L.INSIDE_PAIRS:
         return False
     if tok.isdigit() and prev in _BEFORE_ORDINAL:
@@ -154,9 +165,8 @@ def _dot_ends(text: str, start: int, dot: int, sent_start: int) -> bool:
         second = text[max(0, dot - 4) : dot]
         if second[:1].isupper() and second[1:3] == ". " and second[3:] == tok:
             head = _rstrip(text, sent_start, dot - 4)
-            left = _LEFT.search(text, max(sent_start, head - 30), head)
-            w = left[0] if left else ""
-            return bool(w) and w[0].isupper() and len(w) > 1 and c not in "(" and tok == "A" and cased
+            w = _token(text, max(sent_start, head - 30), head)
+            return bool(w) and w[0].isupper() and len(w) > 1 and tok == "A" and (cased or c in "¿¡«“")
         return False
     if p.isascii() and p.isalpha() and not cased and not c.isdigit() and c.isalpha():
         # Latin word before a caseless script: an abbreviation stays open, a sentence ends
