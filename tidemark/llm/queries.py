@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.chunking import split_oversized
 from tidemark.llm.langid import Fit, identify, label_defects, training_texts
 from tidemark.llm.leakage import find_leaks
+from tidemark.llm.mixing import mix_sources
 from tidemark.llm.pairs import Dictionaries, find_defects
 from tidemark.llm.ppm import ByteModels
 from tidemark.llm.sentences import split_sentences
@@ -101,6 +102,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+@query
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture, with their copies."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+@query
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def language_models(spark: SparkSession, sf_dir: str) -> ByteModels:
     """Byte models fitted on a bounded sample of phrases and units, whose languages the jobs state."""
     units = table(spark, sf_dir, "translation_units")
