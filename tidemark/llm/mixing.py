@@ -22,7 +22,7 @@ from tidemark.session import cut_lineage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # --- fixed values: how the byte-level vocabulary splits a text before merging
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @dataclass(frozen=True)
