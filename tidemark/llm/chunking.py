@@ -12,6 +12,7 @@ Null and blank texts and texts within the limit give no rows: they need no cut.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -117,7 +118,7 @@ def pieces(text: str | None, by_char: bool, lim: Limits) -> tuple[list[Piece], s
         if len(units) - at <= room:
             stop = len(units)
         else:
-            fits = [i for i, e in enumerate(ends) if at < e <= at + room]
+            fits = range(bisect_right(ends, at), bisect_right(ends, at + room))
             window = [i for i in fits if ends[i] - at >= lim.least_fill * room and i < len(depths)]
             if window:
                 stop = ends[max(window, key=lambda i: (depths[i], ends[i]))]

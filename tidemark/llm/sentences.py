@@ -195,24 +195,16 @@ def _close_of(text: str, i: int) -> int:
     o = text[i]
     if o == '"':
         return text.find('"', i + 1)
-    ends = PAIRS.get(o) or BRACKETS.get(o)
-    best = -1
-    for c in ends:
-        j = text.find(c, i + 1)
-        if j >= 0 and (best < 0 or j < best):
-            best = j
-    if best >= 0:
-        again = text.find(o, i + 1, best)
-        if again >= 0 and o not in "„“":  # nested pair of the same kind
-            inner = _close_of(text, again)
-            if inner == best:
-                nxt = -1
-                for c in ends:
-                    j = text.find(c, best + 1)
-                    if j >= 0 and (nxt < 0 or j < nxt):
-                        nxt = j
-                return nxt if nxt >= 0 else best
-    return best
+    ends = PAIRS.get(o) or BRACKETS[o]
+    first = min((j for c in ends if (j := text.find(c, i + 1)) >= 0), default=-1)
+    if first < 0 or o in "“„" or text.find(o, i + 1, first) < 0:
+        return first
+    depth = 0  # pairs of one kind inside each other
+    for m in regex.finditer("[" + regex.escape(o + ends) + "]", text, pos=i):
+        depth += 1 if m[0] == o else -1
+        if not depth:
+            return m.start()
+    return first
 
 
 def _after_pair(text: str, sent_start: int, i: int, j: int) -> bool:
@@ -260,6 +252,7 @@ def spans(text: str | None) -> list[tuple[int, int]]:
     start = _skip(text, 0)
     pos = start
     number = 1 if _LIST_START.match(text) else 0
+    lone: set[str] = set()  # openers without a closing mark in the rest of the text
     while True:
         m = event.search(text, pos)
         if m is None:
@@ -286,8 +279,9 @@ def spans(text: str | None) -> list[tuple[int, int]]:
                     else:
                         break
         elif kind in ("q", "b"):
-            j = _close_of(text, i)
+            j = -1 if m[0] in lone else _close_of(text, i)
             if j < 0:
+                lone.add(m[0])
                 continue
             pos = j + 1
             if _after_pair(text, start, i, j):
