@@ -56,7 +56,7 @@ MERGED = """run AS (SELECT *, sum(o) OVER (PARTITION BY ep ORDER BY s, e, idx) A
 part AS (SELECT *, sum(c) OVER (PARTITION BY ep, r ORDER BY s, e, idx) AS p FROM (
     SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY ep, r ORDER BY s, e, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 300 THEN 0 ELSE 1 END AS c FROM run)),
 merged AS (SELECT ep, min(s) AS s, max(e) AS e, min(speaker) AS speaker, count(*) AS n_rows, arg_min(idx, (s, e, idx)) AS idx FROM part GROUP BY ep, r, p)"""
-RANKS = """tot AS (SELECT ep, speaker, sum(e - s) AS total_ms FROM merged GROUP BY ep, speaker),
+RANKS = """tot AS (SELECT ep, speaker, CAST(sum(e - s) AS BIGINT) AS total_ms FROM merged GROUP BY ep, speaker),
 ranks AS (SELECT ep, speaker, total_ms, row_number() OVER (PARTITION BY ep ORDER BY total_ms DESC, speaker) - 1 AS rank
   FROM (SELECT *, sum(total_ms) OVER (PARTITION BY ep) AS al FROM tot) WHERE total_ms >= 0.01 * al OR al = 0)"""
 #: Unicode white space in RE2, which knows only the ASCII kind.

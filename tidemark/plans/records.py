@@ -138,7 +138,7 @@ def row_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.units(spark, sf_dir).select("ep", "idx", T.digest(F.col("ep"), F.col("idx"), F.col("s"), F.col("e")).alias("digest"))
 
 
-@query(f"""WITH {B.UNI}, r AS (SELECT ep, idx, 0.5 + (idx % 9) AS ratio FROM uni)
+@query(f"""WITH {B.UNI}, r AS (SELECT ep, idx, CAST(0.5 + (idx % 9) AS DOUBLE) AS ratio FROM uni)
 SELECT ep, idx, ratio, CASE WHEN ratio > 8 THEN 'atempo=2.0,atempo=2.0,atempo=2.0,' WHEN ratio > 4 THEN 'atempo=2.0,atempo=2.0,' WHEN ratio > 2 THEN 'atempo=2.0,' ELSE '' END
   || 'atempo=' || printf('%.5f', CASE WHEN ratio > 8 THEN ratio / 8.0 WHEN ratio > 4 THEN ratio / 4.0 WHEN ratio > 2 THEN ratio / 2.0 ELSE ratio END) AS filters FROM r""")
 def tempo_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,7 @@ def silence_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT ep, speaker, e - s AS len FROM (SELECT ep, speaker, s, lead(s) OVER (PARTITION BY ep, speaker ORDER BY s, e) AS e FROM (
     SELECT DISTINCT ep, speaker, CAST(round(end_s * 1000) AS BIGINT) AS s, CAST(round(end_s * 1000) AS BIGINT) AS e FROM speaker_phrases WHERE isfinite(end_s) AND speaker IS NOT NULL)) WHERE e > s),
-t AS (SELECT *, sum(len) OVER (PARTITION BY ep, speaker) AS total FROM s)
+t AS (SELECT *, sum(len) OVER (PARTITION BY ep, speaker)::BIGINT AS total FROM s)
 SELECT ep, speaker, len, total, least(len, 120) AS compressed, round(CASE WHEN total < 100 THEN len ELSE least(len * least(1.0 + 5000.0 / total, 2.0), 1500.0) END, 3) AS stretched FROM t""")
 def pause_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window

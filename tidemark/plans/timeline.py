@@ -23,7 +23,7 @@ def segment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {B.SEG}, {B.MERGED}, {B.RANKS}
-SELECT k.ep, k.speaker, k.total_ms, k.rank, coalesce(r.speaker, 'spk_' || k.rank) AS name
+SELECT k.ep, k.speaker, k.total_ms, CAST(k.rank AS INT) AS rank, coalesce(r.speaker, 'spk_' || k.rank) AS name
 FROM ranks k LEFT JOIN (SELECT DISTINCT ep, speaker, diar_label FROM speaker_refs) r ON r.ep = k.ep AND r.diar_label = k.speaker""")
 def speaker_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = LB.speaker_ranks(_merged(spark, sf_dir))
@@ -54,7 +54,7 @@ def handoff_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {B.SEG}, {B.MERGED}, {B.PHR}, {_CUTS}, {B.WRD},
-b AS (SELECT w.*, (SELECT count(*) FROM cuts c WHERE c.ep = w.ep AND c.idx = w.idx AND c.cut2 < w.ws + w.we) AS bucket
+b AS (SELECT w.*, (SELECT count(*) FROM cuts c WHERE c.ep = w.ep AND c.idx = w.idx AND c.cut2 < w.ws + w.we)::INT AS bucket
   FROM wrd w WHERE (w.ep, w.idx) IN (SELECT (ep, idx) FROM cuts))
 SELECT ep, idx, bucket, arg_min(ws, word_no) AS s, arg_max(we, word_no) AS e, count(*) AS n_words, string_agg(word, '' ORDER BY word_no) AS text
 FROM b GROUP BY ep, idx, bucket""")
@@ -96,7 +96,7 @@ def reference_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TURNS = """old AS (SELECT *, lag(speaker) OVER w AS psp, lag(e) OVER w AS pe, row_number() OVER w AS rn FROM uni WINDOW w AS (PARTITION BY ep ORDER BY idx)),
-turned AS (SELECT *, sum(CASE WHEN rn > 1 AND speaker IS NOT DISTINCT FROM psp AND s - pe <= 2500 THEN 0 ELSE 1 END) OVER (PARTITION BY ep ORDER BY idx) - 1 AS turn_id FROM old),
+turned AS (SELECT *, sum(CASE WHEN rn > 1 AND speaker IS NOT DISTINCT FROM psp AND s - pe <= 2500 THEN 0 ELSE 1 END) OVER (PARTITION BY ep ORDER BY idx)::BIGINT - 1 AS turn_id FROM old),
 turns AS (SELECT ep, turn_id, min(speaker) AS speaker, arg_min(s, idx) AS s, max(e) AS e, count(*) AS n_units FROM turned GROUP BY ep, turn_id)"""
 
 
