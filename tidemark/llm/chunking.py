@@ -68,19 +68,15 @@ def valley_depths(bags: list[Counter], block: int) -> list[float]:
         for b in bags[g : g + block]:
             right.update(b)
         sims.append(_cosine(left, right))
-    out = []
-    for i, s in enumerate(sims):
-        lo = hi = s
-        for j in range(i - 1, -1, -1):
-            if sims[j] < lo:
-                break
-            lo = sims[j]
-        for j in range(i + 1, len(sims)):
-            if sims[j] < hi:
-                break
-            hi = sims[j]
-        out.append((lo - s) + (hi - s))
-    return out
+    # the nearest peak to either side, reached without going down
+    left, right = sims[:], sims[:]
+    for i in range(1, len(sims)):
+        if sims[i - 1] >= sims[i]:
+            left[i] = left[i - 1]
+    for i in range(len(sims) - 2, -1, -1):
+        if sims[i + 1] >= sims[i]:
+            right[i] = right[i + 1]
+    return [(a - s) + (b - s) for a, b, s in zip(left, right, sims, strict=True)]
 
 
 @dataclass(frozen=True)
