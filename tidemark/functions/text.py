@@ -79,4 +79,4 @@ def ends_sentence(text: Column) -> Column:
 
 def round3(seconds: Column) -> Column:
     """Three decimals, half to even on the exact binary value."""
-    return F.format_number(seconds, "0.000").cast("double")
+    return F.call_function("format_number", seconds, F.lit("0.000")).cast("double")

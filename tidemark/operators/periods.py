@@ -158,7 +158,7 @@ def _cell_pieces(keys: list[str], bits: int):
                 yield from final(t.slice(0, done).combine_chunks(), gid[:done])
             held = t.slice(done).combine_chunks()
             if held.num_rows > HELD_ROWS:  # one cell of very many rows: its union is enough
-                held = emit(held, np.zeros(held.num_rows, np.int64)).combine_chunks()
+                held = emit(held, np.zeros(held.num_rows, np.int64)).cast(held.schema).combine_chunks()
         if held is not None and held.num_rows:
             yield from final(held, codes_of(held))
 
