@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -26,3 +27,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows, written once to the checkpoint folder and read from there afterwards."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over all cores, for a stage that is long in Python.
+
+    Rows move only where the plan has fewer partitions than the session has cores. Then the input is at
+    most cores times one split, so the move is small; a large input is left where it lies. Keys should
+    name the rows, so that no hot value makes one partition large.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
+def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """The dimension table marked for broadcast if it has at most `most_rows` rows, else as it is."""
+    return F.broadcast(df) if df.count() <= most_rows else df
