@@ -28,8 +28,8 @@ from tidemark.llm.sentences import spans
 class Fit:
     """Bounds of the fitted sample and the cost of a change of language."""
 
-    episodes: int = 60  # sampled of each language, as source and as target
-    rows: int = 40  # of an episode
+    episodes: int = 30  # sampled of each language, as source and as target
+    rows: int = 20  # of an episode
     longest: int = 2_000  # characters of a sampled row
     bytes_each: int = 60_000  # of sample text of each language
     order: int = 4
@@ -183,15 +183,20 @@ def training_texts(jobs: DataFrame, texts: list[tuple[DataFrame, str, str]], fit
     fit.episodes episodes are drawn by a hash, of each of those the first fit.rows rows, and fit.bytes_each
     bytes are kept; so at most 13 * fit.episodes * fit.rows rows of a table reach the driver.
     """
+    spark = jobs.sparkSession
+    roles = sorted({t[2] for t in texts})
+    named = jobs.select("ep", F.inline(F.array(*[F.struct(F.lit(c).alias("role"), F.lower(F.trim(c)).alias("lang")) for c in roles])))
+    named = named.where(F.col("lang").isin(*L.LANGUAGE_NAMES) & F.col("ep").isNotNull())
+    counts = named.groupBy("role", "lang").count().collect()  # a row for each role and language
+    rates = spark.createDataFrame([(r["role"], r["lang"], fit.episodes / r["count"]) for r in counts], "role string, lang string, rate double")
+    chance = F.pmod(F.xxhash64("ep", F.lit(fit.seed)), F.lit(1_000_000)) / 1_000_000
+    chosen = named.join(F.broadcast(rates), ["role", "lang"]).where(chance < F.col("rate")).select("role", "ep", "lang").distinct().collect()
     samples: dict[str, list[bytes]] = {}
-    for df, column, job_column in texts:
-        langs = jobs.select("ep", F.lower(F.trim(job_column)).alias("lang")).where(F.col("lang").isin(*L.LANGUAGE_NAMES)).distinct()
-        rates = langs.groupBy("lang").count().select("lang", (F.lit(float(fit.episodes)) / F.col("count")).alias("rate"))
-        chance = F.pmod(F.xxhash64("ep", F.lit(fit.seed)), F.lit(1_000_000)) / 1_000_000
-        # 13 rows of rates and about 13 * fit.episodes chosen episodes are small enough to broadcast
-        chosen = langs.join(F.broadcast(rates), "lang").where(chance < F.col("rate")).select("ep", "lang")
+    for df, column, role in texts:
+        # about 13 * fit.episodes chosen episodes are small enough to broadcast
+        eps = spark.createDataFrame([(r["ep"], r["lang"]) for r in chosen if r["role"] == role], "ep bigint, lang string")
         rows = df.where((F.col("idx") < fit.rows) & F.length(column).between(1, fit.longest)).select("ep", F.col(column).alias("text"))
-        for r in rows.join(F.broadcast(chosen), "ep").select("lang", "text").distinct().toLocalIterator():
+        for r in rows.join(F.broadcast(eps), "ep").select("lang", "text").collect():
             room = samples.setdefault(r["lang"], [])
             for s, e in spans(r["text"]):
                 room.append(plain(r["text"][s:e]))
