@@ -165,3 +165,5 @@ REFUSAL_STEMS = (
     " tradu richiesta contenuto modello pedido conteúdo перев запрос просьб языков 翻訳 訳文 モデル お応え aiとして 번역 언어 요청"
     " 翻译 译文 请求 作为 ترجم الطلب المحتوى نموذج अनुवाद मॉडल अनुरोध แปล คำขอ โมเดล แบบจำลอง"
 ).split()
+# --- fixed values: Thai vowels that are written before their consonant
+LEADING_VOWELS = ("เ", "แ", "โ", "ใ", "ไ")
