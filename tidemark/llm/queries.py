@@ -15,6 +15,7 @@ from tidemark.llm.pairs import Dictionaries, find_defects
 from tidemark.llm.ppm import ByteModels
 from tidemark.llm.sentences import split_sentences
 from tidemark.llm.turns import cast_of, clean_rows, speaker_turns
+from tidemark.session import small, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,7 +37,8 @@ def job_langs(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
 
 def logged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ep, idx, line_id, source_text, target_text) of the logged translation lines."""
-    events = table(spark, sf_dir, "translate_events").select("ep", "idx", F.explode("pairs").alias("p"))
+    events = spread(table(spark, sf_dir, "translate_events").select("ep", "idx", "pairs"), "ep", "idx")
+    events = events.select("ep", "idx", F.explode("pairs").alias("p"))
     return events.select("ep", "idx", F.col("p.id").alias("line_id"), "p.source_text", "p.target_text")
 
 
@@ -52,7 +54,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = training_texts(jobs, texts, Fit(bytes_each=120_000))
     langs = jobs.groupBy("ep").agg(*[F.first(F.lower(F.trim(c)), ignorenulls=True).alias(c) for c in ("source_lang", "target_lang")])
     models = Dictionaries.fit(samples), ByteModels.fit(samples, order=4)
-    return find_defects(logged.join(langs, "ep", "left"), models, ["ep", "idx", "line_id"]).distinct()
+    known = logged.join(small(langs), "ep", "left")
+    return find_defects(known, models, ["ep", "idx", "line_id"]).distinct()
 
 
 @query
@@ -60,7 +63,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of the ASR phrases and of the translated units."""
     found = None
     for name, text in (("phrases", "text"), ("translation_units", "target_text")):
-        part = split_sentences(table(spark, sf_dir, name), text, ["ep", "idx"]).select(F.lit(name).alias("record_type"), "*")
+        part = split_sentences(spread(table(spark, sf_dir, name).select("ep", "idx", text), "ep", "idx"), text, ["ep", "idx"]).select(F.lit(name).alias("record_type"), "*")
         found = part if found is None else found.unionByName(part)
     return found.distinct()
 
@@ -91,21 +94,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of clean speech."""
     cast = cast_of(table(spark, sf_dir, "speaker_refs"), table(spark, sf_dir, "jobs"))
     # only what the turns need goes into the shuffle
-    spoken = clean_rows(table(spark, sf_dir, "speaker_phrases"), cast).drop("clean")
+    rows = spread(table(spark, sf_dir, "speaker_phrases").select("ep", "idx", "start_s", "end_s", "text", "speaker"), "ep", "idx")
+    spoken = clean_rows(rows, small(cast, 50_000)).drop("clean")
     return speaker_turns(spoken).select("ep", "first_idx", "last_idx", "speaker", "n_letters")
 
 
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a stretch of a test item."""
-    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    found = find_leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), table(spark, sf_dir, "eval_items"))
     return found.select("doc_id", "item_id")
 
 
 @query
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mixture, with their copies."""
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+    return mix_sources(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id"), table(spark, sf_dir, "mix_targets"))[0]
 
 
 @query
@@ -124,5 +128,5 @@ def language_models(spark: SparkSession, sf_dir: str) -> ByteModels:
 @query
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a missing or wrong label, and the segments of mixed ones."""
-    segments = identify(table(spark, sf_dir, "documents"), language_models(spark, sf_dir))
+    segments = identify(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id"), language_models(spark, sf_dir))
     return label_defects(segments).select("doc_id", "defect", "seg_no", "char_start", "lang")
