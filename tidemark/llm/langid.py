@@ -36,6 +36,7 @@ class Fit:
     switch_bits: float = 30.0  # for a language that is new to a document
     known_bits: float = 4.0  # between languages that a document is known to hold
     seed: int = 11
+    slice_chars: int = 1_000_000  # of documents that are scored together; bounds a worker's memory
 
 
 LABELS = {name: code for code, names in L.LANGUAGE_NAMES.items() for name in (code, *names.split())}
@@ -216,6 +217,17 @@ def training_texts(jobs: DataFrame, texts: list[tuple[DataFrame, str, str]], fit
     return samples
 
 
+def slices(batches: Iterator[pd.DataFrame], chars: int) -> Iterator[pd.DataFrame]:
+    """The rows of the batches in slices of about `chars` characters of their text, at least one row each."""
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        at = np.cumsum([len(t) for t in pdf["text"]]) // chars
+        starts = np.concatenate([[0], np.nonzero(np.diff(at))[0] + 1, [len(pdf)]])
+        for a, b in zip(starts, starts[1:], strict=False):
+            yield pdf.iloc[a:b].reset_index(drop=True)
+
+
 def identify(docs: DataFrame, models: ByteModels, fit: Fit = Fit()) -> DataFrame:
     """Segments of every document with letters.
 
@@ -227,7 +239,7 @@ def identify(docs: DataFrame, models: ByteModels, fit: Fit = Fit()) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for pdf in batches:
+        for pdf in slices(batches, fit.slice_chars):
             parts, owner, plains = [], [], []
             for r, t in enumerate(pdf["text"]):
                 for s, e in _parts(t):
