@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.langid import slices
+
 # --- fixed values: seed masks (1: compared, 0: ignored)
 MASKS = ("110111011011110110111011", "101101111101101111011011")
 SPAN = 24
@@ -39,6 +41,7 @@ class Rule:
     substitutions: int = 0
     shown_substitutions: int = 2
     broadcast_bytes: int = 32 << 20
+    slice_chars: int = 1_000_000
 
     def needed(self, least: int) -> int:
         """Sampled windows on one diagonal that a stretch of `least` characters can't do without."""
@@ -193,7 +196,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idx = shared.value
-        for pdf in batches:
+        for pdf in slices(batches, rule.slice_chars):
             found = find_in_batch(list(pdf["text"]), idx, rule)
             yield pd.DataFrame(
                 {
@@ -214,7 +217,7 @@ def _by_join(docs: DataFrame, items: DataFrame, rule: Rule) -> DataFrame:
     doc_type, item_type = _types(docs, "doc_id"), _types(items, "item_id")
 
     def doc_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches, rule.slice_chars):
             codes, starts, row, off = _document_seeds(list(pdf["text"]), rule)
             for m in range(len(MASKS)):
                 h = seed_hashes(codes, starts[row] + off, m) if len(row) else np.empty(0, np.uint64)
