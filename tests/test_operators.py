@@ -13,13 +13,14 @@ from tidemark.operators import signal as G
 SEG = "ep bigint, idx int, s bigint, e bigint, speaker string"
 
 
-def test_merge_segments_against_a_loop(spark):
+@pytest.mark.parametrize("stretch", [600_000, 1500, 200])
+def test_merge_segments_against_a_loop(spark, stretch):
     rng = np.random.default_rng(3)
     rows = []
     for ep in range(20):
         for i in range(60):
             s = int(rng.integers(0, 20000))
-            rows.append((ep, i, s, s + int(rng.integers(1, 900)), str(rng.choice(["a", "b"]))))
+            rows.append((ep, i, s, s + int(rng.integers(1, 900) * (20 if i % 17 == 0 else 1)), str(rng.choice(["a", "b", "b", "b"]))))
     want = set()
     for ep in range(20):
         out = []
@@ -29,7 +30,7 @@ def test_merge_segments_against_a_loop(spark):
             else:
                 out.append([s, e, sp])
         want |= {(ep, *x) for x in out}
-    got = {(r["ep"], r["s"], r["e"], r["speaker"]) for r in I.merge_segments(spark.createDataFrame(rows, SEG)).collect()}
+    got = {(r["ep"], r["s"], r["e"], r["speaker"]) for r in I.merge_segments(spark.createDataFrame(rows, SEG), stretch_ms=stretch).collect()}
     assert got == want
 
 

@@ -135,6 +135,17 @@ def test_pipeline_converges(spark, sf):
     assert after <= before
 
 
+def test_spread_and_small(spark):
+    from tidemark.session import small, spread
+
+    one = spark.range(100).coalesce(1)
+    assert spread(one, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(100).repartition(16)
+    assert spread(many, "id") is many
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(many.join(small(one), "id")) and "broadcast" not in plan(many.join(small(one, 99), "id"))
+
+
 def test_checkpoint_setting(spark):
     from tidemark.session import checkpoint_dir
 

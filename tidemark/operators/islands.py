@@ -17,22 +17,51 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, na
     return flagged.withColumn(name, F.sum("_open").over(w.rowsBetween(UNBOUNDED, 0)) - 1).drop("_open")
 
 
-def merge_segments(segs: DataFrame, gap_ms: int = 300) -> DataFrame:
+def merge_segments(segs: DataFrame, gap_ms: int = 300, stretch_ms: int = 600_000) -> DataFrame:
     """Merge segments (ep, idx, s, e, speaker) with the merged one before them if the speaker is the same
     and the gap is below gap_ms; returns ep, s, e, speaker, n_rows and idx, the first row's.
 
     Order is start, end, idx. A run of one speaker is an island by itself; within it a segment opens a new
-    island when it starts gap_ms or more after the furthest end so far.
+    island when it starts gap_ms or more after the furthest end so far. An episode is worked in stretches
+    of time: what a stretch needs from those before it is the open run's speaker and furthest end, which
+    one row a stretch hands on, so an episode of any length is spread over many tasks.
     """
-    w = Window.partitionBy("ep").orderBy("s", "e", "idx")
-    runs = islands(segs.withColumn("_old", F.lag("speaker").over(w)), ["ep"], ["s", "e", "idx"], ~F.col("speaker").eqNullSafe(F.col("_old")), "_run")
-    r = Window.partitionBy("ep", "_run").orderBy("s", "e", "idx")
-    reach = runs.withColumn("_reach", F.max("e").over(r.rowsBetween(UNBOUNDED, -1)))
-    cut = islands(reach, ["ep", "_run"], ["s", "e", "idx"], F.col("s") - F.col("_reach") >= gap_ms, "_part")
+    order = ["s", "e", "idx"]
+    rows = segs.withColumn("_st", F.expr(f"s div {stretch_ms}"))
+    w = Window.partitionBy("ep", "_st").orderBy(*order)
+    rows = rows.withColumn("_old", F.lag("speaker").over(w))
+    rows = islands(rows, ["ep", "_st"], order, ~F.col("speaker").eqNullSafe(F.col("_old")), "_run")
+    # what each stretch hands on: its first and last speaker, and the furthest end of its last run
+    ends = rows.groupBy("ep", "_st", "_run").agg(F.max("e").alias("_far"), F.first("speaker").alias("_sp"))
+    facts = ends.groupBy("ep", "_st").agg(
+        F.min_by("_sp", "_run").alias("_first"), F.max_by("_sp", "_run").alias("_last"), F.max_by("_far", "_run").alias("_far"), F.max("_run").alias("_runs")
+    )
+    v = Window.partitionBy("ep").orderBy("_st")
+    facts = facts.withColumn("_before", F.lag("_last").over(v)).withColumn("_some", F.lag("_st").over(v).isNotNull())
+    goes_on = F.col("_some") & F.col("_first").eqNullSafe(F.col("_before"))
+    chained = islands(facts.withColumn("_on", goes_on), ["ep"], ["_st"], ~(F.col("_on") & (F.col("_runs") == 0)), "_chain")
+    chain = Window.partitionBy("ep", "_chain").orderBy("_st").rowsBetween(UNBOUNDED, 0)
+    known = chained.withColumn("_reached", F.max("_far").over(chain))
+    given = known.withColumn("_in", F.when(F.col("_on"), F.lag("_reached").over(v))).select("ep", F.col("_st"), "_in")
+
+    r = Window.partitionBy("ep", "_st", "_run").orderBy(*order)
+    reach = rows.join(given, ["ep", "_st"]).withColumn("_in", F.when(F.col("_run") == 0, F.col("_in")))
+    reach = reach.withColumn("_reach", F.greatest("_in", F.max("e").over(r.rowsBetween(UNBOUNDED, -1))))
+    reach = reach.withColumn("_opens", F.coalesce(F.col("s") - F.col("_reach") >= gap_ms, F.lit(True)))
+    cut = islands(reach, ["ep", "_st"], order, F.col("_opens"), "_part")
+    parts = cut.groupBy("ep", "_st", "_part").agg(
+        F.min("s").alias("s"), F.max("e").alias("e"), F.first("speaker").alias("speaker"), F.count("*").alias("n_rows"),
+        F.min_by("idx", F.struct(*order)).alias("idx"), F.min_by("_opens", F.struct(*order)).alias("_opens"),
+    )
+    # only the last part of a stretch and the first of the next ones can be one
+    edge = (F.col("_part") == 0) | (F.col("_part") == F.max("_part").over(Window.partitionBy("ep", "_st")))
+    placed = parts.withColumn("_place", F.when(edge, F.lit(-1)).otherwise(F.col("_st")))
+    joined = islands(placed, ["ep", "_place"], ["_st", "_part"], F.col("_opens"), "_whole")
+    at = F.struct("_st", "_part")
     return (
-        cut.groupBy("ep", "_run", "_part")
-        .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.first("speaker").alias("speaker"), F.count("*").alias("n_rows"), F.min_by("idx", F.struct("s", "e", "idx")).alias("idx"))
-        .drop("_run", "_part")
+        joined.groupBy("ep", "_place", "_whole")
+        .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.first("speaker").alias("speaker"), F.sum("n_rows").alias("n_rows"), F.min_by("idx", at).alias("idx"))
+        .drop("_place", "_whole")
     )
 
 

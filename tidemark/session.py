@@ -34,7 +34,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     Rows move only where the plan has fewer partitions than the session has cores. Then the input is at
     most cores times one split, so the move is small; a large input is left where it lies. Keys should
-    name the rows, so that no hot value makes one partition large.
+    name the rows, so that no hot value makes one partition large. `df` should be a scan: a plan with
+    shuffles would run them to learn its partitions.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
