@@ -59,6 +59,8 @@ def test_srt_and_listing(spark, tmp_path):
     assert blocks[0] == "1\n00:00:00,000 --> 00:00:01,500\nHi\n\n"
     media.write_srt(media.srt_rows(cues), str(tmp_path / "srt"))
     assert "00:00:02,000 --> 00:00:03,000" in next((tmp_path / "srt" / "ep=1").glob("*.txt")).read_text()
+    media.write_transcripts(spark.createDataFrame([(1, "host", "甲。乙")], "ep bigint, speaker string, transcript string"), str(tmp_path / "tr"))
+    assert next((tmp_path / "tr" / "ep=1" / "speaker=host").glob("*.txt")).read_text() == "甲。乙\n"
     names = spark.createDataFrame([("input.mp4",), ("input.mp4.part",), ("input.TMP",), ("x.mp4",)], "name string")
     assert [r["name"] for r in media.complete_inputs(names).collect()] == ["input.mp4"]
 

@@ -58,7 +58,10 @@ def fit_loop(chunks: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
         fitted = S.evaluate_timeline(measured(current).drop("n_words"))
         if n == rounds:
             return current, fitted
-        work = fitted.where("direction IS NOT NULL AND window > 0").select("ep", F.col("idx").cast("int").alias("turn_id"), "direction", (F.col("window") / F.col("fitted")).alias("ratio"))
+        # a fuller text can't help where every chunk is at the ceiling
+        room = current.groupBy("ep", F.col("turn_id").cast("bigint").alias("idx")).agg(F.min("n_words").alias("least"))
+        useful = (F.col("direction") == "tighter") | ((F.col("direction") == "fuller") & (F.col("least") < MAX_WORDS))
+        work = fitted.join(room, ["ep", "idx"]).where(useful & (F.col("window") > 0)).select("ep", F.col("idx").cast("int").alias("turn_id"), "direction", (F.col("window") / F.col("fitted")).alias("ratio"))
         joined = current.join(work, ["ep", "turn_id"], "left")
         floor = F.lit(1)
         fuller = F.least(F.lit(MAX_WORDS), F.greatest(floor, F.bround(F.col("n_words") * 1.07).cast("int")))

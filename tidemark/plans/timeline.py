@@ -222,3 +222,20 @@ def chunk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lim.select("ep", "total", k.alias("k")).select(
         "ep", F.col("k").cast("int").alias("chunk"), (F.col("k") * 100).alias("start"), F.least(F.lit(100), F.col("total") - F.col("k") * 100).alias("length")
     )
+
+
+@query()
+def turn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of the chunks: texts joined in order, the last chunk's end, number of parts."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("part_index", "text"))), lambda x: x["text"])
+    return S.turn_chunks(B.units(spark, sf_dir)).groupBy("ep", "turn_id").agg(
+        F.first("speaker").alias("speaker"), F.min("s").alias("s"), F.max_by("e", "part_index").alias("e"), F.concat_ws(" ", parts).alias("text"), F.count("*").alias("n_parts")
+    )
+
+
+@query(f"""WITH {B.UNI}, u AS (SELECT DISTINCT ep, speaker FROM uni WHERE speaker IS NOT NULL)
+SELECT ep, speaker FROM u WHERE NOT EXISTS (SELECT 1 FROM speaker_refs r WHERE r.ep = u.ep AND r.speaker = u.speaker)""")
+def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speakers of units without a reference."""
+    used = B.units(spark, sf_dir).where("speaker IS NOT NULL").select("ep", "speaker").distinct()
+    return used.join(table(spark, sf_dir, "speaker_refs").select("ep", "speaker").distinct(), ["ep", "speaker"], "left_anti")

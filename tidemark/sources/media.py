@@ -72,6 +72,12 @@ def write_srt(blocks: DataFrame, path: str) -> None:
     text.write.mode("overwrite").partitionBy("ep").text(path)
 
 
+def write_transcripts(rows: DataFrame, path: str) -> None:
+    """One text a speaker of an episode (ep, speaker, transcript), in folders by episode and speaker."""
+    out = rows.select("ep", "speaker", F.col("transcript").alias("value")).repartition("ep", "speaker")
+    out.write.mode("overwrite").partitionBy("ep", "speaker").text(path)
+
+
 def html_row(speaker: Column, colour: Column, text: Column) -> Column:
     """A report row with escaped text and the speaker's colour."""
     return F.concat(F.lit('<tr class="c'), colour.cast("string"), F.lit('"><td>'), html_escape(speaker), F.lit("</td><td>"), html_escape(text), F.lit("</td></tr>"))
