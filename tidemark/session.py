@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     """The dimension table marked for broadcast if it has at most `most_rows` rows, else as it is."""
     return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast that workers without the package can read: the value with the code of its classes."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(value: Broadcast) -> object:
+    """What `share` was given."""
+    return cloudpickle.loads(value.value)
