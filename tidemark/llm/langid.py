@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import lexicon as L
 from tidemark.llm.ppm import ByteModels
 from tidemark.llm.sentences import spans
+from tidemark.session import share, shared
 
 
 @dataclass(frozen=True)
@@ -235,10 +236,10 @@ def identify(docs: DataFrame, models: ByteModels, fit: Fit = Fit()) -> DataFrame
     models don't know, null for none), seg_no, n_segments, char_start, char_end, lang, confidence. A document in one
     language has one segment from offset 0. Null, empty and letterless texts give no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    given = share(docs.sparkSession, models)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m = shared(given)
         for pdf in slices(batches, fit.slice_chars):
             parts, owner, plains = [], [], []
             for r, t in enumerate(pdf["text"]):

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.langid import slices
+from tidemark.session import share, shared
 
 # --- fixed values: seed masks (1: compared, 0: ignored)
 MASKS = ("110111011011110110111011", "101101111101101111011011")
@@ -192,10 +193,10 @@ def _types(df: DataFrame, name: str) -> str:
 def _by_broadcast(docs: DataFrame, items: DataFrame, rule: Rule) -> DataFrame:
     rows = items.collect()  # bounded by rule.broadcast_bytes
     index = index_items([r["item_id"] for r in rows], [r["text"] for r in rows], [r["lang"] for r in rows], rule)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    given = share(docs.sparkSession, index)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idx = shared.value
+        idx = shared(given)
         for pdf in slices(batches, rule.slice_chars):
             found = find_in_batch(list(pdf["text"]), idx, rule)
             yield pd.DataFrame(

@@ -13,7 +13,6 @@ the whole episode, so a single long episode is spread over many tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -96,7 +95,6 @@ def _drawn(word: str) -> str:
     return regex.escape(word[:-1]) + "(?:" + regex.escape(word[-1]) + ")+"
 
 
-@lru_cache(maxsize=64)
 def _scanner(lang: str) -> regex.Pattern:
     words = sorted(L.FILLERS.get(lang, ()), key=len, reverse=True)
     fill = "|".join(_drawn(w) + (r"(?:-" + regex.escape(w[-1]) + "+)*" if "-" in w else "") for w in words) or r"(?!)"
@@ -183,13 +181,18 @@ def _near(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (x[:2] == y[1::-1] and x[2:] == y[2:])
 
 
+_SCANNERS: dict[str, regex.Pattern] = {}
+
+
 def clean(text: str | None, lang: str, roster: Roster) -> tuple[str, str | None, float | None]:
     """(clean speech, speaker named in front, time written in the text)."""
     if not text:
         return "", None, None
     kinds: list[str] = []
     parts: list[tuple[str, str | None]] = []
-    front, pos, scan = True, 0, _scanner(lang)
+    if lang not in _SCANNERS:
+        _SCANNERS[lang] = _scanner(lang)
+    front, pos, scan = True, 0, _SCANNERS[lang]
 
     def text_part(s: str) -> None:
         """A stretch without special tokens; in front of the speech it may begin with a name."""
