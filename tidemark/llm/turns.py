@@ -30,6 +30,7 @@ _OPEN, _CLOSE = r"[\[(<{【（［〈]", r"[\])>}】）］〉]"
 _SOUND = regex.compile(r"(?:(?:%s)(?:\s*\d+(?:[.,]\d+)?\s*(?:s|sec|秒|с)?)?[\s,;+&/]*)+" % "|".join(L.SOUNDS), regex.I)
 _LEAD_NAME = regex.compile(r"\s*(?:>>+|[-–—])?\s*(?P<n>[^\s:：\[\](){}<>—–][^:：\[\](){}<>—–]{0,38}?)(?:\s*[:：]|\s+[—–]|\s+-(?=\s))\s*")
 _LEAD_MARK = regex.compile(r"\s*(?:>>+|[-–—](?=\s))\s*")
+_TIME = regex.compile(r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:[.,](\d{1,3}))?")
 _BARE = regex.compile(r"[\p{L}\p{N}]")
 
 SPK, TIME, NOTE, FILL, SPEECH = range(5)
@@ -57,6 +58,8 @@ _LOOKS = {
 
 def viterbi(kinds: list[str]) -> list[int]:
     """Best labels of a sequence of token kinds; a bare clock time after speech is spoken."""
+    if kinds == ["text"]:
+        return [SPEECH]
     score, back = None, []
     for k in kinds:
         look = _LOOKS[k]
@@ -110,7 +113,7 @@ def _scanner(lang: str) -> regex.Pattern:
 
 
 def _seconds(mark: str) -> float | None:
-    m = regex.search(r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:[.,](\d{1,3}))?", mark)
+    m = _TIME.search(mark)
     if not m:
         return None
     a, b, c = int(m[1]), int(m[2]), m[3]
@@ -250,7 +253,7 @@ def clean(text: str | None, lang: str, roster: Roster) -> tuple[str, str | None,
             who = who or w
         elif label == TIME and at is None:
             at = _seconds(s)
-    return regex.sub(r"\s+", " ", " ".join(said)).strip(), who, at
+    return " ".join(" ".join(said).split()), who, at
 
 
 def letters(s: str) -> int:
