@@ -1,21 +1,19 @@
 """The stages end to end, with deterministic stand-ins for the model calls.
 
 Labels, translated units, turns and onset snapping are lazy plans; the fit loop measures, rewrites and
-measures again for at most three rounds and cuts its lineage after each, as its plan would double.
+measures again for at most three rounds, all in one stream over the turns of an episode.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import MAX_WORDS, tighter_budget
 from tidemark.operators import islands as I
 from tidemark.operators import labelling as LB
 from tidemark.operators import scans as S
 from tidemark.plans import base as B
 from tidemark.plans.registry import query
-from tidemark.session import cut_lineage
 
 MS_A_WORD = 400
 ROUNDS = 3
@@ -37,37 +35,22 @@ def snapped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("s", F.col("s") + shift).withColumn("e", F.greatest(F.col("e") + shift, F.col("s") + 1)).drop("snapped")
 
 
-def measured(chunks: DataFrame) -> DataFrame:
-    """Turns (ep, idx, cue, dur, pause, total, n_words) of chunks with a stand-in duration for their words."""
-    turns = chunks.groupBy("ep", F.col("turn_id").cast("bigint").alias("idx")).agg(
-        F.min("s").alias("cue"), F.max("e").alias("end"), F.sum("n_words").alias("n_words"), F.count("*").alias("parts")
-    )
-    dur = (F.col("n_words") * MS_A_WORD + (F.col("parts") - 1) * 150 + 100).cast("bigint")
-    total = turns.groupBy("ep").agg((F.max("end") + 500).alias("total"))
-    return turns.join(total, "ep").select("ep", "idx", "cue", dur.alias("dur"), (dur / 10).cast("bigint").alias("pause"), "total", "n_words")
+def spoken(counts: list[int]) -> tuple[int, int]:
+    """Stand-in duration of a turn with these words in its chunks, and what its pauses can save."""
+    dur = sum(counts) * MS_A_WORD + (len(counts) - 1) * 150 + 100
+    return dur, dur // 10
 
 
 def fit_loop(chunks: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(chunks, assessment) after at most `rounds` rewrites of the turns that miss their windows.
 
-    A stand-in translator meets its word budget exactly: too long turns get the window's share less 5 %,
-    too short ones 7 % more, within 1 and 275 words a chunk.
+    A stand-in translator meets its word budget exactly; budgets are those of `scans.rewrite_budgets`.
     """
-    current = cut_lineage(chunks)
-    for n in range(rounds + 1):
-        fitted = S.evaluate_timeline(measured(current).drop("n_words"))
-        if n == rounds:
-            return current, fitted
-        # a fuller text can't help where every chunk is at the ceiling
-        room = current.groupBy("ep", F.col("turn_id").cast("bigint").alias("idx")).agg(F.min("n_words").alias("least"))
-        useful = (F.col("direction") == "tighter") | ((F.col("direction") == "fuller") & (F.col("least") < MAX_WORDS))
-        work = fitted.join(room, ["ep", "idx"]).where(useful & (F.col("window") > 0)).select("ep", F.col("idx").cast("int").alias("turn_id"), "direction", (F.col("window") / F.col("fitted")).alias("ratio"))
-        joined = current.join(work, ["ep", "turn_id"], "left")
-        floor = F.lit(1)
-        fuller = F.least(F.lit(MAX_WORDS), F.greatest(floor, F.bround(F.col("n_words") * 1.07).cast("int")))
-        budget = F.when(F.col("direction") == "tighter", tighter_budget(F.col("n_words"), F.col("ratio"), floor)).when(F.col("direction") == "fuller", fuller)
-        current = cut_lineage(joined.withColumn("n_words", F.coalesce(budget, "n_words")).drop("direction", "ratio"))
-    raise AssertionError
+    # a window, as a join would compute the chunks twice
+    total = F.max("e").over(Window.partitionBy("ep")) + 500
+    fitted = S.fit_turns(chunks.select("ep", "turn_id", "part_index", "s", "n_words", total.alias("total")), rounds, spoken)
+    words = fitted.select("ep", F.col("idx").cast("int").alias("turn_id"), F.posexplode("counts").alias("part_index", "n_words"))
+    return chunks.drop("n_words").join(words, ["ep", "turn_id", "part_index"]), fitted.drop("counts")
 
 
 @query()
