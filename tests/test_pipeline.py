@@ -73,3 +73,16 @@ def test_budgets_between_samples():
     assert S.rewrite_budgets([30], 10_000, 20_000, False, None, ([30], 20_000)) == [14]
     assert S.rewrite_budgets([3], 2_600, 4_000, False, None, None) == [4] and S.rewrite_budgets([3], 2_400, 9_000, False, None, None) == [1]
     assert S.rewrite_budgets([0, 2], 9_000, 900, True, None, None) == [7, 14]
+
+
+def test_units_outside_the_window_are_left_out(spark, tmp_path):
+    unit = "ep bigint, idx int, start_s double, end_s double, speaker string, source_text string, target_text string"
+    rows = [(ep, i, i * 10.0, i * 10 + 2.0, "ab"[i % 2], "q", "one two") for ep in (1, 2, 3, 4) for i in range(4)]
+    spark.createDataFrame(rows, unit).write.parquet(f"{tmp_path}/translation_units.parquet")
+    spark.createDataFrame([(1, 20.0), (2, None), (3, 0.0)], "ep bigint, window_s double").write.parquet(f"{tmp_path}/jobs.parquet")
+    spark.createDataFrame([], "ep bigint, idx int, start_s double, end_s double, speaker string").write.parquet(f"{tmp_path}/diar_segments.parquet")
+    chunks = P.snapped_chunks(spark, str(tmp_path))
+    got = {(r["ep"], r["turn_id"]): r["total"] for r in chunks.collect()}
+    assert got == {(1, 0): 20_000, (1, 1): 20_000} | {(ep, t): 32_500 for ep in (2, 3, 4) for t in range(4)}
+    # the last turn's window runs to the horizon
+    assert {(r["ep"], r["start"] + r["window"]) for r in P.fit_loop(chunks)[1].where("ep = 1 AND idx = 1 OR ep = 2 AND idx = 3").collect()} == {(1, 19_750), (2, 32_250)}

@@ -1,7 +1,8 @@
-"""The stages end to end, with deterministic stand-ins for the model calls.
+"""The speech-fitting stage, with deterministic stand-ins for the model calls.
 
-Labels, translated units, turns and onset snapping are lazy plans; the fit loop measures, rewrites and
-measures again for at most three rounds, all in one stream over the turns of an episode.
+It starts from the given translated units: window filter, turns, onset snapping, and the fit loop, which
+measures, rewrites and measures again for at most three rounds in one stream over the turns of an episode.
+The stages before it (words, labels, references) and after it (placement, cues, gate) are separate queries.
 """
 
 from __future__ import annotations
@@ -13,18 +14,28 @@ from tidemark.operators import islands as I
 from tidemark.operators import labelling as LB
 from tidemark.operators import scans as S
 from tidemark.plans import base as B
-from tidemark.plans.registry import query
+from tidemark.plans.registry import query, table
 
 MS_A_WORD = 400
 ROUNDS = 3
 
 
+def units_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units that start before their job's window_s, where it has one, with `total`, the episode's horizon in
+    ms: the window, or the last unit's end and 500 ms."""
+    jobs = table(spark, sf_dir, "jobs").select("ep", F.when(F.col("window_s") != 0, (F.col("window_s") * 1000).cast("bigint")).alias("window")).distinct()
+    rows = B.units(spark, sf_dir).join(jobs, "ep", "left").where("window IS NULL OR s < window")
+    last = rows.groupBy("ep").agg(F.coalesce(F.max("window"), F.max_by("e", "idx") + 500).alias("total"))
+    return rows.drop("window").join(last, "ep")
+
+
 def snapped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turn chunks whose first parts start at a speech onset; turns without speech nearby are dropped.
+    """Turn chunks whose first parts start at a speech onset, with the horizon; turns without speech nearby are dropped.
 
     An episode without any diarized speech keeps its turns as they are.
     """
-    chunks = S.turn_chunks(B.units(spark, sf_dir))
+    units = units_in_window(spark, sf_dir)
+    chunks = S.turn_chunks(units.drop("total"))
     speech = I.merge_segments(B.segments(spark, sf_dir)).select("ep", "s", "e")
     first = chunks.where("part_index = 0").select("ep", "turn_id", "s")
     heard = speech.select("ep").distinct()
@@ -32,6 +43,7 @@ def snapped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     silent = first.join(heard, "ep", "left_anti").select("ep", "turn_id", F.col("s").alias("snapped"))
     kept = chunks.join(snapped.unionByName(silent), ["ep", "turn_id"])
     shift = F.when(F.col("part_index") == 0, F.col("snapped") - F.col("s")).otherwise(0)
+    kept = kept.join(units.select("ep", "total").distinct(), "ep")
     return kept.withColumn("s", F.col("s") + shift).withColumn("e", F.greatest(F.col("e") + shift, F.col("s") + 1)).drop("snapped")
 
 
@@ -46,8 +58,8 @@ def fit_loop(chunks: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
 
     A stand-in translator meets its word budget exactly; budgets are those of `scans.rewrite_budgets`.
     """
-    # a window, as a join would compute the chunks twice
-    total = F.max("e").over(Window.partitionBy("ep")) + 500
+    # without a horizon the last end counts: a window, as a join would compute the chunks twice
+    total = F.col("total") if "total" in chunks.columns else F.max("e").over(Window.partitionBy("ep")) + 500
     fitted = S.fit_turns(chunks.select("ep", "turn_id", "part_index", "s", "n_words", total.alias("total")), rounds, spoken)
     words = fitted.select("ep", F.col("idx").cast("int").alias("turn_id"), F.posexplode("counts").alias("part_index", "n_words"))
     return chunks.drop("n_words").join(words, ["ep", "turn_id", "part_index"]), fitted.drop("counts")
