@@ -1,5 +1,6 @@
 """Byte models against a plain PPM, held-out accuracy, labels and segments."""
 
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
@@ -72,6 +73,26 @@ def test_best_path():
     assert G.best_path(costs[:3], 20, 2).tolist() == [0, 0, 0]
 
 
+def test_inner_language_pays_once():
+    # 45 bits are won by an inner sentence: more than its entry, less than twice of it
+    costs = np.array([[1, 90, 90], [50, 5, 60], [1, 90, 90]], float)
+    assert G.best_path(costs, 30, 4).tolist() == [0, 1, 0]
+    costs[1, 0] = 38
+    assert G.best_path(costs, 30, 4).tolist() == [0, 0, 0]
+
+
+def test_best_path_against_all_paths():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        costs = rng.integers(0, 60, (5, 3)).astype(float)
+
+        def price(p):
+            new, changes = len(set(p)) - 1, sum(a != b for a, b in zip(p, p[1:]))
+            return sum(costs[i, j] for i, j in enumerate(p)) + 30 * new + 4 * (changes - new)
+
+        assert price(G.best_path(costs, 30, 4).tolist()) == min(price(p) for p in itertools.product(range(3), repeat=5))
+
+
 def test_romanise():
     assert G.romanise("Щука пьёт", "ru") == "shchuka pyot"
     assert G.romanise("युवा अभिनेता ने दूसरा", "hi") == "yuvaa abhinetaa ne doosaraa"

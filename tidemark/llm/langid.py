@@ -12,6 +12,7 @@ import random
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -130,16 +131,33 @@ def _parts(text: str) -> list[tuple[int, int]]:
 def best_path(costs: np.ndarray, switch: float, known: float) -> np.ndarray:
     """Language index of each sentence on the cheapest path.
 
-    A first pass finds the languages of the document, a second one places them at a lower price.
+    Each language beyond the first costs `switch` once, with one change; further changes cost `known`.
+    Sets of languages are tried in the order of what they cost at least.
     """
     best = costs.argmin(1)
     if (best == best[0]).all():
         return best
-    path = _viterbi(costs, switch)
-    held = np.unique(path)
-    if len(held) == 1:
-        return path
-    return held[_viterbi(costs[:, held], known)]
+
+    def priced(langs: np.ndarray) -> tuple[float, np.ndarray]:
+        path = langs[_viterbi(costs[:, langs], known)]
+        new = len(np.unique(path)) - 1
+        changes = int((path[1:] != path[:-1]).sum())
+        return float(costs[np.arange(len(path)), path].sum()) + switch * new + known * (changes - new), path
+
+    found = min(priced(np.array([costs.sum(0).argmin()])), priced(np.unique(_viterbi(costs, switch))), key=lambda x: x[0])
+    least = float(costs.min(1).sum())
+    size = 2
+    while size <= costs.shape[1] and least + switch * (size - 1) < found[0]:
+        # all sets of up to three languages, then one more to those of the best path
+        held = set(found[1].tolist())
+        sets = combinations(range(costs.shape[1]), size) if size <= 3 else [(*held, j) for j in range(costs.shape[1]) if j not in held]
+        bounds = sorted((float(costs[:, s].min(1).sum()) + switch * (len(s) - 1), s) for s in map(list, sets))
+        for bound, s in bounds:
+            if bound >= found[0]:
+                break
+            found = min(found, priced(np.array(s)), key=lambda x: x[0])
+        size += 1
+    return found[1]
 
 
 def _viterbi(costs: np.ndarray, switch: float) -> np.ndarray:
