@@ -70,3 +70,20 @@ def test_table(spark, models):
     got = {tuple(r) for r in P.find_defects(df, models, ["ep", "idx", "line_id"]).distinct().collect()}
     assert got == {(1, 0, 6, "empty"), (1, 0, 7, "empty"), (2, 0, 8, "wrong_language")}
     assert P.find_defects(df.limit(0), models, ["ep", "idx", "line_id"]).count() == 0
+
+
+LONG = "The host praised the first draft in the garden, and the guest read the second chapter aloud."
+FRAMED = "Here is the original text: "
+
+
+def test_framed_copy_of_middle_length(models):
+    d, _ = models
+    a, b = (P._PLAIN.sub("", t).casefold() for t in (LONG, FRAMED + LONG))
+    assert P.copy_cost(a, b) <= 0.35 and not P._covers(a, b)
+    assert P.is_copied(LONG, FRAMED + LONG, "en", "es", d)
+    assert not P.is_copied(LONG, "El presentador elogi\u00f3 mucho: " + LONG[:30], "en", "es", d)
+
+
+def test_equal_texts_are_cheap_but_for_short_ones():
+    assert all(P.copy_cost(LONG[:n], LONG[:n]) <= 0.35 for n in range(20, len(LONG)))
+    assert P.copy_cost(LONG[:12], LONG[:12]) > 0.35
