@@ -87,3 +87,10 @@ def test_framed_copy_of_middle_length(models):
 def test_equal_texts_are_cheap_but_for_short_ones():
     assert all(P.copy_cost(LONG[:n], LONG[:n]) <= 0.35 for n in range(20, len(LONG)))
     assert P.copy_cost(LONG[:12], LONG[:12]) > 0.35
+
+
+def test_known_words_are_no_name(models):
+    d, _ = models
+    margin = lambda t, g: 0.0
+    assert P.defect("Good Morning", "Good Morning", "en", "es", d, margin) == "copied"
+    assert P.defect("Tolubo Nanato", "Tolubo Nanato", "en", "es", d, margin) is None
