@@ -1,5 +1,7 @@
 """Defects of literal pairs."""
 
+from dataclasses import replace
+
 import pytest
 
 from tidemark.llm import pairs as P
@@ -94,3 +96,16 @@ def test_known_words_are_no_name(models):
     margin = lambda t, g: 0.0
     assert P.defect("Good Morning", "Good Morning", "en", "es", d, margin) == "copied"
     assert P.defect("Tolubo Nanato", "Tolubo Nanato", "en", "es", d, margin) is None
+
+
+def test_log_batches_are_a_bound_of_the_fit(spark, tmp_path):
+    from tidemark.llm.queries import PAIR_FIT, pair_samples
+
+    assert (PAIR_FIT.bytes_each, PAIR_FIT.batches) == (120_000, 2)
+    spark.createDataFrame([(1, "en", "es")], "ep bigint, source_lang string, target_lang string").write.parquet(f"{tmp_path}/jobs.parquet")
+    spark.createDataFrame([], "ep bigint, idx int, text string").write.parquet(f"{tmp_path}/phrases.parquet")
+    spark.createDataFrame([], "ep bigint, idx int, target_text string").write.parquet(f"{tmp_path}/translation_units.parquet")
+    events = [(1, i, [(0, f"Word {'abc'[i]}.", "x")]) for i in range(3)]
+    spark.createDataFrame(events, "ep bigint, idx int, pairs array<struct<id: int, source_text: string, target_text: string>>").write.parquet(f"{tmp_path}/translate_events.parquet")
+    got = {n: sorted(pair_samples(spark, str(tmp_path), replace(PAIR_FIT, batches=n)).get("en", [])) for n in (0, 1, 2)}
+    assert got == {0: [], 1: [b"word a"], 2: [b"word a", b"word b"]}

@@ -34,6 +34,7 @@ class Fit:
     rows: int = 20  # of an episode
     longest: int = 2_000  # characters of a sampled row
     bytes_each: int = 60_000  # of sample text of each language
+    batches: int = 2  # of an episode's translation log, for the pairs
     order: int = 4
     switch_bits: float = 30.0  # for a language that is new to a document
     known_bits: float = 4.0  # between languages that a document is known to hold

@@ -42,16 +42,24 @@ def logged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("ep", "idx", F.col("p.id").alias("line_id"), "p.source_text", "p.target_text")
 
 
+#: Bounds of the sample for the pairs.
+PAIR_FIT = Fit(bytes_each=120_000)
+
+
+def pair_samples(spark: SparkSession, sf_dir: str, fit: Fit = PAIR_FIT) -> dict[str, list[bytes]]:
+    """The sample of phrases, units and the sources of an episode's first fit.batches log batches, whose words only the log has."""
+    units = table(spark, sf_dir, "translation_units")
+    sources = logged_pairs(spark, sf_dir).where(F.col("idx") < fit.batches).select("ep", F.col("line_id").alias("idx"), "source_text")
+    texts = [(table(spark, sf_dir, "phrases"), "text", "source_lang"), (units, "target_text", "target_lang"), (sources, "source_text", "source_lang")]
+    return training_texts(table(spark, sf_dir, "jobs"), texts, fit)
+
+
 @query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective logged lines with the type of their defect."""
     jobs = table(spark, sf_dir, "jobs")
-    units = table(spark, sf_dir, "translation_units")
     logged = logged_pairs(spark, sf_dir)
-    # the sources of two batches an episode add words that only the log has
-    sources = logged.where("idx < 2").select("ep", F.col("line_id").alias("idx"), "source_text")
-    texts = [(table(spark, sf_dir, "phrases"), "text", "source_lang"), (units, "target_text", "target_lang"), (sources, "source_text", "source_lang")]
-    samples = training_texts(jobs, texts, Fit(bytes_each=120_000))
+    samples = pair_samples(spark, sf_dir)
     langs = jobs.groupBy("ep").agg(*[F.first(F.lower(F.trim(c)), ignorenulls=True).alias(c) for c in ("source_lang", "target_lang")])
     models = Dictionaries.fit(samples), ByteModels.fit(samples, order=4)
     known = logged.join(small(langs), "ep", "left")
