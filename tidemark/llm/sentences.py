@@ -1,10 +1,11 @@
 """Sentence boundaries across languages and scripts.
 
-Spaced scripts are cut by a terminator lattice: every run of end marks is a node, and what stands
-around it (abbreviation, number, quotation, bracket, case of the next word, opening words) decides
-whether the sentence path passes through it. Scripts without spaces are cut by their own marks; gaps
-without a mark (a blank in Thai, Japanese or Chinese text) are classified by a small word lattice that
-looks for a final particle on the left and an opening word on the right.
+Rules stand in for the lattices that the method names: no text is segmented by a dictionary, and no paths
+are scored. Spaced scripts are cut in one pass over the end marks: what stands around a mark
+(abbreviation, number, quotation, bracket, case of the next word, opening words) decides whether it ends
+the sentence. Scripts without spaces are cut by their own marks. A blank between Han or kana letters ends
+a sentence where a listed final particle stands before it and a listed opening word after it; a blank in
+Thai text ends one unless digits, Latin letters, full stops or a company's name are beside it.
 
 No language label is needed: the rules go by the letters next to a mark. Null and blank texts have no
 sentences. Offsets are code points, ends exclusive.
@@ -46,10 +47,10 @@ _SPACELESS_GAP = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}ー])\s+(?=
 
 
 def _lattice(text: str, words: frozenset[str] | list[str], at_end: bool) -> bool:
-    """True when a dictionary word of `words` covers the end (or start) of `text` on the best path.
+    """Whether a word of `words` stands at the end (or start) of `text`.
 
-    The lattice runs over the last or first eight characters; a dictionary word costs one step, an
-    unknown character two, so a listed particle wins over the characters it is made of.
+    At the end the cheapest path over the last eight characters decides, where a listed word costs one
+    step and an unknown character two; with so few words this comes close to `endswith`.
     """
     s = text[-8:] if at_end else text[:8]
     if not s:
