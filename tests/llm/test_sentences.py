@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.sentences import spans, split_sentences
+from tidemark.llm.sentences import Words, load_words, spans, split_sentences
 
 
 def cut(t):
@@ -49,6 +49,60 @@ def test_lists_wraps_and_missing_blanks():
     assert cut("See veda.example or v2.8.3 at 9:47.") == ["See veda.example or v2.8.3 at 9:47."]
 
 
+SPACELESS = [
+    ["我们看完了", "他走了"],
+    ["我昨天去了北京", "天气很好", "我们去了长城"],
+    ["私は学生です", "あなたは先生です"],
+    ["彼は来ました", "私は帰った"],
+]
+
+
+@pytest.mark.parametrize("sentences", SPACELESS, ids=range(len(SPACELESS)))
+def test_blanks_between_spaceless_letters(sentences):
+    assert [" ".join(sentences)[s:e] for s, e in spans(" ".join(sentences), load_words())] == sentences
+
+
+def test_word_lattice():
+    w = load_words()
+    assert w.gain("他走了吗", "但是我们还在", "none") > 0  # a particle and a connective need no mark
+    assert w.gain("他走了", "我们的家", "none") < 0
+    assert w.gain("新しい本を", "私は読んだ", "blank") < 0  # an object marker closes nothing
+    assert w.gain("我觉得今", "天气很好的", "blank") < w.gain("我觉得很好", "天气很好的", "blank")  # 今天 crosses the gap
+    assert w.gain("李", "明", "blank") < 0 and w.gain("他看了", "一本书的人", "break") < 0
+    assert Words.of({}).path("私は学生です")[-1] == 6 and load_words("/nowhere").costs
+
+
+def test_paths_choose_between_quotation_and_lone_mark():
+    assert cut('He said "Stop it! Now." and left. Bye.') == ['He said "Stop it! Now." and left.', "Bye."]
+    assert cut('It is 5" long. He left. She stayed.') == ['It is 5" long.', "He left.", "She stayed."]
+    assert cut("1. Go home at 2 p. m.\n2. Stay.") == ["1. Go home at 2 p. m.", "2. Stay."]
+
+
+def test_held_out_sentences_of_all_languages(spark, sf):
+    """Texts of one sentence each, joined by three, come apart again."""
+    sf = sf.replace("sf0.001", "sf0.01")  # the smallest tables lack some languages
+    jobs = spark.read.parquet(f"{sf}/jobs.parquet").selectExpr("ep", "lower(trim(target_lang)) lang").distinct()
+    units = spark.read.parquet(f"{sf}/translation_units.parquet").select("ep", "idx", "target_text").distinct().join(jobs, "ep")
+    by_lang = {}
+    for r in units.where("target_text is not null").orderBy("ep", "idx").collect():
+        t = " ".join(r["target_text"].split())
+        end = t[-1:] in ".!?。！？؟।" or r["lang"] == "th"
+        if len(spans(t)) == 1 and end and len(t) < 400 and any(c.isalpha() for c in t):
+            by_lang.setdefault(r["lang"], []).append(t)
+    true = found = both = 0
+    for lang, texts in by_lang.items():
+        for i in range(0, len(texts) - 2, 3):
+            want, at = set(), 0
+            joined = " ".join(texts[i : i + 3])
+            for t in texts[i : i + 3]:
+                want.add((at, at + len(t)))
+                at += len(t) + 1
+            got = set(spans(joined, load_words()))
+            true, found, both = true + len(want), found + len(got), both + len(want & got)
+    assert len(by_lang) >= 12 and true > 200
+    assert both >= 0.97 * true and both >= 0.97 * found
+
+
 def test_suspension_points():
     assert cut("The guest… left... The end...") == ["The guest… left... The end..."]
     assert cut("听众……改正了。好……") == ["听众……改正了。", "好……"]

@@ -3,8 +3,9 @@
 Sentences are the units. Blocks of sentences left and right of each gap are compared as bags of terms
 (words, or character pairs in scripts without spaces); a valley of that similarity marks a change of
 topic. Each piece ends at the deepest valley of its size window, and every piece after the first begins
-with the last words (or characters) of the piece before. A sentence that is itself over the limit is cut
-inside, at word ends. The core spans of the pieces tile the text, so nothing is lost.
+with the last words (or characters) of the piece before. A sentence that doesn't fit beside the overlap is
+cut inside: after the last mark inside the sentence (comma, semicolon, colon, dash) of the size window, else
+at a word end. The core spans of the pieces tile the text, so nothing is lost.
 
 Null and blank texts and texts within the limit give no rows: they need no cut.
 """
@@ -22,8 +23,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.sentences import spans
+from tidemark.llm.sentences import VOCABULARY, Words, load_words, spans
+from tidemark.session import share, shared
 
+#: Marks inside a sentence at which it may be cut.
+_CLAUSE = regex.compile(r"[,;:，、；：،؛—–]")
 _WORD = regex.compile(r"\S+")
 _CHAR = regex.compile(r"\S")
 
@@ -85,17 +89,19 @@ class Piece:
     core: int
     end: int
     size: int
+    cut: str  # where it ends: 'sentence' or 'inside' one
 
 
-def pieces(text: str | None, by_char: bool, lim: Limits) -> tuple[list[Piece], str]:
-    """The pieces of a text over the limit and how it is cut ('sentence' or 'inside'); ([], '') within it."""
+def pieces(text: str | None, by_char: bool, lim: Limits, words: Words | None = None) -> tuple[list[Piece], str]:
+    """The pieces of a text over the limit, and 'inside' if one of its sentences is itself over the limit,
+    else 'sentence'; ([], '') within it."""
     if not text:
         return [], ""
     most, overlap = (lim.chars, lim.overlap_chars) if by_char else (lim.words, lim.overlap_words)
     units = [m.span() for m in (_CHAR if by_char else _WORD).finditer(text)]
     if len(units) <= most:
         return [], ""
-    sents = spans(text)
+    sents = spans(text, words)
     # the number of units that end at or before each sentence end
     ends, k = [], 0
     for _, e in sents:
@@ -108,6 +114,7 @@ def pieces(text: str | None, by_char: bool, lim: Limits) -> tuple[list[Piece], s
     depths = valley_depths([_terms(text[s:e], by_char) for s, e in sents], lim.block)
     out: list[Piece] = []
     at, prev_start = 0, 0
+    whole = set(ends)
     while at < len(units):
         head = min(overlap, at - prev_start) if out else 0
         room = most - head
@@ -121,39 +128,55 @@ def pieces(text: str | None, by_char: bool, lim: Limits) -> tuple[list[Piece], s
             elif fits:
                 stop = ends[fits[-1]]
             else:
-                stop = at + room
+                stop = _clause_end(text, units, at + max(1, math.ceil(lim.least_fill * room)), at + room)
         first = at - head
-        out.append(Piece(units[first][0], units[at][0], units[stop - 1][1], stop - first))
+        out.append(Piece(units[first][0], units[at][0], units[stop - 1][1], stop - first, "sentence" if stop in whole else "inside"))
         prev_start, at = first, stop
     return out, cut
 
 
-def split_oversized(df: DataFrame, text: str, lang: Column, keys: list[str], limits: Limits = Limits()) -> DataFrame:
+def least_length(limits: Limits = Limits()) -> int:
+    """Characters below which no text can be over a limit."""
+    return min(2 * limits.words + 1, limits.chars + 1)
+
+
+def _clause_end(text: str, units: list[tuple[int, int]], low: int, high: int) -> int:
+    """The last number of units from low to high after which a clause ends, else high."""
+    for k in range(high, low - 1, -1):
+        if _CLAUSE.match(text, units[k - 1][1] - 1):
+            return k
+    return high
+
+
+def split_oversized(df: DataFrame, text: str, lang: Column, keys: list[str], limits: Limits = Limits(), vocabulary: str = VOCABULARY) -> DataFrame:
     """Pieces of every text over its limit.
 
-    Columns: keys, piece_no, char_start (with overlap), core_start, char_end, size, cut. A text over
+    Columns: keys, piece_no, char_start (with overlap), core_start, char_end, size, cut (of the piece:
+    'sentence' or 'inside') and text_cut ('inside' if a sentence of the text is itself over the limit). A text over
     either limit has more than 2 * words characters or more than `chars`; shorter ones are left out by a
     JVM filter before any text reaches Python. A null language counts words.
     """
-    least = min(2 * limits.words + 1, limits.chars + 1)
+    least = least_length(limits)
     base = df.select(
         *keys,
         F.col(text).alias("_text"),
         F.coalesce(F.lower(F.trim(lang)).isin(*limits.char_langs), F.lit(False)).alias("_by_char"),
     ).where(F.length("_text") >= least)
+    given = share(df.sparkSession, load_words(vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared(given)
         for pdf in batches:
             rows, cols = [], []
             for r, (t, by_char) in enumerate(zip(pdf["_text"], pdf["_by_char"], strict=True)):
-                found, cut = pieces(t, by_char, limits)
+                found, cut = pieces(t, by_char, limits, known)
                 for k, p in enumerate(found):
                     rows.append(r)
-                    cols.append((k, p.start, p.core, p.end, p.size, cut))
+                    cols.append((k, p.start, p.core, p.end, p.size, p.cut, cut))
             out = pdf[keys].iloc[rows].reset_index(drop=True)
-            names = ["piece_no", "char_start", "core_start", "char_end", "size", "cut"]
+            names = ["piece_no", "char_start", "core_start", "char_end", "size", "cut", "text_cut"]
             got = pd.DataFrame(cols, columns=names)
-            yield pd.concat([out, got.astype(dict.fromkeys(names[:-1], "int32") | {"cut": "object"})], axis=1)
+            yield pd.concat([out, got.astype(dict.fromkeys(names[:5], "int32") | {"cut": "object", "text_cut": "object"})], axis=1)
 
     schema = ",".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name[0] != "_")
-    return base.mapInPandas(run, schema + ", piece_no int, char_start int, core_start int, char_end int, size int, cut string")
+    return base.mapInPandas(run, schema + ", piece_no int, char_start int, core_start int, char_end int, size int, cut string, text_cut string")

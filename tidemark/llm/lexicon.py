@@ -22,8 +22,10 @@ INSIDE_PAIRS = frozenset(
 # --- fixed values: Arabic words that carry a sentence on after an abbreviation
 ARABIC_CONTINUES = frozenset(
     "في من إلى على عن مع قبل بعد عند أثناء خلال خلف قرب أمام تحت فوق بين منذ حتى حول ضد كما أمس اليوم غدا يوم هذا هذه"
-    " الأسبوع الشهر العام مساء صباحا ظهرا ليلا أيضا فقط ثم حيث التي الذي بشأن لمدة للنسخة لشركة".split()
+    " الأسبوع الشهر العام مساء صباحا ظهرا ليلا أيضا فقط ثم حيث التي الذي بشأن لمدة".split()
 )
+# --- fixed values: Arabic words with the letter lam that open a sentence, not a preposition with its noun
+ARABIC_LAM_OPENERS = ("لا", "لم", "لن", "لقد", "لكن", "ليس", "لماذا", "لذلك", "لهذا", "لدي", "لعل", "لو")
 # --- fixed values: Arabic connectives that open a sentence although their first word could carry one on
 ARABIC_OPENERS = (
     "في هذه الأثناء",
@@ -36,18 +38,22 @@ ARABIC_OPENERS = (
     "من ناحية أخرى",
     "من كان",
 )
-# --- fixed values: particles that close a sentence of a script written without spaces
-FINAL_PARTICLES = {
-    "ja": "です ます ました ません でした だ た よ ね か ください でしょう".split(),
-    "zh": "了 吗 吧 呢 的 啊 呀 么 内容 版本".split(),
-    "th": "ครับ ค่ะ คะ นะ ล่ะ หรือ แล้ว จริงๆ".split(),
-}
-# --- fixed values: words that open a sentence of a script written without spaces
-OPENING_WORDS = {
-    "ja": "しかし だから そして たとえば 例えば 結局 その頃 その後 また それで でも 正直 いつも 意外 誰 なんて".split(),
-    "zh": "不过 因此 所以 但是 然而 比如 与此同时 到最后 没想到 说实话 跟往常 后来 这是 谁 请 太 多好".split(),
-    "th": "แต่ ดังนั้น ในที่สุด ตัวอย่างเช่น ในเวลาเดียวกัน น่าแปลกที่ พูดตามตรง ตามเคย ใคร แล้ว เป็น".split(),
-}
+# --- fixed values: log odds that a sentence written without spaces ends after a word (Japanese, Chinese, Thai)
+FINAL_WORDS = (
+    (3.0, "です ます ました ません でした でしょう ましょう ください ですか ますか ましたか ですね ますね ですよ ますよ 吗 嗎 了吗"),
+    (2.0, "だ だった だよ だね ない よね かな わね 吧 呢 呀 啦 了吧 ครับ ค่ะ คะ นะคะ นะครับ"),
+    (1.0, "た る い よ ね か わ ぞ さ 了 啊 哦 的话 好了 นะ ล่ะ แล้ว"),
+    (-5.0, "は が を に で と の も へ や から まで より など って ので のに けど て し ば たり ながら その この あの どの"),
+    (-5.0, "和 与 與 及 或 在 把 被 从 從 对 對 跟 向 给 給 为 為 是 很 最 更 不 没 沒 一个 一個 这 那 这个 那个 的 地 得 所 以 而 且 但 因为 因為 如果 虽然 雖然"),
+)
+# --- fixed values: log odds that a sentence written without spaces begins with a word (Japanese, Chinese, Thai)
+OPENING_WORDS = (
+    (3.0, "しかし だから ところで つまり けれども ただし ところが 但是 不过 不過 所以 因此 然而 可是 于是 於是 另外 与此同时 與此同時 แต่ ดังนั้น"),
+    (1.5, "私は 私が 私たちは 僕は 俺は 彼は 彼女は 彼らは あなたは これは それは あれは ここは また でも そして それから それで それに 同時に 結局 実は いつものように 例えば たとえば もし なぜ どうして 今日は 昨日 明日 さて"),
+    (2.0, "然后 然後 而且 其实 其實 同时 同時 后来 後來 最后 最後 比如 比如说 例如 说实话 没想到 老实说"),
+    (1.5, "我 我们 我們 你 你们 你們 您 他 他们 他們 她 她们 它 它们 这是 這是 那是 大家 谁 請 请 为什么 為什麼 怎么 怎麼 如果 今天 昨天 明天 现在 現在 เรา ผม เขา ฉัน"),
+    (-5.0, "は が を に で と の も へ や です ます ました さん 的 了 着 著 过 過 们 們 吗 吧 呢 和 与 與 及 或 地 得"),
+)
 # --- fixed values: Thai company words around a name
 THAI_COMPANY_BEFORE = ("บริษัท", "ห้างหุ้นส่วน", "หจก.", "บจก.")
 THAI_COMPANY_AFTER = ("จก.", "จำกัด", "มหาชน")

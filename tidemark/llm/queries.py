@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.chunking import split_oversized
+from tidemark.llm.chunking import least_length, split_oversized
 from tidemark.llm.langid import Fit, identify, label_defects, training_texts
 from tidemark.llm.leakage import find_leaks
 from tidemark.llm.mixing import mix_sources
@@ -80,10 +80,10 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = table(spark, sf_dir, "translation_units")
     found = None
     for field, column in (("source_text", "source_lang"), ("target_text", "target_lang")):
-        # only long texts reach the join: no text under 551 characters can be over a limit
-        long = units.select("ep", "idx", F.col(field).alias("text")).where(F.length("text") >= 551)
+        # only long texts reach the join
+        long = units.select("ep", "idx", F.col(field).alias("text")).where(F.length("text") >= least_length())
         with_lang = long.join(job_langs(spark, sf_dir, column), "ep", "left")
-        part = split_oversized(with_lang, "text", F.col("lang"), ["ep", "idx"]).select("ep", "idx", F.lit(field).alias("field_name"), "piece_no", "char_start", "core_start", "char_end", "size", "cut")
+        part = split_oversized(with_lang, "text", F.col("lang"), ["ep", "idx"]).select("ep", "idx", F.lit(field).alias("field_name"), "piece_no", "char_start", "core_start", "char_end", "size", "cut", "text_cut")
         found = part if found is None else found.unionByName(part)
     return found.distinct()
 
@@ -91,7 +91,7 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields over the limit and how their text had to be cut."""
-    return p3_pieces(spark, sf_dir).where("piece_no = 0").select("ep", "idx", "field_name", "cut")
+    return p3_pieces(spark, sf_dir).where("piece_no = 0").select("ep", "idx", "field_name", F.col("text_cut").alias("cut"))
 
 
 QUERIES["p3_pieces"] = p3_pieces
