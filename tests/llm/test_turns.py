@@ -1,5 +1,6 @@
 """Clean speech and turns."""
 
+import itertools
 import random
 
 import pytest
@@ -19,6 +20,14 @@ CLEAN = [
     ("Zum Beispiel: der Gast hat (vgl. S. 4) öhhh gelobt.", "de", "Zum Beispiel: der Gast hat (vgl. S. 4) gelobt.", None, None),
     ("【laughter 7s】", "en", "", None, None),
     ("*تصفيق*", "ar", "", None, None),
+    ("um, Fufu Bokarin: Hello there", "en", "Hello there", "host", None),
+    ("[00:01] uh Fufu: Hi", "en", "Hi", "host", 1.0),
+    ("[Mifu Funabo] 02:06 - hmm... The reporter left. — Hmmm — Yes.", "en", "The reporter left. — Yes.", "guest", 126.0),
+    ("well uh-huh yes", "en", "well uh-huh yes", None, None),
+    ("[door slams] Who is it?", "en", "Who is it?", None, None),
+    ("He fell (gunshot) and died", "en", "He fell and died", None, None),
+    ("He left (see p. 9, vol. 3) at once (What a night!).", "en", "He left (see p. 9, vol. 3) at once (What a night!).", None, None),
+    ("We left at 00:02:10 and then 02:10 - it rained", "en", "We left at 00:02:10 and then 02:10 - it rained", None, None),
 ]
 
 
@@ -36,10 +45,49 @@ def test_labels(label, who):
     assert ROSTER.find(label) == who
 
 
-def test_viterbi_keeps_spoken_clock_times():
-    assert T.viterbi(["bare", "text"]) == [T.TIME, T.SPEECH]
-    assert T.viterbi(["text", "bare", "text"]) == [T.SPEECH] * 3
-    assert T.viterbi([]) == []
+def best_by_brute_force(model, kinds):
+    def score(states):
+        before, total = T.START, 0.0
+        for k, x in zip(kinds, states):
+            total += model.follows[before][x] + model.looks[k][x]
+            before = x
+        return total
+
+    best = max(itertools.product(range(T.START), repeat=len(kinds)), key=score)
+    return score(best), score
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_viterbi_equals_brute_force(seed):
+    rng = random.Random(seed)
+    kinds = tuple(rng.choice(T.KINDS) for _ in range(rng.randrange(1, 6)))
+    m = T.TurnModel.fit()
+    best, score = best_by_brute_force(m, kinds)
+    found = m.labels(kinds)
+    # the states behind the labels: the same label may stand before or in the speech
+    options = [[x for x in range(T.START) if T.STATES[x] == y] for y in found]
+    assert max(score(x) for x in itertools.product(*options)) == pytest.approx(best)
+
+
+def test_the_sequence_decides():
+    m = T.TurnModel.fit()
+    assert m.labels(("bare", "text")) == (T.TIME, T.SPEECH)
+    assert m.labels(("text", "bare", "text")) == (T.SPEECH,) * 3
+    assert m.labels(("fill", "name", "text")) == (T.FILL, T.SPK, T.SPEECH)
+    assert m.labels(()) == ()
+    # without transitions the same token has the same label everywhere
+    flat = T.TurnModel(m.looks, [[0.0] * T.START] * (T.START + 1))
+    assert flat.labels(("text", "bare", "text"))[1] == flat.labels(("bare", "text"))[0]
+
+
+def test_rows_that_label_themselves():
+    said = lambda text, start, label: T.self_labelled(text, "en", ROSTER, start, label, 1.5)
+    assert said("[00:02:02] Fufu: Hi um there", 121.0, "host") == [("clock", T.TIME), ("name", T.SPK), ("text", T.SPEECH), ("fill", T.FILL), ("text", T.SPEECH)]
+    assert said("Meet 00:09:47 at", 3.0, None) == [("text", T.SPEECH), ("bare", T.SPEECH), ("text", T.SPEECH)]
+    assert said("[00:02:02] Hi", 3.0, None) is None and said("[00:02:02] Hi", None, None) is None
+    assert said("Fufu: Hi", 1.0, "guest") is None and said("[door] Hi", 1.0, None) is None
+    more = T.TurnModel.fit([[("note", T.SPEECH), ("text", T.SPEECH)]] * 5000)
+    assert more.labels(("note", "text"))[0] == T.SPEECH  # rows outweigh the prior counts
 
 
 def loop(rows):
@@ -75,7 +123,7 @@ def test_table(spark):
     df = spark.createDataFrame(rows, "ep bigint, idx int, start_s double, end_s double, text string, speaker string, lang string")
     refs = spark.createDataFrame([(1, "host", "Fufu Bokarin", "spk_0"), (1, "guest", None, None), (None, "x", None, None)], "ep bigint, speaker string, display_name string, diar_label string")
     jobs = spark.createDataFrame([(1, "EN"), (2, None)], "ep bigint, source_lang string")
-    spoken = T.clean_rows(df, T.cast_of(refs, jobs))
+    spoken = T.clean_rows(df, T.cast_of(refs, jobs), T.fit_model(df, T.cast_of(refs, jobs)))
     got = sorted((tuple(r) for r in T.speaker_turns(spoken).select("ep", "first_idx", "last_idx", "speaker", "n_letters").collect()), key=str)
     assert got == [(1, 0, 1, "host", 10), (1, 4, 4, "guest", 4), (2, 0, 0, None, 4)]
     assert T.speaker_turns(T.clean_rows(df.limit(0), T.cast_of(refs, jobs))).count() == 0

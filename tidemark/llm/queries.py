@@ -14,7 +14,7 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.pairs import Dictionaries, find_defects
 from tidemark.llm.ppm import ByteModels
 from tidemark.llm.sentences import split_sentences
-from tidemark.llm.turns import cast_of, clean_rows, speaker_turns
+from tidemark.llm.turns import cast_of, clean_rows, fit_model, speaker_turns
 from tidemark.session import small, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,9 +101,10 @@ QUERIES["p3_pieces"] = p3_pieces
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of clean speech."""
     cast = cast_of(table(spark, sf_dir, "speaker_refs"), table(spark, sf_dir, "jobs"))
+    transcript = table(spark, sf_dir, "speaker_phrases").select("ep", "idx", "start_s", "end_s", "text", "speaker")
+    model = fit_model(transcript, cast)
     # only what the turns need goes into the shuffle
-    rows = spread(table(spark, sf_dir, "speaker_phrases").select("ep", "idx", "start_s", "end_s", "text", "speaker"), "ep", "idx")
-    spoken = clean_rows(rows, small(cast, 50_000)).drop("clean")
+    spoken = clean_rows(spread(transcript, "ep", "idx"), small(cast, 50_000), model).drop("clean")
     return speaker_turns(spoken).select("ep", "first_idx", "last_idx", "speaker", "n_letters")
 
 

@@ -1,9 +1,15 @@
 """Speech transcripts into clean, ordered speaker turns.
 
-Every row's text is scanned into tokens (clock times, bracketed notes, name prefixes, hesitation sounds,
-stretches of text). A sequence model over the labels speaker, timestamp, annotation, filler and speech
-scores each token by what it looks like and by the label before it (a name or a bare clock time only
-counts in front of the speech); Viterbi picks the best labelling and the speech tokens are the clean text.
+Every row's text is scanned into tokens: clock times, bracketed notes, name prefixes, hesitation sounds and
+stretches of text. A token's kind says only what it looks like (`KINDS`); which of the labels speaker,
+timestamp, annotation, filler and speech it gets is decided by a hidden Markov model over the whole row
+(`TurnModel`), whose states also know whether speech has begun: the same clock time is a time mark in front
+of the speech and spoken after it, and a name counts only in front. Viterbi picks the best labelling, and the
+speech tokens are the clean text.
+
+Emission and transition scores are estimated from counts: those of `PRIOR_*` and those of a bounded sample of
+rows that label themselves (`self_labelled`): a clock time that agrees with the row's start is a time mark, a
+name that agrees with the row's speaker names it.
 
 Rows then become turns: a row without a named speaker takes that of the last spoken row before. An
 episode is worked in stretches of time, and only the first and last runs of a stretch meet in a window of
@@ -12,7 +18,10 @@ the whole episode, so a single long episode is spread over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import lexicon as L
+from tidemark.session import share, shared
 
 #: Seconds of an episode that are worked together.
 STRETCH_S = 600
@@ -30,68 +40,101 @@ _OPEN, _CLOSE = r"[\[(<{【（［〈]", r"[\])>}】）］〉]"
 _SOUND = regex.compile(r"(?:(?:%s)(?:\s*\d+(?:[.,]\d+)?\s*(?:s|sec|秒|с)?)?[\s,;+&/]*)+" % "|".join(L.SOUNDS), regex.I)
 _LEAD_NAME = regex.compile(r"\s*(?:>>+|[-–—])?\s*(?P<n>[^\s:：\[\](){}<>—–][^:：\[\](){}<>—–]{0,38}?)(?:\s*[:：]|\s+[—–]|\s+-(?=\s))\s*")
 _LEAD_MARK = regex.compile(r"\s*(?:>>+|[-–—](?=\s))\s*")
+_NAME_END = regex.compile(r"[:：—–]|\s-\s")
 _TIME = regex.compile(r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:[.,](\d{1,3}))?")
 _BARE = regex.compile(r"[\p{L}\p{N}]")
+_LABEL_NOTE = regex.compile(r"\s*[(\[（][^)\]）]*[)\]）]\s*$")
+_LABEL_GAP = regex.compile(r"[\s_\-.]+")
+_NUMBERED = regex.compile(r"\D*?(\d+)")
+_REMARK = regex.compile(r"[.!?。！？؟।…\d]")
 
 SPK, TIME, NOTE, FILL, SPEECH = range(5)
-NO = -1e9
-# --- fixed values: log scores of a label after a label (row START is the last)
-_NEXT = (
-    # SPK  TIME  NOTE  FILL SPEECH
-    (-3.0, -1.0, -1.0, -1.0, -0.3),  # after SPK
-    (-1.0, -1.5, -1.0, -1.0, -0.3),  # after TIME
-    (-1.0, -1.0, -1.5, -1.0, -0.3),  # after NOTE
-    (NO, -1.0, -1.0, -1.5, -0.3),  # after FILL
-    (NO, -1.0, -1.0, -1.0, -0.5),  # after SPEECH
-    (-0.7, -1.0, -1.5, -1.5, -0.7),  # at the start
+#: Labels of the states: four before the speech, the speech, and three after it began.
+STATES = (SPK, TIME, NOTE, FILL, SPEECH, TIME, NOTE, FILL)
+START = len(STATES)
+#: What tokens look like: a clock time in brackets or as a range; one written bare, as at a line's head; a bracket
+#: with the name of a sound; a bracket with other words, square or round; one with end marks or digits; a name or
+#: role of the roster with a colon or dash; a mark of a new speaker; a hesitation sound; other text.
+KINDS = ("clock", "bare", "sound", "note", "aside", "remark", "name", "mark", "fill", "text")
+# --- fixed values: prior counts of the kinds by state
+PRIOR_KINDS = (
+    # clock bare sound note aside remark name mark fill text
+    (0.01, 0.01, 0.01, 0.3, 0.1, 0.01, 30.0, 8.0, 0.01, 0.3),  # speaker
+    (30.0, 10.0, 0.01, 0.1, 0.01, 0.01, 0.01, 0.01, 0.01, 0.01),  # time mark
+    (0.01, 0.01, 30.0, 8.0, 4.0, 0.05, 0.01, 0.01, 0.01, 0.01),  # annotation
+    (0.01, 0.01, 0.01, 0.01, 0.01, 0.01, 0.01, 0.01, 30.0, 0.01),  # filler
+    (0.01, 3.0, 0.01, 0.3, 1.0, 20.0, 0.2, 0.2, 0.2, 300.0),  # speech
+    (30.0, 0.05, 0.01, 0.1, 0.01, 0.01, 0.01, 0.01, 0.01, 0.01),  # time mark in the speech
+    (0.01, 0.01, 30.0, 8.0, 4.0, 0.05, 0.01, 0.01, 0.01, 0.01),  # annotation in the speech
+    (0.01, 0.01, 0.01, 0.01, 0.01, 0.01, 0.01, 0.01, 30.0, 0.01),  # filler in the speech
 )
-# --- fixed values: log scores of the labels by kind of token
-_LOOKS = {
-    "clock": (NO, 0.0, NO, NO, -9.0),
-    "bare": (NO, -1.0, NO, NO, -2.0),
-    "sound": (NO, NO, 0.0, NO, -9.0),
-    "name": (0.0, NO, NO, NO, -9.0),
-    "fill": (NO, NO, NO, 0.0, -9.0),
-    "text": (NO, NO, NO, NO, 0.0),
-}
-
-
-def viterbi(kinds: list[str]) -> list[int]:
-    """Best labels of a sequence of token kinds; a bare clock time after speech is spoken."""
-    if kinds == ["text"]:
-        return [SPEECH]
-    score, back = None, []
-    for k in kinds:
-        look = _LOOKS[k]
-        if score is None:
-            score = [_NEXT[5][j] + look[j] for j in range(5)]
-            back.append([0] * 5)
-            continue
-        now, frm = [], []
-        for j in range(5):
-            if look[j] <= NO:
-                now.append(NO)
-                frm.append(SPEECH)
-                continue
-            best, at = -1e18, SPEECH
-            for i in range(5):
-                v = score[i] + _NEXT[i][j]
-                if k == "bare" and j == TIME and i in (SPEECH, FILL):
-                    v = NO
-                if v > best:
-                    best, at = v, i
-            now.append(best + look[j])
-            frm.append(at)
-        score = now
-        back.append(frm)
-    if score is None:
-        return []
-    j = max(range(5), key=lambda x: score[x])
-    out = [j]
-    for frm in reversed(back[1:]):
-        j = frm[j]
-        out.append(j)
-    return out[::-1]
+_BEFORE, _AFTER = (6.0, 6.0, 3.0, 3.0, 20.0, 0.0, 0.0, 0.0), (0.001, 0.0, 0.0, 0.0, 20.0, 4.0, 4.0, 4.0)
+# --- fixed values: prior counts of the states by the state before; the last row is the start of a text
+PRIOR_NEXT = (_BEFORE, _BEFORE, _BEFORE, _BEFORE, _AFTER, _AFTER, _AFTER, _AFTER, _BEFORE)
+_NO = -1e9
+
+
+@dataclass(frozen=True)
+class TurnFit:
+    """Bounds of the self-labelled sample: at most episodes * rows rows of the transcript."""
+
+    episodes: int = 150
+    rows: int = 40
+    #: seconds by which a written time may differ from the row's start
+    near_s: float = 1.5
+    seed: int = 7
+
+
+@dataclass
+class TurnModel:
+    """Log probabilities of kinds by state (`looks`) and of states by the state before (`follows`)."""
+
+    looks: dict[str, list[float]]
+    follows: list[list[float]]
+    known: dict[tuple[str, ...], tuple[int, ...]] = field(default_factory=dict)
+
+    @classmethod
+    def fit(cls, rows: Iterable[list[tuple[str, int]]] = ()) -> TurnModel:
+        """The model of the prior counts and of rows of (kind, label)."""
+        kinds, nexts = np.array(PRIOR_KINDS), np.array(PRIOR_NEXT)
+        for row in rows:
+            before, spoken = START, False
+            for kind, label in row:
+                spoken = spoken or label == SPEECH
+                state = label + 4 if spoken and TIME <= label <= FILL else label
+                kinds[state, KINDS.index(kind)] += 1
+                nexts[before, state] += 1
+                before = state
+        with np.errstate(divide="ignore"):
+            look = np.log(kinds / kinds.sum(1, keepdims=True))
+            follow = np.maximum(np.log(nexts / nexts.sum(1, keepdims=True)), _NO)
+        return cls({k: look[:, i].tolist() for i, k in enumerate(KINDS)}, follow.tolist())
+
+    def labels(self, kinds: tuple[str, ...]) -> tuple[int, ...]:
+        """The best labels of a row of token kinds; rows of the same kinds are decoded once."""
+        got = self.known.get(kinds)
+        if got is None:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            got = self.known[kinds] = self._viterbi(kinds)
+        return got
+
+    def _viterbi(self, kinds: tuple[str, ...]) -> tuple[int, ...]:
+        if not kinds:
+            return ()
+        follows = np.array(self.follows)
+        looks = np.array([self.looks[k] for k in kinds])
+        score, back = follows[START] + looks[0], []
+        for look in looks[1:]:
+            paths = score[:, None] + follows[:START]
+            back.append(paths.argmax(0))
+            score = paths.max(0) + look
+        state = int(score.argmax())
+        out = [state]
+        for frm in reversed(back):
+            state = int(frm[state])
+            out.append(state)
+        return tuple(STATES[x] for x in reversed(out))
 
 
 def _drawn(word: str) -> str:
@@ -107,7 +150,7 @@ def _scanner(lang: str) -> regex.Pattern:
         rf"(?P<clock>{_OPEN}?\s*{_CLOCK}\s*-+>\s*{_CLOCK}\s*{_CLOSE}?|{_OPEN}\s*{_CLOCK}\s*(?:[-–—]\s*{_CLOCK}\s*)?{_CLOSE}|@\s*{_CLOCK})"
         rf"|(?P<bare>(?<![\d\p{{L}}:.])(?:{_CLOCK}\s*[-–—|](?=\s|$)|\d{{1,2}}:\d{{2}}:\d{{2}}(?:[.,]\d{{1,3}})?(?=\s|$)))"
         rf"|(?P<br>{_OPEN}(?P<in>[^\[\](){{}}<>【】（）［］〈〉]{{1,60}}){_CLOSE}|(?P<nt>[♪♫🎵*])\s*(?P<in2>[^♪♫🎵*\n]{{1,40}}?)\s*(?P=nt)|[♪♫🎵]+)"
-        rf"|(?P<fill>(?<![\p{{L}}\p{{M}}\p{{N}}'’])(?:{fill})(?![\p{{L}}\p{{M}}\p{{N}}'’])\s*(?:[.…,，、;—–،]+)?)",
+        rf"|(?P<fill>(?<![\p{{L}}\p{{M}}\p{{N}}'’]|[\p{{L}}]-)(?:{fill})(?!-?[\p{{L}}\p{{M}}\p{{N}}'’])\s*(?:[.…,，、;—–،]+)?)",
         regex.I,
     )
 
@@ -136,7 +179,7 @@ class Roster:
                 continue
             add(speaker, speaker)
             add(diar, speaker)
-            m = regex.fullmatch(r"\D*?(\d+)", diar or "")
+            m = _NUMBERED.fullmatch(diar or "")
             if m:
                 for form in ("speaker {}", "spk {}", "s {}", "speaker {:02d}", "speaker{}"):
                     add(form.format(int(m[1])), speaker)
@@ -154,10 +197,11 @@ class Roster:
         self.seen: dict[str, str | None] = {}
 
     @staticmethod
+    @lru_cache(maxsize=20_000)
     def plain(label: str) -> str:
-        s = regex.sub(r"\s*[(\[（][^)\]）]*[)\]）]\s*$", "", label.strip().casefold())
+        s = _LABEL_NOTE.sub("", label.strip().casefold())
         s = s.lstrip(">-–—•*#@[ ").rstrip(":：.]-—– ")
-        return regex.sub(r"[\s_\-.]+", " ", s).strip()
+        return _LABEL_GAP.sub(" ", s).strip()
 
     def find(self, label: str | None) -> str | None:
         if not label:
@@ -187,86 +231,156 @@ def _near(a: str, b: str) -> bool:
 _SCANNERS: dict[str, regex.Pattern] = {}
 
 
-def clean(text: str | None, lang: str, roster: Roster) -> tuple[str, str | None, float | None]:
-    """(clean speech, speaker named in front, time written in the text)."""
-    if not text:
-        return "", None, None
-    kinds: list[str] = []
-    parts: list[tuple[str, str | None]] = []
-    if lang not in _SCANNERS:
-        _SCANNERS[lang] = _scanner(lang)
-    front, pos, scan = True, 0, _SCANNERS[lang]
+def tokens(text: str, lang: str, roster: Roster) -> list[tuple[str | None, str, str | None]]:
+    """(kind, piece, speaker named) of the tokens of a text; a kind of None has no letters and no label."""
+    scan = _SCANNERS.get(lang)
+    if scan is None:
+        scan = _SCANNERS[lang] = _scanner(lang)
+    out: list[tuple[str | None, str, str | None]] = []
+    front = True
 
     def text_part(s: str) -> None:
-        """A stretch without special tokens; in front of the speech it may begin with a name."""
+        """A stretch without special tokens; in front of the speech it may begin with names and marks."""
         nonlocal front
         while front and s:
-            m = _LEAD_NAME.match(s)
-            who = roster.find(m["n"]) if m else None
-            if who:
-                kinds.append("name")
-                parts.append((m[0], who))
-                s = s[m.end() :]
-                continue
+            if _NAME_END.search(s, 0, 64):
+                m = _LEAD_NAME.match(s)
+                who = roster.find(m["n"]) if m else None
+                if who:
+                    out.append(("name", m[0], who))
+                    s = s[m.end() :]
+                    continue
             m = _LEAD_MARK.match(s)
             if m and m.end():
+                out.append(("mark", m[0], None))
                 s = s[m.end() :]
                 continue
             break
         if s:
             if _BARE.search(s):
                 front = False
-            kinds.append("text")
-            parts.append((s, None))
+                out.append(("text", s, None))
+            else:
+                out.append((None, s, None))
 
+    pos = 0
     for m in scan.finditer(text):
         if m.start() > pos:
             # a name may be written before a clock: "Name — [00:01]"
             text_part(text[pos : m.start()])
         pos = m.end()
+        kind, who = m.lastgroup, None
         if m["br"] is not None:
             inner = m["in"] if m["in"] is not None else m["in2"]
             if inner is None or _SOUND.fullmatch(inner.strip()):
-                kind, who = "sound", None
+                kind = "sound"
             else:
                 who = roster.find(inner) if front and m["in"] is not None else None
-                kind = "name" if who else "text"
-        else:
-            kind, who = m.lastgroup, None
-            if kind not in ("clock", "bare", "fill"):
-                kind = "clock" if m["clock"] else "bare" if m["bare"] else "fill"
-        if kind == "text":
-            text_part(m[0])
-        else:
-            kinds.append(kind)
-            parts.append((m[0], who))
-            if kind == "bare" and not front:
-                kinds[-1] = "text"
+                if who:
+                    kind = "name"
+                elif _REMARK.search(inner) or len(inner) > 30 or not _BARE.search(inner):
+                    kind = "remark"
+                else:
+                    kind = "aside" if m[0][0] in "(（" else "note"
+        elif kind not in ("clock", "bare", "fill"):
+            kind = "clock" if m["clock"] else "bare" if m["bare"] else "fill"
+        out.append((kind, m[0], who))
+        front = front and kind != "remark"
     if pos < len(text):
         text_part(text[pos:])
-    labels = viterbi(kinds)
+    return out
+
+
+_PRIOR = TurnModel.fit()
+
+
+def clean(text: str | None, lang: str, roster: Roster, model: TurnModel = _PRIOR) -> tuple[str, str | None, float | None]:
+    """(clean speech, speaker named in front, time written in the text)."""
+    if not text:
+        return "", None, None
+    found = tokens(text, lang, roster)
+    if len(found) == 1 and found[0][0] == "text":
+        return " ".join(text.split()), None, None
+    labels = iter(model.labels(tuple(t[0] for t in found if t[0])))
     said, who, at = [], None, None
-    for (s, w), label in zip(parts, labels, strict=True):
-        if label == SPEECH:
-            said.append(s)
-        elif label == SPK:
-            who = who or w
+    for kind, piece, name in found:
+        label = next(labels) if kind else SPEECH
+        said.append(piece if label == SPEECH else " ")
+        if label == SPK:
+            who = who or name
         elif label == TIME and at is None:
-            at = _seconds(s)
-    return " ".join(" ".join(said).split()), who, at
+            at = _seconds(piece)
+    return " ".join("".join(said).split()), who, at
+
+
+def self_labelled(text: str, lang: str, roster: Roster, start_s: float | None, label: str | None, near_s: float) -> list[tuple[str, int]] | None:
+    """(kind, label) of a row that says itself what its tokens are; None where it leaves one open.
+
+    A clock time near the row's start is a time mark, another one is spoken where it stands bare, and a bracketed one
+    leaves the row open; a name must be that of the row's column, if that names one; brackets with words of
+    neither list leave the row open.
+    """
+    sure = {"sound": NOTE, "fill": FILL, "text": SPEECH, "remark": SPEECH, "mark": SPK}
+    out = []
+    named = roster.find(label)
+    for kind, piece, who in tokens(text, lang, roster):
+        if kind is None:
+            continue
+        if kind in ("clock", "bare"):
+            at = _seconds(piece)
+            if start_s is None or not math.isfinite(start_s) or at is None:
+                return None
+            near = abs(at - start_s) <= near_s
+            if not near and kind == "clock":
+                return None
+            out.append((kind, TIME if near else SPEECH))
+        elif kind == "name":
+            if named and who != named:
+                return None
+            out.append((kind, SPK))
+        elif kind in sure:
+            out.append((kind, sure[kind]))
+        else:
+            return None
+    return out
 
 
 def letters(s: str) -> int:
-    return len(_BARE.findall(s))
+    """Characters of the Unicode categories L and N."""
+    return sum(map(str.isalnum, s))
+
+
+def fit_model(rows: DataFrame, cast: DataFrame, fit: TurnFit = TurnFit()) -> TurnModel:
+    """The model of a bounded sample: about fit.episodes episodes drawn by a hash, of each the first fit.rows rows."""
+    n = cast.count()  # one row an episode
+    chance = F.pmod(F.xxhash64("ep", F.lit(fit.seed)), F.lit(1_000_000)) / 1_000_000
+    chosen = cast.where(chance < F.lit(fit.episodes / max(1, n))).select("ep", "lang", "roster")
+    # about fit.episodes rows
+    sample = rows.where(F.col("idx") < fit.rows).select("ep", "idx", "start_s", "text", "speaker").where("length(text) > 0")
+    found = []
+    rosters: dict = {}
+    for r in sample.join(F.broadcast(chosen), "ep").distinct().collect():
+        if r["ep"] not in rosters:
+            rosters[r["ep"]] = _roster(r["roster"])
+        row = self_labelled(r["text"], r["lang"] or "", rosters[r["ep"]], r["start_s"], r["speaker"], fit.near_s)
+        if row:
+            found.append(row)
+    return TurnModel.fit(found)
+
+
+def _roster(rows: object) -> Roster:
+    return Roster([(r["speaker"], r["display_name"], r["diar_label"]) for r in rows] if rows is not None else [])
 
 
-def clean_rows(rows: DataFrame, cast: DataFrame) -> DataFrame:
+def clean_rows(rows: DataFrame, cast: DataFrame, model: TurnModel | None = None) -> DataFrame:
     """Spoken rows with clean text: ep, idx, at_s, speaker (null: not named), clean, n_letters, end_s.
 
     `rows` has ep, idx, start_s, end_s, text, speaker; `cast` has ep, lang and roster, an array of
     structs (speaker, display_name, diar_label), one row an episode. A row with nothing but time marks,
     names, hesitation and annotations is left out, as are null texts. Rows that repeat (ep, idx) count once.
+    `model` labels the tokens; without one, that of the prior counts.
     """
+    given = share(rows.sparkSession, model or TurnModel.fit())
     base = (
         rows.select("ep", "idx", "start_s", "end_s", "text", F.col("speaker").alias("label"))
         .where("length(text) > 0")
@@ -275,15 +389,16 @@ def clean_rows(rows: DataFrame, cast: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
+        m = shared(given)
         for pdf in batches:
             out = []
             for ep, start, text, label, lang, roster in zip(pdf["ep"], pdf["start_s"], pdf["text"], pdf["label"], pdf["lang"], pdf["roster"], strict=True):
                 if ep not in known:
                     if len(known) > 2000:
                         known.clear()
-                    known[ep] = Roster([(r["speaker"], r["display_name"], r["diar_label"]) for r in roster] if roster is not None else [])
+                    known[ep] = _roster(roster)
                 r = known[ep]
-                said, who, at = clean(text, lang if isinstance(lang, str) else "", r)
+                said, who, at = clean(text, lang if isinstance(lang, str) else "", r, m)
                 n = letters(said)
                 if start is not None and np.isfinite(start):
                     at = float(start)
