@@ -126,4 +126,17 @@ def test_documents(spark, models):
         (5, "mixed", 0, 0, "zh"), (5, "mixed", 1, len(zh) + 1, "en"), (5, "mixed", 2, len(zh) + len(en) + 2, "zh"),
     }
     assert all(0.5 <= r["confidence"] <= 1 for r in seg.collect())
+
+
+def test_confidence_and_unknown_languages(spark, models):
+    greek = "Το μικρό σπίτι είναι κοντά στη θάλασσα και ο ήλιος λάμπει κάθε μέρα."
+    near = "O presentador elogiou o primeiro."
+    df = spark.createDataFrame([(1, greek, "el"), (2, greek, None), (3, greek, "de"), (4, near, "pt"), (5, "The host praised the first draft.", "en")], "doc_id bigint, text string, lang string")
+    seg = G.identify(df, models)
+    got = {r["doc_id"]: (r["lang"], r["confidence"]) for r in seg.collect()}
+    assert [got[k][0] for k in (1, 2, 3)] == ["und"] * 3 and got[1][1] < 0.6 and got[5][1] > 0.95
+    assert got[4][1] < got[5][1]
+    assert {(r["doc_id"], r["defect"]) for r in G.label_defects(seg).collect()} == {(2, "missing"), (3, "wrong")}
+    assert G.confidence(np.array([10.0, 10.0]), 20) == 0.5
+    assert G.identify(df.limit(0), models).count() == 0
     assert G.identify(df.limit(0), models).count() == 0

@@ -48,6 +48,8 @@ def test_all_and_only_the_leaks(spark, limit):
     t = spark.createDataFrame(items, "item_id bigint, text string, lang string")
     got = {(r["doc_id"], r["item_id"]) for r in K.find_leaks(d, t, K.Rule(broadcast_bytes=limit)).collect()}
     assert got == brute(docs, items) and len(got) > 3
+    some = K.find_leaks(d, t, K.Rule(broadcast_bytes=limit, substitutions=1)).collect()
+    assert got <= {(r["doc_id"], r["item_id"]) for r in some}
     assert K.find_leaks(d, t.limit(0)).count() == 0 and K.find_leaks(d.limit(0), t).count() == 0
 
 
@@ -60,6 +62,26 @@ def test_substitutions_are_bridged():
     assert K.find_in_batch([doc], K.index_items([1], [item], ["en"], K.Rule()), K.Rule()) == []
 
 
+@pytest.mark.parametrize(("length", "lang", "k"), [(40, "ja", 1), (40, "ja", 2), (40, "zh", 3), (80, "en", 1), (80, "en", 2), (80, "en", 4)])
+def test_recall_of_stretches_with_substitutions(length, lang, k):
+    """No stretch of the shortest length with the allowed substitutions is missed."""
+    rng = random.Random(length * 10 + k)
+    letters = [chr(0x4E00 + i) for i in range(2000)] if lang != "en" else list("abcdefghijklmnopqrstuvwxyz")
+    item = "".join(rng.choice(letters) for _ in range(400))
+    rule = K.Rule(substitutions=k)
+    idx = K.index_items([1], [item], [lang], rule)
+    docs = []
+    for _ in range(200):
+        at = rng.randrange(len(item) - length)
+        part = list(item[at : at + length])
+        for i in rng.sample(range(1, length - 1), k):
+            part[i] = "0"
+        docs.append("".join(rng.choice("9876543") for _ in range(rng.randrange(60))) + "".join(part) + "".join(rng.choice("9876543") for _ in range(30)))
+    assert {r for r, *_ in K.find_in_batch(docs, idx, rule)} == set(range(200))
+    with pytest.raises(ValueError):
+        K.Rule(substitutions=9)
+
+
 def test_longest_run():
     eq = np.array([1, 1, 0, 1, 1, 1, 0, 1], bool)
     assert [K.longest_run(eq, k) for k in (0, 1, 2)] == [3, 6, 8]

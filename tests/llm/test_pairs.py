@@ -1,12 +1,14 @@
 """Defects of literal pairs."""
 
+import random
 from dataclasses import replace
 
 import pytest
 
 from tidemark.llm import pairs as P
-from tidemark.llm.langid import plain, training_texts
+from tidemark.llm.langid import training_texts
 from tidemark.llm.ppm import ByteModels
+from tidemark.llm.queries import PAIR_FIT
 
 SF = "/root/testdata/sf0.1"
 
@@ -15,7 +17,7 @@ SF = "/root/testdata/sf0.1"
 def models(spark):
     units = spark.read.parquet(f"{SF}/translation_units.parquet")
     texts = [(spark.read.parquet(f"{SF}/phrases.parquet"), "text", "source_lang"), (units, "target_text", "target_lang")]
-    samples = training_texts(spark.read.parquet(f"{SF}/jobs.parquet"), texts)
+    samples = training_texts(spark.read.parquet(f"{SF}/jobs.parquet"), texts, PAIR_FIT)
     return P.Dictionaries.fit(samples), ByteModels.fit(samples, 4)
 
 
@@ -56,9 +58,7 @@ CASES = [
 
 @pytest.mark.parametrize(("source", "target", "a", "b", "want"), CASES, ids=range(len(CASES)))
 def test_defects(models, source, target, a, b, want):
-    d, m = models
-    margin = lambda t, g: (lambda x: float(x[m.langs.index(g)] - x.min()))(m.score([plain(t)])[0])
-    assert P.defect(source, target, a, b, d, margin) == want
+    assert P.defects([(source, target, a, b)], *models) == [want]
 
 
 def test_copies_are_cheap():
@@ -88,18 +88,53 @@ def test_framed_copy_of_middle_length(models):
 
 def test_equal_texts_are_cheap_but_for_short_ones():
     assert all(P.copy_cost(LONG[:n], LONG[:n]) <= 0.35 for n in range(20, len(LONG)))
-    assert P.copy_cost(LONG[:12], LONG[:12]) > 0.35
+    assert all(P.copy_cost(LONG[:n], LONG[:n]) <= P.EQUAL_SHARE for n in range(13, 40))
 
 
 def test_known_words_are_no_name(models):
-    d, _ = models
-    margin = lambda t, g: 0.0
-    assert P.defect("Good Morning", "Good Morning", "en", "es", d, margin) == "copied"
-    assert P.defect("Tolubo Nanato", "Tolubo Nanato", "en", "es", d, margin) is None
+    names = [("Good Morning", "Good Morning", "en", "es"), ("Tolubo Nanato", "Tolubo Nanato", "en", "es")]
+    assert P.defects(names, *models) == ["copied", None]
+
+
+def test_languages_outside_the_models(models):
+    greek, dutch, german = "Το μικρό σπίτι είναι κοντά στη θάλασσα.", "Het kleine huis staat aan de zee en de zon schijnt vandaag erg fel.", "Gestern kaufte meine Schwester frisches Brot und etwas Käse."
+    assert P.defects([(EN, t, "en", "de") for t in (greek, dutch, german)], *models) == ["wrong_language", "wrong_language", None]
+
+
+def test_planted_defects_are_found(spark, models):
+    """Recall and precision on pairs of the largest test set that one rule each made defective; a third stay as they are."""
+    jobs = {r["ep"]: (r["source_lang"].strip().lower(), r["target_lang"].strip().lower()) for r in spark.read.parquet(f"{SF}/jobs.parquet").collect()}
+    rows = spark.read.parquet(f"{SF}/translation_units.parquet").where("length(target_text) BETWEEN 40 AND 400 AND length(source_text) BETWEEN 40 AND 400 AND ep % 3 = 0")
+    whole = lambda t: t.rstrip()[-1:] in ".!?。！？؟।"
+    rows = rows.select("ep", "idx", "source_text", "target_text").distinct().orderBy("ep", "idx").collect()
+    rows = [r for r in rows if whole(r["source_text"]) and (whole(r["target_text"]) or jobs[r["ep"]][1] == "th")]
+    rng, pairs, want = random.Random(3), [], []
+    for k, r in enumerate(rows[:9000]):
+        a, b = jobs[r["ep"]]
+        t, kind = r["target_text"].strip(), None
+        way = k % 6
+        if way == 0:
+            t, kind = rng.choice([None, " ", "…", "[empty]"]), "empty"
+        elif way == 1:
+            t, kind = rng.choice([str.upper, str.strip, lambda x: f"Translation: {x}"])(r["source_text"]), "copied"
+        elif way == 2 and b != "th":
+            other = rows[rng.randrange(len(rows))]
+            if jobs[other["ep"]][1] in (a, b):
+                continue
+            t, kind = other["target_text"], "wrong_language"
+        elif way == 3 and b != "th":
+            t, kind = t[: len(t) * 2 // 3].rstrip(" .!?。！？؟।"), "truncated"
+        pairs.append((r["source_text"], t, a, b))
+        want.append(kind)
+    got = P.defects(pairs, *models)
+    for kind in ("empty", "copied", "wrong_language", "truncated"):
+        true, found = {i for i, w in enumerate(want) if w == kind}, {i for i, g in enumerate(got) if g == kind}
+        assert len(true) > 300 and len(true & found) >= 0.97 * len(true), (kind, len(true & found) / len(true))
+        assert len(true & found) >= 0.97 * len(found), (kind, len(true & found) / len(found))
 
 
 def test_log_batches_are_a_bound_of_the_fit(spark, tmp_path):
-    from tidemark.llm.queries import PAIR_FIT, pair_samples
+    from tidemark.llm.queries import pair_samples
 
     assert (PAIR_FIT.bytes_each, PAIR_FIT.batches) == (120_000, 2)
     spark.createDataFrame([(1, "en", "es")], "ep bigint, source_lang string, target_lang string").write.parquet(f"{tmp_path}/jobs.parquet")

@@ -40,8 +40,13 @@ class Fit:
     known_bits: float = 4.0  # between languages that a document is known to hold
     seed: int = 11
     slice_chars: int = 1_000_000  # of documents that are scored together; bounds a worker's memory
+    odds_bytes: int = 8  # a lead of one bit in so many bytes doubles the odds
+    strange_bits: float = 9.0  # a byte: no language of the models costs so much
+    strange_bytes: int = 64  # from which a segment can be of no known language
 
 
+#: Language of a segment that none of the models can write in fewer bits than it has.
+UNKNOWN = "und"
 LABELS = {name: code for code, names in L.LANGUAGE_NAMES.items() for name in (code, *names.split())}
 
 _QUOTE = regex.compile(r"“[^“”]{1,400}”|„[^„“”]{1,400}[“”]|«[^«»]{1,400}»|「[^「」]{1,400}」|『[^『』]{1,400}』|\"[^\"\n]{1,400}\"")
@@ -197,6 +202,19 @@ def romanise(text: str, lang: str) -> str | None:
     return "".join(out)
 
 
+def confidence(costs: np.ndarray, n_bytes: int, fit: Fit = Fit()) -> float:
+    """Confidence from 0 to 1 in the cheapest language of a stretch of n_bytes letters with these code lengths.
+
+    Bytes of a text aren't independent, so the odds come from the lead over the second language in
+    fit.odds_bytes bytes, not in all of them; text that the best model can't write shorter than the bytes
+    themselves (8 bits each) is trusted in proportion.
+    """
+    two = np.sort(costs)[:2]
+    n = max(1, n_bytes)
+    lead = float(two[1] - two[0]) * fit.odds_bytes / max(n, fit.odds_bytes) if len(two) > 1 else 64.0
+    return min(1.0, 8.0 * n / max(1.0, float(two[0]))) / (1.0 + 2.0 ** -min(64.0, lead))
+
+
 def training_texts(jobs: DataFrame, texts: list[tuple[DataFrame, str, str]], fit: Fit = Fit()) -> dict[str, list[bytes]]:
     """A bounded sample of sentences by language, as the models read them.
 
@@ -252,8 +270,8 @@ def identify(docs: DataFrame, models: ByteModels, fit: Fit = Fit()) -> DataFrame
     """Segments of every document with letters.
 
     `docs` has doc_id, text and lang. Returns doc_id, label (the code `lang` names, '' for a language the
-    models don't know, null for none), seg_no, n_segments, char_start, char_end, lang, confidence. A document in one
-    language has one segment from offset 0. Null, empty and letterless texts give no rows.
+    models don't know, null for none), seg_no, n_segments, char_start, char_end, lang ('und': none of the models'),
+    confidence. A document in one language has one segment from offset 0. Null, empty and letterless texts give no rows.
     """
     given = share(docs.sparkSession, models)
 
@@ -276,12 +294,13 @@ def identify(docs: DataFrame, models: ByteModels, fit: Fit = Fit()) -> DataFrame
                 path = best_path(costs[a:b], fit.switch_bits, fit.known_bits)
                 cuts = [0, *(np.nonzero(path[1:] != path[:-1])[0] + 1), b - a]
                 for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    total = np.sort(costs[a + i : a + j].sum(0))
-                    margin = (total[1] - total[0]) if len(total) > 1 else 64.0
-                    conf = 1.0 / (1.0 + 2.0 ** -min(64.0, margin))
+                    total = costs[a + i : a + j].sum(0)
+                    size = sum(map(len, plains[a + i : a + j]))
+                    conf = confidence(total, size, fit)
+                    strange = size >= fit.strange_bytes and total[path[i]] >= fit.strange_bits * size
                     start = parts[a + i][0] if len(cuts) > 2 else 0
                     end = parts[a + j - 1][1] if len(cuts) > 2 else len(t)
-                    out.append((r, k, len(cuts) - 1, start, end, m.langs[path[i]], conf))
+                    out.append((r, k, len(cuts) - 1, start, end, UNKNOWN if strange else m.langs[path[i]], conf))
             rows = [o[0] for o in out]
             got = pd.DataFrame([o[1:] for o in out], columns=["seg_no", "n_segments", "char_start", "char_end", "lang", "confidence"])
             got = got.astype({"seg_no": "int32", "n_segments": "int32", "char_start": "int32", "char_end": "int32", "lang": "object", "confidence": "float64"})
@@ -295,8 +314,13 @@ def identify(docs: DataFrame, models: ByteModels, fit: Fit = Fit()) -> DataFrame
 
 
 def label_defects(segments: DataFrame) -> DataFrame:
-    """(doc_id, defect, seg_no, char_start, lang, confidence) of mixed, missing and wrong labels."""
+    """(doc_id, defect, seg_no, char_start, lang, confidence) of mixed, missing and wrong labels.
+
+    A document in no known language is missing its label if it has none; a label for another language outside
+    the models is not wrong.
+    """
+    agrees = (F.col("label") == "") & (F.col("lang") == UNKNOWN)
     return segments.withColumn(
         "defect",
-        F.when(F.col("n_segments") > 1, "mixed").when(F.col("label").isNull(), "missing").when(F.col("label") != F.col("lang"), "wrong"),
+        F.when(F.col("n_segments") > 1, "mixed").when(F.col("label").isNull(), "missing").when((F.col("label") != F.col("lang")) & ~agrees, "wrong"),
     ).where("defect is not null")

@@ -4,10 +4,13 @@ Texts are compared as streams of letters and digits (NFKC, lower case). A fixed
 positions of a window and ignores the others, so a seed survives a substitution at an ignored place.
 All windows of the test items are hashed, and every `stride`-th window of a document; a common stretch of
 L characters holds at least floor((L - span + 1) / stride) sampled windows, so with a stride of at most
-L - span + 1 no stretch is missed. Hits are grouped by document, item and diagonal, and the overlap along
-each diagonal is then verified: the longest exact run, and the longest run with a few substitutions.
+L - span + 1 no stretch is missed. A stretch with k substitutions holds an exact run of at least
+(L - k) / (k + 1) characters: span and stride follow from the run that the shortest stretch leaves
+(`Rule.seed`), so no stretch with the allowed substitutions is missed either, up to `MOST_SUBSTITUTIONS`. Hits are grouped by
+document, item and diagonal, and the overlap along each diagonal is then verified: the longest exact run, and
+the longest run with a few substitutions.
 
-Test items are broadcast only below a checked size; beyond it hashes are joined in Spark.
+Test items are broadcast only below a checked size of their index; beyond it hashes are joined in Spark.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,6 +32,8 @@ from tidemark.session import share, shared
 # --- fixed values: seed masks (1: compared, 0: ignored)
 MASKS = ("110111011011110110111011", "101101111101101111011011")
 SPAN = 24
+#: Beyond it the exact runs of a stretch are too short for seeds.
+MOST_SUBSTITUTIONS = 4
 _OTHER = regex.compile(r"[^\p{L}\p{N}]+")
 
 
@@ -38,17 +44,26 @@ class Rule:
     least: int = 80
     least_dense: int = 40
     dense_langs: tuple[str, ...] = ("ja", "ko", "zh")
-    stride: int = 16
     substitutions: int = 0
     shown_substitutions: int = 2
     broadcast_bytes: int = 32 << 20
     slice_chars: int = 1_000_000
 
+    def __post_init__(self) -> None:
+        if not 0 <= self.substitutions <= MOST_SUBSTITUTIONS:
+            raise ValueError(f"substitutions must be from 0 to {MOST_SUBSTITUTIONS}")
+
+    @property
+    def seed(self) -> tuple[int, int]:
+        """(span of the masks, stride of the windows of a document)."""
+        run = (min(self.least, self.least_dense) - self.substitutions) // (self.substitutions + 1)
+        span = min(SPAN, run) if self.substitutions == 0 else min(SPAN, max(7, run - 3), run)
+        return span, min(16, run - span + 1)
+
     def needed(self, least: int) -> int:
         """Sampled windows on one diagonal that a stretch of `least` characters can't do without."""
-        sampled = (least - SPAN + 1) // self.stride
-        lost = self.substitutions * (SPAN // self.stride + 1)
-        return max(1, sampled - lost)
+        span, stride = self.seed
+        return max(1, (least - span + 1) // stride) if self.substitutions == 0 else 1
 
 
 def stream(text: str | None) -> str:
@@ -62,19 +77,18 @@ def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le"), np.uint32)
 
 
-def _factors() -> list[list[tuple[int, np.uint64]]]:
+@lru_cache(maxsize=64)
+def _factors(mask: int, span: int) -> list[tuple[int, np.uint64]]:
+    """(position, factor) of the compared positions of a mask; short masks end like the long ones, compared."""
     rng = np.random.default_rng(20240229)
     mult = rng.integers(1, 1 << 63, SPAN, dtype=np.uint64) | np.uint64(1)
-    return [[(i, mult[i]) for i, c in enumerate(m) if c == "1"] for m in MASKS]
-
-
-_FACTORS = _factors()
+    return [(i, mult[i]) for i, c in enumerate(MASKS[mask][:span]) if c == "1" or i == span - 1]
 
 
-def seed_hashes(codes: np.ndarray, at: np.ndarray, mask: int) -> np.ndarray:
+def seed_hashes(codes: np.ndarray, at: np.ndarray, mask: int, span: int = SPAN) -> np.ndarray:
     """Hash of the masked window at each position."""
     h = np.zeros(len(at), np.uint64)
-    for i, f in _FACTORS[mask]:
+    for i, f in _factors(mask, span):
         h += codes[at + i].astype(np.uint64) * f
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -106,12 +120,13 @@ def index_items(ids: list, texts: list, langs: list, rule: Rule) -> ItemIndex:
     streams = [_codes(stream(t)) for t in texts]
     least = np.array([rule.least_dense if (g or "").strip().lower() in rule.dense_langs else rule.least for g in langs], np.int64)
     hs, os, ps = [], [], []
+    span = rule.seed[0]
     for m in range(len(MASKS)):
         h, o, p = [], [], []
         for k, c in enumerate(streams):
             if len(c) >= least[k]:
-                at = np.arange(len(c) - SPAN + 1)
-                h.append(seed_hashes(c, at, m))
+                at = np.arange(len(c) - span + 1)
+                h.append(seed_hashes(c, at, m, span))
                 o.append(np.full(len(at), k, np.int64))
                 p.append(at)
         h, o, p = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((h, np.uint64), (o, np.int64), (p, np.int64)))
@@ -128,9 +143,10 @@ def _document_seeds(texts: list, rule: Rule) -> tuple[np.ndarray, np.ndarray, np
     lens = np.array([len(s) for s in streams], np.int64)
     codes = _codes("".join(streams))
     starts = np.concatenate([[0], np.cumsum(lens)])
-    n = np.maximum(0, (lens - SPAN) // rule.stride + 1) * (lens >= SPAN)
+    span, stride = rule.seed
+    n = np.maximum(0, (lens - span) // stride + 1) * (lens >= span)
     row = np.repeat(np.arange(len(lens)), n)
-    off = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * rule.stride
+    off = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride
     return codes, starts, row, off
 
 
@@ -144,7 +160,7 @@ def find_in_batch(texts: list, idx: ItemIndex, rule: Rule) -> list[tuple[int, in
     for m in range(len(MASKS)):
         if not len(idx.hashes[m]):
             continue
-        h = seed_hashes(codes, at, m)
+        h = seed_hashes(codes, at, m, rule.seed[0])
         lo = np.searchsorted(idx.hashes[m], h, "left")
         hit = np.nonzero((lo < len(idx.hashes[m])) & (idx.hashes[m][np.minimum(lo, len(idx.hashes[m]) - 1)] == h))[0]
         if not len(hit):
@@ -179,10 +195,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, rule: Rule = Rule()) -> DataFr
     side give no pair; repeated rows of a document give one pair; without items there are no rows.
     """
     items = items.select("item_id", "text", "lang").where("text is not null").distinct()
-    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    # an index entry takes 24 bytes for each mask and window
-    if size["chars"] * 24 * len(MASKS) <= rule.broadcast_bytes:
-        return _by_broadcast(docs, items, rule)
+    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()["chars"]
+    # an index entry takes 24 bytes for each mask and window; normalisation may lengthen a text, so the index counts
+    if chars * 24 * len(MASKS) <= rule.broadcast_bytes:
+        rows = items.collect()  # bounded by rule.broadcast_bytes
+        index = index_items([r["item_id"] for r in rows], [r["text"] for r in rows], [r["lang"] for r in rows], rule)
+        if sum(map(len, index.hashes)) * 24 <= rule.broadcast_bytes:
+            return _by_broadcast(docs, items, index, rule)
     return _by_join(docs, items, rule)
 
 
@@ -190,9 +209,7 @@ def _types(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def _by_broadcast(docs: DataFrame, items: DataFrame, rule: Rule) -> DataFrame:
-    rows = items.collect()  # bounded by rule.broadcast_bytes
-    index = index_items([r["item_id"] for r in rows], [r["text"] for r in rows], [r["lang"] for r in rows], rule)
+def _by_broadcast(docs: DataFrame, items: DataFrame, index: ItemIndex, rule: Rule) -> DataFrame:
     given = share(docs.sparkSession, index)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,7 +238,7 @@ def _by_join(docs: DataFrame, items: DataFrame, rule: Rule) -> DataFrame:
         for pdf in slices(batches, rule.slice_chars):
             codes, starts, row, off = _document_seeds(list(pdf["text"]), rule)
             for m in range(len(MASKS)):
-                h = seed_hashes(codes, starts[row] + off, m) if len(row) else np.empty(0, np.uint64)
+                h = seed_hashes(codes, starts[row] + off, m, rule.seed[0]) if len(row) else np.empty(0, np.uint64)
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[row].to_numpy(), "mask": np.full(len(row), m, np.int32), "h": h.view(np.int64), "off": off.astype(np.int64)})
 
     def item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,7 +249,8 @@ def _by_join(docs: DataFrame, items: DataFrame, rule: Rule) -> DataFrame:
                 need = np.array([rule.needed(int(v)) for v in idx.least], np.int32)
                 yield pd.DataFrame({"item_id": pdf["item_id"].iloc[o].to_numpy(), "mask": np.full(len(o), m, np.int32), "h": idx.hashes[m].view(np.int64), "place": idx.place[m], "needed": need[o]})
 
-    texts = docs.select("doc_id", "text").where(F.length("text") > 0).distinct()
+    # repeated rows of a document give repeated candidates, which the grouping below takes together
+    texts = docs.select("doc_id", "text").where(F.length("text") > 0)
     left = texts.mapInPandas(doc_seeds, f"doc_id {doc_type}, mask int, h bigint, off bigint")
     right = items.mapInPandas(item_seeds, f"item_id {item_type}, mask int, h bigint, place bigint, needed int")
     diagonals = (
@@ -243,19 +261,25 @@ def _by_join(docs: DataFrame, items: DataFrame, rule: Rule) -> DataFrame:
         .agg(F.count("*").alias("hits"), F.max("needed").alias("needed"))
         .where("hits >= needed")
     )
-    pairs = diagonals.join(texts, "doc_id").join(items.select("item_id", F.col("text").alias("item_text"), "lang"), "item_id")
+    # the texts meet a pair once, with all its diagonals
+    pairs = diagonals.groupBy("doc_id", "item_id").agg(F.collect_set("diag").alias("diags"))
+    pairs = pairs.join(items.select("item_id", F.col("text").alias("item_text"), "lang"), "item_id").join(texts, "doc_id")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             runs, nears, ok = [], [], []
-            for t, u, g, d in zip(pdf["text"], pdf["item_text"], pdf["lang"], pdf["diag"], strict=True):
+            for t, u, g, diags in zip(pdf["text"], pdf["item_text"], pdf["lang"], pdf["diags"], strict=True):
                 doc, item = _codes(stream(t)), _codes(stream(u))
-                a, b = max(0, d), min(len(doc), len(item) + d)
-                eq = doc[a:b] == item[a - d : b - d]
                 least = rule.least_dense if (g or "").strip().lower() in rule.dense_langs else rule.least
-                ok.append(longest_run(eq, rule.substitutions) >= least)
-                runs.append(longest_run(eq, 0))
-                nears.append(longest_run(eq, rule.shown_substitutions))
+                run = near = 0
+                for d in diags:
+                    a, b = max(0, d), min(len(doc), len(item) + d)
+                    eq = doc[a:b] == item[a - d : b - d]
+                    if longest_run(eq, rule.substitutions) >= least:
+                        run, near = max(run, longest_run(eq, 0)), max(near, longest_run(eq, rule.shown_substitutions))
+                ok.append(near > 0)
+                runs.append(run)
+                nears.append(near)
             out = pdf[["doc_id", "item_id"]].assign(run=np.array(runs, np.int32), near_run=np.array(nears, np.int32))
             yield out[np.array(ok, bool)]
 

@@ -165,7 +165,7 @@ _FIXED_WORDS = Words.of({})
 
 
 def _is_thai(text: str) -> bool:
-    if _THAI.search(text) is None:
+    if max(text) < "\u0e01" or _THAI.search(text) is None:
         return False
     letters = len(_THAI.findall(text))
     return 2 * letters > sum(map(str.isalpha, text))
@@ -400,7 +400,7 @@ def _best_cuts(text: str, thai: bool, words: Words) -> list[int]:
     for m in (_THAI_EVENT if thai else _EVENT).finditer(text):
         kind = m.lastgroup if m.lastgroup != "k" else "l"
         events.append((m.start(), kind, m))
-    if not thai and _SPACELESS.search(text):
+    if not thai and max(text) > "\u2fff":
         for m in _SPACELESS_GAP.finditer(text):
             events.append((m.start(), "g", (m.start(), m.end())))
         for m in _UNMARKED.finditer(text):
@@ -492,7 +492,7 @@ def spans(text: str | None, words: Words | None = None) -> list[tuple[int, int]]
     for e in [*_best_cuts(text, _is_thai(text), words or _FIXED_WORDS), n]:
         e2 = _rstrip(text, s, e)
         if e2 > s:
-            if out and _BARE.search(text, s, e2) is None:
+            if out and not text[s].isalnum() and _BARE.search(text, s, e2) is None:
                 out[-1] = (out[-1][0], e2)
             else:
                 out.append((s, e2))
