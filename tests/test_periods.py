@@ -7,6 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import periods as P
 
 
@@ -78,6 +80,29 @@ def test_one_very_long_interval(spark):
     assert {tuple(r) for r in P.merge_intervals(df, ["ep", "speaker"]).collect()} == expected(rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_long_and_absurd_intervals(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(120):
+        s = rng.randrange(1 << rng.choice([12, 22, 32, 42, 50]))
+        rows.append((rng.choice([1, 2]), "a", s, s + rng.choice([1, 3, 1 << 20, (1 << 30) + 5, (1 << 31) - 1, 1 << 41, 3 << 40][: 7 if rng.random() < 0.1 else 3])))
+    rows += [(1, "a", (1 << 52) + 7, 1 << 53), (2, "a", 1 << 30, 1 << 31), (2, "a", 0, 1 << 30)]
+    df = spark.createDataFrame(rows, "ep bigint, speaker string, start_ms bigint, end_ms bigint")
+    assert {tuple(r) for r in P.merge_intervals(df, ["ep", "speaker"]).collect()} == expected(rows)
+
+
+def test_an_absurd_row_changes_no_other_cell(spark):
+    rows = [(1, "a", i * 3_000_000, i * 3_000_000 + 5) for i in range(50)]
+    plain = spark.createDataFrame(rows, "ep bigint, speaker string, start_ms bigint, end_ms bigint")
+    more = plain.unionByName(spark.createDataFrame([(2, "a", 0, 10**12)], plain.schema))
+    seen = lambda df: P.merge_intervals(df, ["ep", "speaker"])
+    assert set(map(tuple, seen(plain).collect())) < set(map(tuple, seen(more).collect()))
+    assert seen(more).where("ep = 2").collect() == [(2, "a", "period", 0, 10**12)]
+    parts = spark.range(1).select(F.inline(P._wide_parts(F.lit(12345), F.lit(10**12)))).collect()
+    assert sum(r["b"] - r["a"] for r in parts) < 5000
+
+
 def test_many_rows_of_one_cell_are_reduced(spark, monkeypatch):
     rows = [(1, "a", i % 5000, i % 5000 + 1) for i in range(0, 40000, 2)]
     df = spark.createDataFrame(rows, "ep bigint, speaker string, start_ms bigint, end_ms bigint")
@@ -90,11 +115,11 @@ def test_seconds_with_nulls_noise_and_extra_columns(spark):
     rows = [
         (1, 0, 0.0000001, 1.0, "a", "x"), (1, 1, 1.0000000002, 2.0, "a", "x"), (1, 2, 2.001, 3.0, "a", None), (1, 3, nan, 9.0, "a", "x"),
         (1, 4, 5.0, inf, "a", "x"), (1, 5, -1.0, 9.0, "a", "x"), (1, 6, 4.0, 4.0, "a", "x"), (1, 7, None, 4.0, "a", "x"), (1, 8, 1.0, 5.0, " ", "x"),
-        (1, 9, 1.0, 5.0, None, "x"), (None, 1, 1.0, 2.0, "a", "x"), (1, 10, 1e300, 1e301, "a", "x"),
+        (1, 9, 1.0, 5.0, None, "x"), (None, 1, 1.0, 2.0, "a", "x"), (1, 10, 1e300, 1e301, "a", "x"), (2, 11, 1.0, 1e300, "a", "x"),
     ]
     df = spark.createDataFrame(rows, "ep bigint, idx int, start_s double, end_s double, speaker string, kind string")
     got = {tuple(r) for r in P.speaking_periods(df).collect()}
-    assert got == {(1, "a", "period", 0, 2000), (1, "a", "gap", 2000, 2001), (1, "a", "period", 2001, 3000)}
+    assert got == {(1, "a", "period", 0, 2000), (1, "a", "gap", 2000, 2001), (1, "a", "period", 2001, 3000), (2, "a", "period", 1000, P.LAST_MS)}
 
 
 def test_empty_table(spark):

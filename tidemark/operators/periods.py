@@ -4,9 +4,13 @@ An interval [s, e) of integer milliseconds is a disjoint union of O(log) dyadic
 Blocks of one key are nested or disjoint, so a block covered by an ancestor is found by one running
 maximum; sibling pairs merge upward level by level, and adjacent blocks then join to periods.
 
-Time is cut into cells of 2^k ms and a key's cells are worked independently, so a key that holds a third
+Time is cut into cells of 2^20 ms and a key's cells are worked independently, so a key that holds a third
 of all rows is spread over its timeline. Each cell yields its merged pieces; only the first and the last
 piece of a cell can touch a neighbour, so only those meet again in one window per key.
+
+The cells don't depend on the data. An interval of very many cells is cut along wider canonical blocks
+(2^30, 2^40, 2^50 ms): what it covers of those stays one row a block, and pieces in cells under such a block are
+dropped, so a single absurd row costs a few thousand rows and changes nothing for the others.
 """
 
 from __future__ import annotations
@@ -19,16 +23,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL_BITS = 20
-#: An interval is cut into at most 2^SPLIT_BITS cells; the cells grow where one interval is longer.
-SPLIT_BITS = 10
+#: Widths of the blocks of very long intervals, beyond the cells; each holds 2^10 of the width before.
+WIDE_BITS = (30, 40, 50)
+#: Latest time in ms (some 285,000 years); what lies beyond counts as this.
+LAST_MS = 1 << 53
 #: Rows of one cell that are held before they are reduced to blocks.
 HELD_ROWS = 1 << 18
 
 
 def to_ms(seconds: Column) -> Column:
-    """Milliseconds as BIGINT; null for NaN, infinities and what BIGINT can't hold."""
-    ms = F.round(seconds.cast("double") * 1000)
-    return F.when(F.abs(ms) < F.lit(float(1 << 53)), ms).try_cast("bigint")
+    """Milliseconds as BIGINT; null for null, NaN and infinities. Times beyond LAST_MS count as LAST_MS."""
+    s = seconds.cast("double")
+    far = F.lit(float(LAST_MS))
+    finite = ~F.isnan(s) & (F.abs(s) < F.lit(float("inf")))
+    return F.when(finite, F.greatest(-far, F.least(far, F.round(s * 1000)))).try_cast("bigint")
+
+
+def _wide_parts(s: Column, e: Column) -> Column:
+    """Array of (bits, a, b): the ranges of cells (bits 20) and wide blocks that tile [s, e), cells at its borders included."""
+
+    def ranges(lo: Column, hi: Column, bits: int, wider: tuple[int, ...]) -> list[Column]:
+        """Ranges of blocks of 2^bits ms from block lo to before block hi."""
+        one = lambda a, b: F.struct(F.lit(bits).alias("bits"), a.alias("a"), b.alias("b"))
+        if not wider:
+            return [one(lo, hi)]
+        up = wider[0] - bits
+        first, last = F.shiftright(lo + F.lit((1 << up) - 1), up), F.shiftright(hi, up)
+        has = first < last
+        head = one(lo, F.when(has, F.shiftleft(first, up)).otherwise(hi))
+        tail = one(F.when(has, F.shiftleft(last, up)).otherwise(hi), hi)
+        return [head, tail, *ranges(first, F.greatest(first, last), wider[0], wider[1:])]
+
+    lo, hi = F.shiftright(s, CELL_BITS), F.shiftright(e - 1, CELL_BITS) + 1
+    # the first and last cell may be covered in part: they stay cells
+    inner = ranges(F.least(lo + 1, hi), F.greatest(F.least(lo + 1, hi), hi - 1), CELL_BITS, WIDE_BITS)
+    border = [
+        F.struct(F.lit(CELL_BITS).alias("bits"), lo.alias("a"), F.least(lo + 1, hi).alias("b")),
+        F.struct(F.lit(CELL_BITS).alias("bits"), F.greatest(lo + 1, hi - 1).alias("a"), hi.alias("b")),
+    ]
+    return F.filter(F.array(*border, *inner), lambda x: x["a"] < x["b"])
 
 
 def dyadic_blocks(gid: np.ndarray, s: np.ndarray, e: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,9 +212,25 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "start_ms", end
     for n in names:
         clean = clean.where(F.col(n).isNotNull())
     clean = clean.where("s >= 0 AND e > s")
-    longest = clean.agg(F.max(F.col("e") - F.col("s"))).first()[0] or 1
-    bits = max(CELL_BITS, int(longest).bit_length() - SPLIT_BITS)
-    cell = clean.withColumn("cell", F.explode(F.sequence(F.shiftright("s", bits), F.shiftright(F.col("e") - 1, bits))))
+    bits = CELL_BITS
+    # the few long intervals; a filter over the scan, without a shuffle
+    wide = clean.where(F.col("e") - F.col("s") >= F.lit(1 << WIDE_BITS[0]))
+    some_wide = wide.limit(1).count() > 0
+    cell = clean.select(
+        "*", F.explode(F.sequence(F.shiftright("s", bits), F.shiftright(F.col("e") - 1, bits))).alias("cell")
+    )
+    if some_wide:
+        parts = wide.select("*", F.inline(_wide_parts(F.col("s"), F.col("e"))))
+        short = cell.where(F.col("e") - F.col("s") < F.lit(1 << WIDE_BITS[0]))
+        at = parts.where(F.col("bits") == bits).select(*names, "s", "e", F.explode(F.sequence("a", F.col("b") - 1)).alias("cell"))
+        blocks = parts.where(F.col("bits") > bits).select(*names, "bits", F.explode(F.sequence("a", F.col("b") - 1)).alias("block")).distinct()
+        cell = short.unionByName(at)
+        for w in WIDE_BITS:  # cells under a block that is covered as a whole
+            here = blocks.where(F.col("bits") == w).select(*[F.col(n).alias(f"{n}_b") for n in names], "block")
+            under = F.shiftright("cell", w - bits) == F.col("block")
+            for n in names:
+                under = under & (F.col(n) == F.col(f"{n}_b"))
+            cell = cell.join(here, under, "left_anti")
     base = F.shiftleft(F.col("cell"), bits)
     cell = cell.select(
         *names,
@@ -194,6 +243,11 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "start_ms", end
     types = {f.name: f.dataType.simpleString() for f in cell.schema.fields}
     schema = ", ".join(f"{n} {types[n]}" for n in names) + ", s bigint, e bigint, prev_e bigint, edge boolean, cell bigint"
     found = cell.mapInArrow(_cell_pieces(names, bits), schema)
+    if some_wide:
+        start = F.expr("shiftleft(block, bits)")
+        found = found.unionByName(
+            blocks.select(*names, start.alias("s"), (start + F.expr("shiftleft(1L, bits)")).alias("e"), F.lit(None).cast("bigint").alias("prev_e"), F.lit(True).alias("edge"), F.lit(-1).cast("bigint").alias("cell"))
+        )
 
     # the pieces at a cell's edges meet in one window a key, all others are alone in their cell's
     place = F.when(F.col("edge"), F.lit(-1)).otherwise(F.col("cell"))
@@ -202,12 +256,12 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "start_ms", end
     linked = (
         found.withColumn("place", place)
         .withColumn("before", before)
-        .withColumn("joins", F.coalesce(F.col("before") == F.col("s"), F.lit(False)) & F.col("edge"))
-        .withColumn("gap_from", F.coalesce("prev_e", F.when(F.col("edge"), F.col("before"))))
+        .withColumn("joins", F.coalesce(F.col("before") >= F.col("s"), F.lit(False)) & F.col("edge"))
+        .withColumn("gap_from", F.when(~F.col("joins"), F.coalesce("prev_e", F.when(F.col("edge"), F.col("before")))))
         .withColumn("island", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(w))
     )
     merged = linked.groupBy(*names, "place", "island").agg(
-        F.min("s").alias("a"), F.max("e").alias("b"), F.min_by("gap_from", "s").alias("gap_from")
+        F.min("s").alias("a"), F.max("e").alias("b"), F.max("gap_from").alias("gap_from")
     )
     period = F.struct(F.lit("period").alias("kind"), F.col("a").alias("start_ms"), F.col("b").alias("end_ms"))
     gap = F.struct(F.lit("gap").alias("kind"), F.col("gap_from").alias("start_ms"), F.col("a").alias("end_ms"))
@@ -218,7 +272,8 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "start_ms", end
 def speaking_periods(segments: DataFrame) -> DataFrame:
     """Periods and gaps of each speaker of diar_segments (ep, speaker, kind, start_ms, end_ms).
 
-    Seconds are rounded to milliseconds first. Rows without a speaker (null or blank) are left out.
+    Seconds are rounded to milliseconds first; times beyond LAST_MS count as LAST_MS. Rows without a speaker
+    (null or blank) are left out.
     """
     named = segments.where("length(trim(speaker)) > 0").select(
         "ep", "speaker", to_ms(F.col("start_s")).alias("start_ms"), to_ms(F.col("end_s")).alias("end_ms")
