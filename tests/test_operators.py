@@ -8,6 +8,7 @@ from tidemark.functions import text as T
 from tidemark.operators import checks as C
 from tidemark.operators import islands as I
 from tidemark.operators import labelling as LB
+from tidemark.operators import scans as S
 from tidemark.operators import signal as G
 
 SEG = "ep bigint, idx int, s bigint, e bigint, speaker string"
@@ -52,26 +53,68 @@ def test_ranks_break_ties_by_label(spark):
     assert [(r["speaker"], r["rank"]) for r in got] == [("a", 0), ("b", 1)]
 
 
-def test_overlap_label_first_wins_and_falls_back(spark):
-    segs = spark.createDataFrame([(1, 0, 0, 1000, "a"), (1, 1, 1000, 2000, "b")], SEG)
-    phr = spark.createDataFrame([(1, 0, 500, 1500), (1, 1, 1200, 1900), (1, 2, 5000, 6000), (2, 0, 0, 5)], "ep bigint, idx int, s bigint, e bigint")
-    got = {(r["ep"], r["idx"]): r["speaker"] for r in LB.label_by_overlap(phr, segs, LB.speaker_ranks(segs)).collect()}
-    assert got == {(1, 0): "a", (1, 1): "b", (1, 2): "a", (2, 0): "spk_0"}
+PHR = "ep bigint, idx int, s bigint, e bigint, text string"
+WRD = "ep bigint, idx int, word_no int, ws bigint, we bigint, word string"
+NAMES = [(1, 0, "host"), (1, 1, "guest")]
+
+
+def labelled(spark, segs, phrases, words=(), names=NAMES):
+    """Rows (idx, s, e, speaker, text, words) of label_pieces, and the same after the orphans are merged."""
+    merged = I.merge_segments(spark.createDataFrame([(1, i, *r) for i, r in enumerate(segs)], SEG))
+    words = spark.createDataFrame([(1, *w) for w in words], WRD)
+    pieces = LB.label_pieces(spark.createDataFrame([(1, i, *p) for i, p in enumerate(phrases)], PHR), words, merged, spark.createDataFrame(names, "ep bigint, rank int, name string"))
+    told = lambda df: [(r["s"], r["e"], r["speaker"], r["text"], len(r["words"] or [])) for r in df.orderBy("ep", "idx", "bucket").collect()]
+    return told(pieces), told(S.merge_orphans(pieces))
 
 
 def test_handoff_splits_words(spark):
-    segs = spark.createDataFrame([(1, 0, 0, 5000, "host"), (1, 1, 5100, 9000, "guest")], SEG)
-    phr = spark.createDataFrame([(1, 0, 0, 9000)], "ep bigint, idx int, s bigint, e bigint")
-    words = spark.createDataFrame([(1, 0, 0, 0, 900, "你好"), (1, 0, 1, 6000, 7000, "大家")], "ep bigint, idx int, word_no int, ws bigint, we bigint, word string")
-    cuts = LB.handoff_cuts(phr, segs)
-    assert [r["cut2"] for r in cuts.collect()] == [10100]
-    assert [r["text"] for r in LB.split_at_cuts(words, cuts).orderBy("bucket").collect()] == ["你好", "大家"]
+    words = [(0, 0, 1000, 1400, "你"), (0, 1, 1500, 1900, "好"), (0, 2, 5300, 5700, "大"), (0, 3, 5800, 6200, "家")]
+    got, _ = labelled(spark, [(0, 5000, "s0"), (5100, 9000, "s1")], [(1000, 8000, "你好大家")], words)
+    assert got == [(1000, 1900, "host", "你好", 2), (5300, 6200, "guest", "大家", 2)]
 
 
 def test_short_flip_is_no_handoff(spark):
-    segs = spark.createDataFrame([(1, 0, 0, 4000, "a"), (1, 1, 4000, 4200, "b"), (1, 2, 4200, 9000, "a")], SEG)
-    phr = spark.createDataFrame([(1, 0, 0, 9000)], "ep bigint, idx int, s bigint, e bigint")
-    assert LB.handoff_cuts(phr, segs).count() == 0
+    words = [(0, i, 1000 * t, 1000 * t + 400, c) for i, (t, c) in enumerate(zip((1, 2, 4, 5), "abcd"))]
+    got, _ = labelled(spark, [(0, 3000, "s0"), (3000, 3200, "s1"), (3200, 12000, "s0"), (20000, 30000, "s1")], [(1000, 5400, "abcd")], words)
+    assert got == [(1000, 5400, "host", "abcd", 4)]
+
+
+def test_noise_speakers_are_left_out(spark):
+    segs = [(0, 10000, "s0"), (10000, 10050, "s2"), (10050, 20000, "s1")]
+    got, _ = labelled(spark, segs, [(9900, 10200, "x y")], names=[])
+    assert got == [(9900, 10200, "spk_1", "x y", 0)]  # s2 would hold most of it but has under 1 % of the time
+    # the dropped speaker is no handoff either: s0 and s1 are next to each other
+    words = [(0, 0, 9000, 9400, "a"), (0, 1, 10600, 11000, "b")]
+    got, _ = labelled(spark, segs, [(9000, 11000, "ab")], words)
+    assert [(r[2], r[3]) for r in got] == [("host", "a"), ("guest", "b")]
+
+
+def test_phrase_without_words_stays_whole(spark):
+    got, _ = labelled(spark, [(0, 5000, "s0"), (5100, 8000, "s1")], [(1000, 8000, "one two")])
+    assert got == [(1000, 8000, "host", "one two", 0)]
+
+
+def test_first_wins_and_fallbacks(spark):
+    got, _ = labelled(spark, [(0, 1000, "a"), (1000, 2000, "b")], [(500, 1500, "x"), (1200, 1900, "y"), (5000, 6000, "z"), (500, 500, "w")])
+    assert [r[2] for r in got] == ["host", "guest", "host", "host"]
+    got, _ = labelled(spark, [], [(0, 5, "x")])
+    assert got == [(0, 5, "spk_0", "x", 0)]
+
+
+def test_orphans_join_with_their_words(spark):
+    words = [(0, 0, 10000, 12000, "是更重要"), (1, 0, 12300, 12300, "的")]
+    _, got = labelled(spark, [(0, 20000, "s0"), (21000, 40000, "s1")], [(10000, 12000, "是更重要"), (12300, 12300, "的")], words)
+    assert got == [(10000, 12300, "host", "是更重要的", 2)]
+
+
+@pytest.mark.parametrize("stretch", [600_000, 2500, 10])
+def test_next_in_order(spark, stretch):
+    rng = np.random.default_rng(1)
+    rows = [(ep, i, int(rng.integers(0, 20000)), int(rng.integers(0, 9))) for ep in range(4) for i in range(40)]
+    df = spark.createDataFrame(rows, "ep bigint, idx int, s bigint, x int")
+    got = {(r["ep"], r["idx"]): r["nx"] for r in I.next_in_order(df, ["s", "idx"], {"nx": "x"}, stretch).collect()}
+    order = sorted(rows, key=lambda r: (r[0], r[2], r[1]))
+    assert got == {a[:2]: b[3] if b and a[0] == b[0] else None for a, b in zip(order, [*order[1:], None])}
 
 
 def test_clean_segments_and_top_up(spark):
@@ -79,6 +122,9 @@ def test_clean_segments_and_top_up(spark):
     clean = LB.clean_segments(segs)
     assert [r["idx"] for r in clean.collect()] == [1]
     assert [r["idx"] for r in LB.top_up(clean, 1).collect()] == [1]
+    assert LB.top_up(clean, least_ms=8000).count() == 1
+    with pytest.raises(Exception, match="8000 ms of clean speech of h"):
+        LB.top_up(clean, least_ms=8001).collect()
 
 
 def test_max_plus_starts(spark):
@@ -97,9 +143,72 @@ def test_max_plus_starts(spark):
 
 
 def test_gate(spark):
-    mask = lambda bits: spark.createDataFrame([("x", i, b) for i, b in enumerate(bits)], "k string, frame int, active int")
-    r = G.coverage_gate(mask([1, 1, 1, 1]), mask([1, 0, 0, 0]), ["k"], "frame", 0).collect()[0]
-    assert (r["coverage"], r["longest_dead"]) == (0.25, 3)
+    masks = spark.createDataFrame([("x", i, 1, int(i == 0)) for i in range(4)] + [("y", 0, 0, 1), ("y", 1, 0, None), ("z", 0, 1, 1)], "k string, frame int, original int, dub int")
+    got = {r["k"]: r for r in G.gate_passes(G.coverage_gate(masks, ["k"], "frame", 0), 1.0, most_s=1.0).collect()}
+    assert {k: (r["coverage"], r["longest_dead"], r["passes"]) for k, r in got.items()} == {"x": (0.25, 3, False), "y": (0.0, 0, False), "z": (1.0, 0, True)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_gate_against_a_loop(spark, seed):
+    rng = np.random.default_rng(seed)
+    o, d = rng.integers(0, 2, 200), (rng.random(200) < 0.2).astype(int)
+    rows = [(1, i, int(a), int(b)) for i, (a, b) in enumerate(zip(o, d))]
+    near = [max(d[max(0, i - 2) : i + 3]) for i in range(200)]
+    longest = run = 0
+    for a, b in zip(o, near):
+        run = run + 1 if a and not b else 0
+        longest = max(longest, run)
+    r = G.coverage_gate(spark.createDataFrame(rows, "k int, frame int, original int, dub int"), ["k"], "frame", 2).first()
+    assert r["longest_dead"] == longest and r["coverage"] == pytest.approx(sum(a and b for a, b in zip(o, near)) / o.sum())
+
+
+def rebuilt(audio, pauses, lengths, fade):
+    """The vector piece by piece."""
+    ramp, out, at = np.linspace(0, 1, fade), [], 0
+    for (a, b), n in [*zip(pauses, lengths), ((len(audio), None), None)]:
+        piece = audio[at:a].astype(float)
+        m = min(fade, len(piece) // 2)
+        for i in range(m):
+            piece[i] *= ramp[i]
+            if n is not None:
+                piece[len(piece) - 1 - i] *= ramp[i]
+        out.append(piece)
+        if n is not None:
+            out.append(np.zeros(n))
+            at = b
+    return np.concatenate(out)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pauses_are_set(seed):
+    rng = np.random.default_rng(seed)
+    audio = rng.random(500).astype(np.float32)
+    at = np.sort(rng.choice(500, 6, replace=False)).tolist()
+    pauses = [(at[0], at[1]), (at[2], at[3]), (at[4], at[5])][: rng.integers(0, 4)]
+    if seed == 5:
+        pauses = [(0, 20), (480, 500)]
+    lengths = rng.integers(0, 60, len(pauses)).tolist()
+    assert np.allclose(G.with_pauses(audio, pauses, lengths, 8), rebuilt(audio, pauses, lengths, 8), atol=1e-6)
+
+
+def test_fit_plan_is_the_policy():
+    plan = lambda d, p, w: (lambda x: (x[0].tolist(), round(x[1], 4)))(G.fit_plan(d, np.array(p, float), w, 1000))
+    assert plan(10_000, [500, 100], 9_700) == ([120, 100], 1.0)
+    assert plan(10_000, [500, 100], 9_000) == ([120, 100], round(9620 / 9000, 4))
+    assert plan(10_000, [], 5_000) == ([], 1.12)
+    assert plan(10_000, [500], 10_000) == ([500], 1.0)
+    assert plan(8_000, [500], 8_400) == ([900], 1.0) and plan(8_000, [50], 9_000) == ([50], 1.0)
+    assert plan(8_000, [1000, 2000], 30_000) == ([1500, 1500], 1.0)
+
+
+def test_misfit(spark):
+    rows = spark.createDataFrame([(12.1, 10.0), (12.0, 10.0), (8.9, 10.0), (9.5, 10.0), (1.0, 0.0)], "d double, w double")
+    assert [r["x"] for r in rows.select(G.needs_rewrite(F.col("d"), F.col("w")).alias("x")).collect()] == [True, False, True, False, None]
+
+
+def test_trimmed_samples(spark):
+    df = spark.createDataFrame([(0, 90, [0.0] * 20), (1, 0, [0.0] * 20), (2, 150, [0.0] * 20)], "i int, off int, v array<float>")
+    assert [r["trimmed"] for r in G.trimmed(df, "off", "v", 100).orderBy("i").collect()] == [10, 0, 20]
 
 
 def test_silence_and_fit():
@@ -111,7 +220,7 @@ def test_silence_and_fit():
     fitted, notes = G.fit_samples(audio, 7.0, rate)
     assert notes == ["pause-compress -1.9s", "fast 1.12"] and abs(len(fitted) / rate - 8.12 / 1.12) < 0.05
     fitted, notes = G.fit_samples(audio, 11.0, rate)
-    assert notes == [] and abs(len(fitted) / rate - 9.5) < 0.05  # the cap on a pause also shortens it
+    assert notes == ["pause-compress -0.5s"] and abs(len(fitted) / rate - 9.5) < 0.05  # the cap on a pause also shortens it
     short = np.concatenate([speech, np.zeros(rate // 2, np.float32), speech])
     fitted, notes = G.fit_samples(short, 8.8, rate)
     assert notes == ["pause-stretch +0.3s"] and abs(len(fitted) / rate - 8.8) < 0.05
@@ -154,9 +263,12 @@ def test_pcm(spark):
 
 
 @pytest.mark.parametrize("margin", [0, 250])
-def test_interval_join_equals_a_plain_one(spark, margin):
+def test_interval_join_equals_a_plain_one(spark, margin, monkeypatch):
+    from tidemark.operators import intervals
     from tidemark.operators.intervals import overlap_join
 
+    monkeypatch.setattr(intervals, "WIDER", 2)  # spans of all three widths
+
     rng = np.random.default_rng(9)
     span = lambda n: [(int(rng.integers(0, 3)), i, s := int(rng.integers(0, 5000)), s + int(rng.integers(0, 2500))) for i in range(n)]
     a, b = span(80), span(80)
@@ -166,3 +278,13 @@ def test_interval_join_equals_a_plain_one(spark, margin):
     got = sorted((r["i"], r["j"]) for r in overlap_join(left, right, "ep", ("s", "e"), ("rs", "re"), on, width=700, margin=margin).collect())
     want = sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and y[2] < x[3] + margin and y[3] > x[2] - margin)
     assert got == want
+
+
+def test_an_absurd_span_costs_few_buckets(spark):
+    from tidemark.operators import intervals
+
+    df = spark.createDataFrame([(1, 0, 10**12), (2, 5, 70_000), (3, None, 4), (4, 0, 1 << 53)], "ep bigint, s bigint, e bigint")
+    n = {r["ep"]: r["count"] for r in intervals._bucketed(df, "s", "e", 60_000, 0, 0, "_").groupBy("ep").count().collect()}
+    assert n[1] < 5000 and n[2] == 4 and 3 not in n and n[4] < 10_000
+    found = intervals.overlap_join(df, df.select("ep", F.col("s").alias("a"), F.col("e").alias("b")), "ep", ("s", "e"), ("a", "b"), F.lit(True))
+    assert sorted(r["ep"] for r in found.collect()) == [1, 2, 4]

@@ -21,15 +21,15 @@ def fitted_by_hand(turns, total, rounds=3):
     """Turns {id: (cue, counts)} after the rounds, each from the state of its start."""
     turns, lower, upper = dict(turns), {}, {}
     for n in range(rounds + 1):
-        rows = [{"ep": 1, "idx": t, "cue": cue, "dur": P.spoken(c)[0], "pause": P.spoken(c)[1], "total": total} for t, (cue, c) in sorted(turns.items())]
-        found = list(S._timeline(250, 1500, 1000, False)(iter(rows)))
+        rows = [S.Turn(1, t, cue, *P.spoken(c), total) for t, (cue, c) in sorted(turns.items())]
+        found = list(S._placed(iter(rows), False))
         if n == rounds:
             return turns, found
         for r, (_, t, _, window, _, _, way, _) in zip(rows, found):
             cue, counts = turns[t]
             if way is None or window <= 0 or way == "fuller" and min(counts) >= 275:
                 continue
-            (lower if way == "fuller" else upper)[t] = (counts, r["dur"])
+            (lower if way == "fuller" else upper)[t] = (counts, r.dur)
             floor = 1 if window < 2500 else 4
             (lc, ld), (uc, ud) = lower.get(t, ([], 0)), upper.get(t, ([], 0))
             if lc and uc and ld < window < ud and all(a < b for a, b in zip(lc, uc)):
@@ -37,9 +37,9 @@ def fitted_by_hand(turns, total, rounds=3):
                 new = [min(b - 1, max(a + 1, x)) if b - a > 1 else x for a, b, x in zip(lc, uc, new)]
                 new = [min(275, max(floor, x)) for x in new]
             elif way == "fuller":
-                new = allocated(counts, window / r["dur"] * 1.07, floor)
+                new = allocated(counts, window / r.dur * 1.07, floor)
             else:
-                new = [max(floor, round(c * (window / r["dur"] * 0.95))) for c in counts]
+                new = [max(floor, round(c * (window / r.dur * 0.95))) for c in counts]
             turns[t] = cue, new
 
 

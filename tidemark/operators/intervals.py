@@ -3,6 +3,10 @@
 A plain range predicate compares all rows of a key. Here both sides are cut into buckets of time and joined
 on key and bucket, so a long or hot key is spread over its timeline; a pair that shares several buckets is
 kept only in the one where the later of its two starts lies.
+
+Buckets come in three widths, each 4,096 times the one before. A span has the narrowest width at which it
+covers few buckets, and a pair meets at the wider one of its two: a span of 10^12 ms costs a few thousand rows, not
+millions, and the buckets of all other rows stay as they are.
 """
 
 from __future__ import annotations
@@ -10,11 +14,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Factor between the widths of buckets, and the number of widths.
+WIDER, WIDTHS = 4096, 3
+
 
-def _bucketed(df: DataFrame, start: str, end: str, width: int, before: int, after: int) -> DataFrame:
-    lo = F.floor((F.col(start) - before) / width)
-    hi = F.floor(F.greatest(F.col(end) + after, F.col(start)) / width)
-    return df.withColumn("_bucket", F.explode(F.sequence(lo, F.greatest(lo, hi))))
+def _bucketed(df: DataFrame, start: str, end: str, width: int, before: int, after: int, prefix: str) -> DataFrame:
+    """Rows with their own width (`own`) and, at this and every wider one, the width (`level`) and the buckets."""
+    lo, hi = F.col(start) - before, F.greatest(F.col(end) + after, F.col(start))
+    own = F.lit(WIDTHS - 1)
+    for k in reversed(range(WIDTHS - 1)):
+        own = F.when(hi - lo < F.lit(width * WIDER ** (k + 1)), k).otherwise(own)
+    spans = [F.struct(F.lit(k).alias("level"), F.floor(lo / (width * WIDER**k)).alias("a"), F.floor(hi / (width * WIDER**k)).alias("b")) for k in range(WIDTHS)]
+    # a null time gives no bucket
+    met = F.filter(F.array(*spans), lambda x: (x["level"] >= own) & (x["a"] <= x["b"]))
+    buckets = F.flatten(F.transform(met, lambda x: F.transform(F.sequence(x["a"], x["b"]), lambda n: F.struct(own.alias(f"{prefix}own"), x["level"].alias(f"{prefix}level"), n.alias(f"{prefix}bucket")))))
+    return df.select("*", F.inline(buckets))
 
 
 def overlap_join(
@@ -25,8 +39,10 @@ def overlap_join(
     Columns of the two sides must differ but for `key`. Times are integers. Null keys and null times match
     nothing.
     """
-    a = _bucketed(left, *l_span, width, margin, margin)
-    b = _bucketed(right, *r_span, width, 0, 0).withColumnRenamed(key, "_rkey").withColumnRenamed("_bucket", "_rbucket")
-    both = a.join(b, (F.col(key) == F.col("_rkey")) & (F.col("_bucket") == F.col("_rbucket")) & on, "inner")
+    a = _bucketed(left, *l_span, width, margin, margin, "_l_")
+    b = _bucketed(right, *r_span, width, 0, 0, "_r_").withColumnRenamed(key, "_rkey")
+    meet = (F.col(key) == F.col("_rkey")) & (F.col("_l_level") == F.col("_r_level")) & (F.col("_l_bucket") == F.col("_r_bucket"))
+    both = a.join(b, meet & (F.col("_l_level") == F.greatest("_l_own", "_r_own")) & on, "inner")
     later = F.greatest(F.col(l_span[0]) - margin, F.col(r_span[0]))
-    return both.where(F.floor(later / width) == F.col("_bucket")).drop("_rkey", "_bucket", "_rbucket")
+    size = F.element_at(F.array(*[F.lit(width * WIDER**k) for k in range(WIDTHS)]), F.col("_l_level") + 1)
+    return both.where(F.floor(later / size) == F.col("_l_bucket")).drop("_rkey", *[f"_{side}_{c}" for side in "lr" for c in ("own", "level", "bucket")])

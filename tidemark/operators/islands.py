@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,51 +22,96 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, na
     return flagged.withColumn(name, F.sum("_open").over(w.rowsBetween(UNBOUNDED, 0)) - 1).drop("_open")
 
 
+def next_in_order(rows: DataFrame, order: list[str], values: dict[str, str], stretch_ms: int = 600_000) -> DataFrame:
+    """Add the values {new name: column} of the next row of the episode in order; the first of `order` is a time in ms.
+
+    The episode is worked in stretches of time; only the first and last rows of a stretch meet in one window.
+    """
+    cut = rows.withColumn("_st", F.expr(f"{order[0]} div {stretch_ms}"))
+    w = Window.partitionBy("ep", "_st").orderBy(*order)
+    told = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
+    near = cut.withColumn("_own", told).withColumn("_near", F.lead("_own").over(w)).withColumn("_k", F.row_number().over(w))
+    edge = (F.col("_k") == 1) | F.col("_near").isNull()
+    placed = near.withColumn("_place", F.when(edge, F.lit(-1)).otherwise(F.col("_st")))
+    v = Window.partitionBy("ep", "_place").orderBy("_st", *order)
+    far = placed.withColumn("_next", F.coalesce("_near", F.lead("_own").over(v)))
+    return far.select(*rows.columns, *[F.col(f"_next.{n}").alias(n) for n in values])
+
+
+def _stretch_parts(gap_ms: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Kernel over rows sorted by (ep, _st, s, e, idx): the merged parts of each stretch, as if nothing came before it."""
+
+    def parts(t: pd.DataFrame) -> pd.DataFrame:
+        t = t[~(t[["ep", "s", "e", "idx", "speaker"]].eq(t[["ep", "s", "e", "idx", "speaker"]].shift()).all(axis=1))]  # repeated rows
+        new = (t["ep"] != t["ep"].shift()) | (t["_st"] != t["_st"].shift())
+        run = (new | (t["speaker"] != t["speaker"].shift())).cumsum()
+        reach = t["e"].groupby(run).cummax().shift().where(run == run.shift())
+        part = (reach.isna() | (t["s"] - reach >= gap_ms)).cumsum()
+        group, first = new.cumsum(), run.groupby(new.cumsum()).transform("min")
+        got = t.assign(_part=part, _group=group, _first=run == first)
+        out = got.groupby("_part", sort=False).agg(
+            ep=("ep", "first"), _st=("_st", "first"), _group=("_group", "first"), _first=("_first", "first"), s=("s", "first"),
+            e=("e", "max"), speaker=("speaker", "first"), n_rows=("idx", "size"), idx=("idx", "first"),
+        )
+        return out.assign(_edge=out["_first"] | (out["_group"] != out["_group"].shift(-1)), _part=np.arange(len(out)))
+
+    def batch(t: pd.DataFrame) -> pa.RecordBatch:
+        out = parts(t)[[n for n, _ in _PART]]
+        return pa.RecordBatch.from_pandas(out, schema=pa.schema(_PART), preserve_index=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pd.DataFrame | None = None
+        for b in batches:
+            t = b.to_pandas() if held is None else pd.concat([held, b.to_pandas()], ignore_index=True)
+            if not len(t):
+                continue
+            same = ((t["ep"] == t["ep"].iloc[-1]) & (t["_st"] == t["_st"].iloc[-1])).to_numpy()
+            done = int(same.argmax())  # the last stretch may go on in the next batch
+            if done:
+                yield batch(t.iloc[:done])
+            held = t.iloc[done:]
+        if held is not None and len(held):
+            yield batch(held)
+
+    return run
+
+
+_PART = [
+    ("ep", pa.int64()), ("_st", pa.int64()), ("_part", pa.int64()), ("_first", pa.bool_()), ("_edge", pa.bool_()), ("s", pa.int64()),
+    ("e", pa.int64()), ("speaker", pa.string()), ("n_rows", pa.int64()), ("idx", pa.int64()),
+]
+
+
 def merge_segments(segs: DataFrame, gap_ms: int = 300, stretch_ms: int = 600_000) -> DataFrame:
     """Merge segments (ep, idx, s, e, speaker) with the merged one before them if the speaker is the same
     and the gap is below gap_ms; returns ep, s, e, speaker, n_rows and idx, the first row's.
 
-    Order is start, end, idx. A run of one speaker is an island by itself; within it a segment opens a new
-    island when it starts gap_ms or more after the furthest end so far. An episode is worked in stretches
-    of time: what a stretch needs from those before it is the open run's speaker and furthest end, which
-    one row a stretch hands on, so an episode of any length is spread over many tasks.
+    Order is start, end, idx; repeated rows count once; rows with a null ep, time or speaker are left out. A
+    run of one speaker is an island by itself; within it a segment opens a new island when it starts gap_ms
+    or more after the furthest end so far. One pass over stretches of time merges each of them as if
+    nothing came before it. Only parts of a stretch's first run, which an open run may reach into, and its last
+    part meet again in a window of the episode, so the raw rows of an episode are spread over many tasks.
     """
-    order = ["s", "e", "idx"]
-    rows = segs.withColumn("_st", F.expr(f"s div {stretch_ms}"))
-    w = Window.partitionBy("ep", "_st").orderBy(*order)
-    rows = rows.withColumn("_old", F.lag("speaker").over(w))
-    rows = islands(rows, ["ep", "_st"], order, ~F.col("speaker").eqNullSafe(F.col("_old")), "_run")
-    # what each stretch hands on: its first and last speaker, and the furthest end of its last run
-    ends = rows.groupBy("ep", "_st", "_run").agg(F.max("e").alias("_far"), F.first("speaker").alias("_sp"))
-    facts = ends.groupBy("ep", "_st").agg(
-        F.min_by("_sp", "_run").alias("_first"), F.max_by("_sp", "_run").alias("_last"), F.max_by("_far", "_run").alias("_far"), F.max("_run").alias("_runs")
-    )
-    v = Window.partitionBy("ep").orderBy("_st")
-    facts = facts.withColumn("_before", F.lag("_last").over(v)).withColumn("_some", F.lag("_st").over(v).isNotNull())
-    goes_on = F.col("_some") & F.col("_first").eqNullSafe(F.col("_before"))
-    chained = islands(facts.withColumn("_on", goes_on), ["ep"], ["_st"], ~(F.col("_on") & (F.col("_runs") == 0)), "_chain")
-    chain = Window.partitionBy("ep", "_chain").orderBy("_st").rowsBetween(UNBOUNDED, 0)
-    known = chained.withColumn("_reached", F.max("_far").over(chain))
-    given = known.withColumn("_in", F.when(F.col("_on"), F.lag("_reached").over(v))).select("ep", F.col("_st"), "_in")
-
-    r = Window.partitionBy("ep", "_st", "_run").orderBy(*order)
-    reach = rows.join(given, ["ep", "_st"]).withColumn("_in", F.when(F.col("_run") == 0, F.col("_in")))
-    reach = reach.withColumn("_reach", F.greatest("_in", F.max("e").over(r.rowsBetween(UNBOUNDED, -1))))
-    reach = reach.withColumn("_opens", F.coalesce(F.col("s") - F.col("_reach") >= gap_ms, F.lit(True)))
-    cut = islands(reach, ["ep", "_st"], order, F.col("_opens"), "_part")
-    parts = cut.groupBy("ep", "_st", "_part").agg(
-        F.min("s").alias("s"), F.max("e").alias("e"), F.first("speaker").alias("speaker"), F.count("*").alias("n_rows"),
-        F.min_by("idx", F.struct(*order)).alias("idx"), F.min_by("_opens", F.struct(*order)).alias("_opens"),
+    rows = segs.select(F.col("ep").cast("bigint"), F.expr(f"s div {stretch_ms}").alias("_st"), "s", "e", F.col("idx").cast("bigint"), "speaker").dropna()
+    sorted_rows = rows.repartition("ep", "_st").sortWithinPartitions("ep", "_st", "s", "e", "idx", "speaker")
+    parts = sorted_rows.mapInArrow(
+        _stretch_parts(gap_ms), "ep bigint, _st bigint, _part bigint, _first boolean, _edge boolean, s bigint, e bigint, speaker string, n_rows bigint, idx bigint"
     )
-    # only the last part of a stretch and the first of the next ones can be one
-    edge = (F.col("_part") == 0) | (F.col("_part") == F.max("_part").over(Window.partitionBy("ep", "_st")))
-    placed = parts.withColumn("_place", F.when(edge, F.lit(-1)).otherwise(F.col("_st")))
-    joined = islands(placed, ["ep", "_place"], ["_st", "_part"], F.col("_opens"), "_whole")
-    at = F.struct("_st", "_part")
+    placed = parts.withColumn("_place", F.when(F.col("_edge"), F.lit(-1)).otherwise(F.col("_st")))
+    order = ["_st", "s", "e", "idx"]
+    w = Window.partitionBy("ep", "_place").orderBy(*order)
+    # a part of a first run goes on with the run of the part before it if the speaker is the same
+    on = F.col("_first") & F.col("speaker").eqNullSafe(F.lag("speaker").over(w))
+    runs = placed.withColumn("_on", on)
+    runs = runs.withColumn("_chain", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(w.rowsBetween(UNBOUNDED, 0)))
+    c = Window.partitionBy("ep", "_place", "_chain").orderBy(*order)
+    reach = F.max("e").over(c.rowsBetween(UNBOUNDED, -1))
+    cut = runs.withColumn("_opens", F.coalesce(F.col("s") - reach >= gap_ms, F.lit(True)))
+    whole = cut.withColumn("_whole", F.sum(F.col("_opens").cast("int")).over(c.rowsBetween(UNBOUNDED, 0)))
     return (
-        joined.groupBy("ep", "_place", "_whole")
-        .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.first("speaker").alias("speaker"), F.sum("n_rows").alias("n_rows"), F.min_by("idx", at).alias("idx"))
-        .drop("_place", "_whole")
+        whole.groupBy("ep", "_place", "_chain", "_whole")
+        .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.first("speaker").alias("speaker"), F.sum("n_rows").alias("n_rows"), F.min_by("idx", F.struct(*order)).alias("idx"))
+        .select(*[F.col(c).cast(segs.schema[c].dataType).alias(c) for c in ("ep", "s", "e", "speaker")], "n_rows", F.col("idx").cast(segs.schema["idx"].dataType))
     )
 
 

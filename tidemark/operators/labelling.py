@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.intervals import overlap_join
+from tidemark.operators.islands import next_in_order
 
 SPLIT_EDGE_MS = 50
 SPLIT_HOLD_MS = 400
@@ -23,36 +24,46 @@ def speaker_ranks(merged: DataFrame, floor: float = 0.01) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(w) - 1).drop("_all")
 
 
-def label_by_overlap(phrases: DataFrame, segs: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Phrases (ep, idx, s, e) with the speaker whose segment overlaps them most.
+def named_speakers(ranks: DataFrame, names: DataFrame) -> DataFrame:
+    """`ranks` with `name`: the episode's name of that rank (names: ep, rank, name), or spk_ and the rank."""
+    given = names.select("ep", "rank", F.col("name").alias("_name")).dropDuplicates(["ep", "rank"])
+    return ranks.join(given, ["ep", "rank"], "left").withColumn("name", F.coalesce("_name", F.concat(F.lit("spk_"), F.col("rank").cast("string")))).drop("_name")
 
-    `segs` are (ep, s, e, speaker). The first segment wins ties; a phrase that none overlaps gets the
-    episode's first-ranked speaker, or 'spk_0' where there is none.
+
+def kept_segments(merged: DataFrame, named: DataFrame) -> DataFrame:
+    """Merged segments (ep, s, e, idx, speaker) of the speakers that `named` keeps, under their names. Segments of
+    the others (noise) are dropped, and what they parted is not merged again."""
+    known = named.select("ep", "speaker", F.col("name").alias("_name"))
+    return merged.join(known, ["ep", "speaker"]).select("ep", "s", "e", "idx", F.col("_name").alias("speaker"))
+
+
+def label_by_overlap(spans: DataFrame, kept: DataFrame, named: DataFrame, keys: tuple[str, ...] = ("ep", "idx")) -> DataFrame:
+    """Spans (keys, s, e) with the speaker whose segment overlaps them most.
+
+    `kept` are the named segments of `kept_segments`. The first segment wins ties; a span that none overlaps
+    gets the name of the episode's first-ranked speaker, or 'spk_0' where there is none.
     """
-    right = segs.select("ep", F.col("s").alias("_s"), F.col("e").alias("_e"), "speaker")
+    right = kept.select("ep", F.col("s").alias("_s"), F.col("e").alias("_e"), "speaker")
     on = (F.col("s") < F.col("_e")) & (F.col("_s") < F.col("e"))
-    pairs = overlap_join(phrases.select("ep", "idx", "s", "e"), right, "ep", ("s", "e"), ("_s", "_e"), on)
+    pairs = overlap_join(spans.select(*keys, "s", "e"), right, "ep", ("s", "e"), ("_s", "_e"), on)
     share = F.least("e", "_e") - F.greatest("s", "_s")
-    best = pairs.where(share > 0).groupBy("ep", "idx").agg(F.min_by("speaker", F.struct(-share, "_s", "_e", "speaker")).alias("_best"))
-    top = ranks.where("rank = 0").select("ep", F.col("speaker").alias("_top"))
+    best = pairs.where(share > 0).groupBy(*keys).agg(F.min_by("speaker", F.struct(-share, "_s", "_e", "speaker")).alias("_best"))
+    top = named.where("rank = 0").select("ep", F.col("name").alias("_top"))
     return (
-        phrases.join(best, ["ep", "idx"], "left")
+        spans.join(best, list(keys), "left")
         .join(top, "ep", "left")
         .withColumn("speaker", F.coalesce("_best", "_top", F.lit("spk_0")))
         .drop("_best", "_top")
     )
 
 
-def handoff_cuts(phrases: DataFrame, segs: DataFrame) -> DataFrame:
+def handoff_cuts(phrases: DataFrame, kept: DataFrame) -> DataFrame:
     """Cuts (ep, idx, cut2) where a phrase passes from one speaker to the next; cut2 is twice the cut in ms.
 
-    A cut lies midway between consecutive segments of different speakers, inside the phrase by 50 ms, and
-    both must hold at least 400 ms of it.
+    `kept` are the named segments of `kept_segments`. A cut lies midway between consecutive segments of
+    different names, inside the phrase by 50 ms, and both must hold at least 400 ms of it.
     """
-    w = Window.partitionBy("ep").orderBy("s", "e", "speaker")
-    nxt = (
-        segs.withColumn("_ns", F.lead("s").over(w)).withColumn("_ne", F.lead("e").over(w)).withColumn("_nsp", F.lead("speaker").over(w)).where("_nsp <> speaker")
-    )
+    nxt = next_in_order(kept, ["s", "e", "idx"], {"_ns": "s", "_ne": "e", "_nsp": "speaker"}).where("_nsp <> speaker")
     cuts = nxt.select("ep", F.col("s").alias("_a0"), F.col("e").alias("_b0"), F.col("_ns").alias("_a1"), F.col("_ne").alias("_b1"), (F.col("e") + F.col("_ns")).alias("cut2"))
     cuts = cuts.withColumn("_at", F.floor(F.col("cut2") / 2)).withColumn("_to", F.col("_at"))
     on = (
@@ -66,21 +77,41 @@ def handoff_cuts(phrases: DataFrame, segs: DataFrame) -> DataFrame:
 
 
 def split_at_cuts(words: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Pieces (ep, idx, bucket, s, e, n_words, text) of phrases with cuts.
+    """Pieces (ep, idx, bucket, s, e, n_words, text, words) of phrases with cuts.
 
     `words` are (ep, idx, word_no, ws, we, word). A word belongs to the bucket numbered by the cuts before
-    its middle; a piece runs from its first word's start to its last word's end.
+    its middle; a piece runs from its first word's start to its last word's end. `words` of the result are
+    structs (word, ws, we) in order.
     """
     lists = cuts.groupBy("ep", "idx").agg(F.collect_set("cut2").alias("_cuts"))
     placed = words.join(lists, ["ep", "idx"]).withColumn("bucket", F.size(F.filter("_cuts", lambda c: c < F.col("ws") + F.col("we"))))
-    return placed.groupBy("ep", "idx", "bucket").agg(
-        F.min_by("ws", "word_no").alias("s"),
-        F.max_by("we", "word_no").alias("e"),
-        F.count("*").alias("n_words"),
-        F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("word_no", "word"))), lambda x: x["word"])).alias("text"),
+    said = F.array_sort(F.collect_list(F.struct("word_no", "word", "ws", "we")))
+    got = placed.groupBy("ep", "idx", "bucket").agg(F.min_by("ws", "word_no").alias("s"), F.max_by("we", "word_no").alias("e"), F.count("*").alias("n_words"), said.alias("_w"))
+    return got.select(
+        "ep", "idx", "bucket", "s", "e", "n_words",
+        F.concat_ws("", F.transform("_w", lambda x: x["word"])).alias("text"),
+        F.transform("_w", lambda x: F.struct(x["word"].alias("word"), x["ws"].alias("ws"), x["we"].alias("we"))).alias("words"),
     )
 
 
+def label_pieces(phrases: DataFrame, words: DataFrame, merged: DataFrame, names: DataFrame) -> DataFrame:
+    """Phrases cut at handoffs, each piece under the speaker of most of it: ep, idx, bucket, s, e, text, words, speaker.
+
+    `phrases` are (ep, idx, s, e, text), `words` their words, `merged` merged segments and `names` the names of an
+    episode by rank. Speakers under 1 % of the time are left out first. A phrase without a cut or without
+    words stays one piece with bucket 0, and each piece is labelled by itself.
+    """
+    named = named_speakers(speaker_ranks(merged), names)
+    kept = kept_segments(merged, named)
+    parts = split_at_cuts(words, handoff_cuts(phrases, kept))
+    said = F.array_sort(F.collect_list(F.struct("word_no", "word", "ws", "we")))
+    spoken = words.groupBy("ep", "idx").agg(F.transform(said, lambda x: F.struct(x["word"].alias("word"), x["ws"].alias("ws"), x["we"].alias("we"))).alias("words"))
+    whole = phrases.join(parts.select("ep", "idx").distinct(), ["ep", "idx"], "left_anti").join(spoken, ["ep", "idx"], "left")
+    cols = ("ep", "idx", "bucket", "s", "e", "text", "words")
+    pieces = parts.select(*cols).unionByName(whole.withColumn("bucket", F.lit(0)).select(*cols))
+    return label_by_overlap(pieces, kept, named, ("ep", "idx", "bucket"))
+
+
 def clean_segments(segs: DataFrame, least_ms: int = 4000, most_ms: int = 12000, clear_ms: int = 200) -> DataFrame:
     """Segments of 4 to 12 s that no other speaker comes within 200 ms of; rows keep their columns.
 
@@ -93,11 +124,19 @@ def clean_segments(segs: DataFrame, least_ms: int = 4000, most_ms: int = 12000,
     return cand.join(hit.select("ep", "idx").distinct(), ["ep", "idx"], "left_anti")
 
 
-def top_up(clean: DataFrame, wanted_ms: int = 60_000) -> DataFrame:
-    """The longest clean segments of each speaker until wanted_ms are reached; ties by start."""
+def top_up(clean: DataFrame, wanted_ms: int = 60_000, least_ms: int | None = None) -> DataFrame:
+    """The longest clean segments of each speaker until wanted_ms are reached; ties by start.
+
+    With least_ms a speaker whose chosen segments sum to less fails the job.
+    """
     w = Window.partitionBy("ep", "speaker").orderBy(F.desc(F.col("e") - F.col("s")), "s", "idx")
     had = F.coalesce(F.sum(F.col("e") - F.col("s")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return clean.withColumn("_had", had).where(F.col("_had") < wanted_ms).drop("_had")
+    chosen = clean.withColumn("_had", had).where(F.col("_had") < wanted_ms).drop("_had")
+    if least_ms is None:
+        return chosen
+    total = F.sum(F.col("e") - F.col("s")).over(Window.partitionBy("ep", "speaker"))
+    short = F.concat_ws("", F.lit("only "), F.col("_total").cast("string"), F.lit(" ms of clean speech of "), "speaker")
+    return chosen.withColumn("_total", total).where(F.when(F.col("_total") >= least_ms, F.lit(True)).otherwise(F.raise_error(short).cast("boolean"))).drop("_total")
 
 
 def reference_transcript(chosen: DataFrame, phrases: DataFrame) -> DataFrame:

@@ -6,17 +6,32 @@ finite times in order are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.islands import merge_segments
 from tidemark.operators.periods import to_ms
 from tidemark.plans.registry import table
+from tidemark.session import cut_lineage
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Diarization segments (ep, idx, s, e, speaker)."""
+    """Diarization segments (ep, idx, s, e, speaker); repeated rows are left in, for operators that count them once."""
     rows = table(spark, sf_dir, "diar_segments").where("length(trim(speaker)) > 0")
-    return rows.select("ep", "idx", to_ms(F.col("start_s")).alias("s"), to_ms(F.col("end_s")).alias("e"), "speaker").where("s >= 0 AND e > s").distinct()
+    return rows.select("ep", "idx", to_ms(F.col("start_s")).alias("s"), to_ms(F.col("end_s")).alias("e"), "speaker").where("s >= 0 AND e > s")
+
+
+def merged_segments(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    """Merged segments; with `once` they are written to the checkpoint folder, for plans that read them more than once."""
+    merged = merge_segments(segments(spark, sf_dir))
+    return cut_lineage(merged) if once else merged
+
+
+def roster_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of an episode by rank (ep, rank, name): its roster in the order of the labels, then of the names."""
+    refs = table(spark, sf_dir, "speaker_refs").select("ep", "speaker", "diar_label").distinct()
+    w = Window.partitionBy("ep").orderBy("diar_label", "speaker")
+    return refs.select("ep", (F.row_number().over(w) - 1).alias("rank"), F.col("speaker").alias("name"))
 
 
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +74,9 @@ merged AS (SELECT ep, min(s) AS s, max(e) AS e, min(speaker) AS speaker, count(*
 RANKS = """tot AS (SELECT ep, speaker, CAST(sum(e - s) AS BIGINT) AS total_ms FROM merged GROUP BY ep, speaker),
 ranks AS (SELECT ep, speaker, total_ms, row_number() OVER (PARTITION BY ep ORDER BY total_ms DESC, speaker) - 1 AS rank
   FROM (SELECT *, sum(total_ms) OVER (PARTITION BY ep) AS al FROM tot) WHERE total_ms >= 0.01 * al OR al = 0)"""
+NAMED = """names AS (SELECT ep, row_number() OVER (PARTITION BY ep ORDER BY diar_label NULLS FIRST, speaker NULLS FIRST) - 1 AS rank, speaker AS name FROM (SELECT DISTINCT ep, speaker, diar_label FROM speaker_refs)),
+named AS (SELECT k.ep, k.speaker, k.total_ms, k.rank, coalesce(n.name, 'spk_' || k.rank) AS name FROM ranks k LEFT JOIN names n ON n.ep = k.ep AND n.rank = k.rank),
+kept AS (SELECT m.ep, m.s, m.e, m.idx, d.name AS speaker FROM merged m JOIN named d ON d.ep = m.ep AND d.speaker = m.speaker)"""
 #: Unicode white space in RE2, which knows only the ASCII kind.
 NONBLANK = r"[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import islands as I
 from tidemark.operators import labelling as LB
 from tidemark.operators import scans as S
 from tidemark.plans import base as B
@@ -36,7 +35,7 @@ def snapped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     units = units_in_window(spark, sf_dir)
     chunks = S.turn_chunks(units.drop("total"))
-    speech = I.merge_segments(B.segments(spark, sf_dir)).select("ep", "s", "e")
+    speech = B.merged_segments(spark, sf_dir, once=True).select("ep", "s", "e")
     first = chunks.where("part_index = 0").select("ep", "turn_id", "s")
     heard = speech.select("ep").distinct()
     snapped = LB.snap_to_onsets(first, speech).select("ep", "turn_id", "snapped")
@@ -47,10 +46,11 @@ def snapped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("s", F.col("s") + shift).withColumn("e", F.greatest(F.col("e") + shift, F.col("s") + 1)).drop("snapped")
 
 
-def spoken(counts: list[int]) -> tuple[int, int]:
-    """Stand-in duration of a turn with these words in its chunks, and what its pauses can save."""
-    dur = sum(counts) * MS_A_WORD + (len(counts) - 1) * 150 + 100
-    return dur, dur // 10
+def spoken(counts: list[int]) -> tuple[int, list[int]]:
+    """Stand-in duration of a turn with these words in its chunks, and its pauses: one between chunks, and one after
+    every ten words."""
+    pauses = [150] * (len(counts) - 1) + [300] * (sum(counts) // 10)
+    return sum(counts) * MS_A_WORD + (len(counts) - 1) * 150 + 100, pauses
 
 
 def fit_loop(chunks: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:

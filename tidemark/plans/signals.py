@@ -11,13 +11,16 @@ from tidemark.plans.registry import query, table
 _FRAMES = 48
 
 
-def _levels(spark: SparkSession, sf_dir: str, track: str) -> DataFrame:
-    """Dense half-hour levels (day, frame, rms) of one event type; empty frames are 0."""
-    ev = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    days = ev.select("day").distinct().select("day", F.explode(F.sequence(F.lit(0), F.lit(_FRAMES - 1))).alias("frame"))
+def _levels(spark: SparkSession, sf_dir: str, *tracks: str) -> DataFrame:
+    """Dense half-hour levels (day, frame, and a column for each event type) from one scan; empty frames are 0."""
     at = (F.hour("ts") * 2 + F.floor(F.minute("ts") / 30)).cast("int")
-    got = G.frame_levels(ev.where(F.col("event_type") == track).select("day", at.alias("frame"), "value"), ["day"], "frame", "value")
-    return days.join(got, ["day", "frame"], "left").select("day", "frame", F.coalesce("rms", F.lit(0.0)).alias("rms"))
+    ev = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), at.alias("frame"), "event_type", "value")
+    value = F.col("value").cast("double")
+    levels = [F.sqrt(F.avg(F.when(F.col("event_type") == t, value * value))).alias(t) for t in tracks]
+    frames = ev.groupBy("day", "frame").agg(*levels)
+    filled = frames.groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("frame", F.struct(*tracks).alias("v")))).alias("at"))
+    dense = filled.select("day", "at", F.explode(F.sequence(F.lit(0), F.lit(_FRAMES - 1))).alias("frame"))
+    return dense.select("day", "frame", *[F.coalesce(F.col("at")[F.col("frame")][t], F.lit(0.0)).alias(t) for t in tracks])
 
 
 def _sql_levels(name: str, track: str) -> str:
@@ -32,37 +35,34 @@ m AS (SELECT o.day, o.frame, o.active AS o, max(d.active) OVER (PARTITION BY o.d
   FROM orig_a o JOIN dub_a d ON d.day = o.day AND d.frame = o.frame)"""
 
 
-def _masks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return (
-        G.activity(_levels(spark, sf_dir, "view"), ["day"], 0.006, 1.0),
-        G.activity(_levels(spark, sf_dir, "click"), ["day"], 0.005, 1.0),
-    )
+def _masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = G.activity(_levels(spark, sf_dir, "view", "click"), ["day"], 0.006, 1.0, "view", "original")
+    return G.activity(both, ["day"], 0.005, 1.0, "click", "dub")
 
 
 @query(f"""WITH {_GATE},
 dead AS (SELECT day, max(n) AS longest FROM (SELECT day, count(*) AS n FROM (SELECT day, frame, frame - row_number() OVER (PARTITION BY day ORDER BY frame) AS g FROM m WHERE o = 1 AND near = 0) GROUP BY day, g) GROUP BY day)
 SELECT m.day, round(sum(o * near) / greatest(sum(o), 1), 6) AS coverage, CAST(coalesce(max(longest), 0) AS BIGINT) AS longest_dead FROM m LEFT JOIN dead ON dead.day = m.day GROUP BY m.day""")
 def gate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gate = G.coverage_gate(*_masks(spark, sf_dir), ["day"], "frame", 1)
+    gate = G.coverage_gate(_masks(spark, sf_dir), ["day"], "frame", 1)
     return gate.select("day", F.round("coverage", 6).alias("coverage"), "longest_dead")
 
 
 @query(f"WITH {_DAYS}, {_sql_levels('orig', 'view')} SELECT day, frame, round(rms, 6) AS rms FROM orig")
 def frame_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _levels(spark, sf_dir, "view").select("day", "frame", F.round("rms", 6).alias("rms"))
+    return _levels(spark, sf_dir, "view").select("day", "frame", F.round("view", 6).alias("rms"))
 
 
 @query(f"WITH {_GATE} SELECT day, frame, o AS active, near FROM m")
 def mask_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _masks(spark, sf_dir)
-    both = a.select("day", "frame", "active").join(b.select("day", "frame", F.col("active").alias("d")), ["day", "frame"])
-    return G.dilate(both, ["day"], "frame", "d", 1, "near").select("day", "frame", "active", "near")
+    near = G.dilate(_masks(spark, sf_dir), ["day"], "frame", "dub", 1, "near")
+    return near.select("day", "frame", F.col("original").alias("active"), "near")
 
 
 @query(f"""WITH {_DAYS}, {_sql_levels('orig', 'view')}, {_ACT.format('orig', 0.006)}
 SELECT day, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS length FROM (SELECT day, frame, frame - row_number() OVER (PARTITION BY day ORDER BY frame) AS g FROM orig_a WHERE active = 1) GROUP BY day, g""")
 def mask_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.true_runs(_masks(spark, sf_dir)[0], ["day"], "frame", F.col("active") == 1)
+    return G.true_runs(_masks(spark, sf_dir), ["day"], "frame", F.col("original") == 1)
 
 
 _VEC = "v AS (SELECT vec_id, embedding FROM embeddings)"

@@ -13,54 +13,77 @@ from tidemark.plans import base as B
 from tidemark.plans.registry import query, table
 
 
-def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.merge_segments(B.segments(spark, sf_dir))
-
-
 @query(f"WITH {B.SEG}, {B.MERGED} SELECT ep, idx, s, e, speaker, n_rows FROM merged")
 def segment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir).select("ep", "idx", "s", "e", "speaker", "n_rows")
+    return B.merged_segments(spark, sf_dir).select("ep", "idx", "s", "e", "speaker", "n_rows")
 
 
-@query(f"""WITH {B.SEG}, {B.MERGED}, {B.RANKS}
-SELECT k.ep, k.speaker, k.total_ms, CAST(k.rank AS INT) AS rank, coalesce(r.speaker, 'spk_' || k.rank) AS name
-FROM ranks k LEFT JOIN (SELECT DISTINCT ep, speaker, diar_label FROM speaker_refs) r ON r.ep = k.ep AND r.diar_label = k.speaker""")
+@query(f"""WITH {B.SEG}, {B.MERGED}, {B.RANKS}, {B.NAMED} SELECT ep, speaker, total_ms, CAST(rank AS INT) AS rank, name FROM named""")
 def speaker_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = LB.speaker_ranks(_merged(spark, sf_dir))
-    refs = table(spark, sf_dir, "speaker_refs").select("ep", F.col("diar_label").alias("speaker"), F.col("speaker").alias("_name")).distinct()
-    return ranks.join(refs, ["ep", "speaker"], "left").select("ep", "speaker", "total_ms", "rank", F.coalesce("_name", F.concat(F.lit("spk_"), "rank")).alias("name"))
+    ranks = LB.speaker_ranks(B.merged_segments(spark, sf_dir))
+    return LB.named_speakers(ranks, B.roster_names(spark, sf_dir)).select("ep", "speaker", "total_ms", "rank", "name")
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(merged segments, named speakers, named segments), the first read from a checkpoint."""
+    merged = B.merged_segments(spark, sf_dir, once=True)
+    named = LB.named_speakers(LB.speaker_ranks(merged), B.roster_names(spark, sf_dir))
+    return merged, named, LB.kept_segments(merged, named)
 
 
-@query(f"""WITH {B.SEG}, {B.MERGED}, {B.RANKS}, {B.PHR},
-ov AS (SELECT p.ep, p.idx, m.speaker, row_number() OVER (PARTITION BY p.ep, p.idx ORDER BY least(p.e, m.e) - greatest(p.s, m.s) DESC, m.s, m.e, m.speaker) AS k
-  FROM phr p JOIN merged m ON m.ep = p.ep AND m.s < p.e AND p.s < m.e AND least(p.e, m.e) > greatest(p.s, m.s))
-SELECT p.ep, p.idx, p.s, p.e, coalesce(o.speaker, t.speaker, 'spk_0') AS speaker
-FROM phr p LEFT JOIN ov o ON o.ep = p.ep AND o.idx = p.idx AND o.k = 1 LEFT JOIN ranks t ON t.ep = p.ep AND t.rank = 0""")
+_BEST = """ov AS (SELECT p.ep, p.idx, m.speaker, row_number() OVER (PARTITION BY p.ep, p.idx ORDER BY least(p.e, m.e) - greatest(p.s, m.s) DESC, m.s, m.e, m.speaker) AS k
+  FROM phr p JOIN kept m ON m.ep = p.ep AND m.s < p.e AND p.s < m.e AND least(p.e, m.e) > greatest(p.s, m.s)),
+lab AS (SELECT p.ep, p.idx, p.s, p.e, p.text, coalesce(o.speaker, t.name, 'spk_0') AS speaker
+  FROM phr p LEFT JOIN ov o ON o.ep = p.ep AND o.idx = p.idx AND o.k = 1 LEFT JOIN named t ON t.ep = p.ep AND t.rank = 0)"""
+
+
+@query(f"WITH {B.SEG}, {B.MERGED}, {B.RANKS}, {B.NAMED}, {B.PHR}, {_BEST} SELECT ep, idx, s, e, speaker FROM lab")
 def overlap_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = _merged(spark, sf_dir)
+    _, named, kept = _labelled(spark, sf_dir)
     rows = B.phrases(spark, sf_dir).drop("text")
-    return LB.label_by_overlap(rows, merged, LB.speaker_ranks(merged)).select("ep", "idx", "s", "e", "speaker")
+    return LB.label_by_overlap(rows, kept, named).select("ep", "idx", "s", "e", "speaker")
 
 
-_CUTS = """nx AS (SELECT *, lead(s) OVER w AS ns, lead(e) OVER w AS ne, lead(speaker) OVER w AS nsp FROM merged WINDOW w AS (PARTITION BY ep ORDER BY s, e, speaker)),
+_CUTS = """nx AS (SELECT *, lead(s) OVER w AS ns, lead(e) OVER w AS ne, lead(speaker) OVER w AS nsp FROM kept WINDOW w AS (PARTITION BY ep ORDER BY s, e, idx)),
 cuts AS (SELECT DISTINCT p.ep, p.idx, n.e + n.ns AS cut2 FROM phr p JOIN nx n ON n.ep = p.ep AND n.nsp <> n.speaker
   AND n.e + n.ns > 2 * (p.s + 50) AND n.e + n.ns < 2 * (p.e - 50)
   AND least(n.e, p.e) - greatest(n.s, p.s) >= 400 AND least(n.ne, p.e) - greatest(n.ns, p.s) >= 400)"""
+_KEPT = f"{B.SEG}, {B.MERGED}, {B.RANKS}, {B.NAMED}, {B.PHR}"
 
 
-@query(f"WITH {B.SEG}, {B.MERGED}, {B.PHR}, {_CUTS} SELECT ep, idx, cut2 FROM cuts")
+@query(f"WITH {_KEPT}, {_CUTS} SELECT ep, idx, cut2 FROM cuts")
 def handoff_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LB.handoff_cuts(B.phrases(spark, sf_dir), _merged(spark, sf_dir))
+    return LB.handoff_cuts(B.phrases(spark, sf_dir), _labelled(spark, sf_dir)[2])
+
 
+_BUCKETS = """b AS (SELECT w.*, (SELECT count(*) FROM cuts c WHERE c.ep = w.ep AND c.idx = w.idx AND c.cut2 < w.ws + w.we)::INT AS bucket
+  FROM wrd w WHERE (w.ep, w.idx) IN (SELECT (ep, idx) FROM cuts)),
+bucketed AS (SELECT ep, idx, bucket, arg_min(ws, word_no) AS s, arg_max(we, word_no) AS e, count(*) AS n_words, coalesce(string_agg(word, '' ORDER BY word_no), '') AS text FROM b GROUP BY ep, idx, bucket)"""
 
-@query(f"""WITH {B.SEG}, {B.MERGED}, {B.PHR}, {_CUTS}, {B.WRD},
-b AS (SELECT w.*, (SELECT count(*) FROM cuts c WHERE c.ep = w.ep AND c.idx = w.idx AND c.cut2 < w.ws + w.we)::INT AS bucket
-  FROM wrd w WHERE (w.ep, w.idx) IN (SELECT (ep, idx) FROM cuts))
-SELECT ep, idx, bucket, arg_min(ws, word_no) AS s, arg_max(we, word_no) AS e, count(*) AS n_words, string_agg(word, '' ORDER BY word_no) AS text
-FROM b GROUP BY ep, idx, bucket""")
+
+@query(f"WITH {_KEPT}, {_CUTS}, {B.WRD}, {_BUCKETS} SELECT ep, idx, bucket, s, e, n_words, text FROM bucketed")
 def word_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cuts = LB.handoff_cuts(B.phrases(spark, sf_dir), _merged(spark, sf_dir))
-    return LB.split_at_cuts(B.words(spark, sf_dir), cuts)
+    cuts = LB.handoff_cuts(B.phrases(spark, sf_dir), _labelled(spark, sf_dir)[2])
+    return LB.split_at_cuts(B.words(spark, sf_dir), cuts).drop("words")
+
+
+_PIECES = """pieces AS (SELECT ep, idx, bucket, s, e, text, n_words FROM bucketed UNION ALL
+  SELECT p.ep, p.idx, 0, p.s, p.e, p.text, (SELECT count(*) FROM wrd w WHERE w.ep = p.ep AND w.idx = p.idx) FROM phr p WHERE (p.ep, p.idx) NOT IN (SELECT (ep, idx) FROM bucketed)),
+pov AS (SELECT p.ep, p.idx, p.bucket, m.speaker, row_number() OVER (PARTITION BY p.ep, p.idx, p.bucket ORDER BY least(p.e, m.e) - greatest(p.s, m.s) DESC, m.s, m.e, m.speaker) AS k
+  FROM pieces p JOIN kept m ON m.ep = p.ep AND m.s < p.e AND p.s < m.e AND least(p.e, m.e) > greatest(p.s, m.s)),
+plab AS (SELECT p.*, coalesce(o.speaker, t.name, 'spk_0') AS speaker FROM pieces p LEFT JOIN pov o ON o.ep = p.ep AND o.idx = p.idx AND o.bucket = p.bucket AND o.k = 1
+  LEFT JOIN named t ON t.ep = p.ep AND t.rank = 0)"""
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = B.merged_segments(spark, sf_dir, once=True)
+    return LB.label_pieces(B.phrases(spark, sf_dir), B.words(spark, sf_dir), merged, B.roster_names(spark, sf_dir))
+
+
+@query(f"WITH {_KEPT}, {_CUTS}, {B.WRD}, {_BUCKETS}, {_PIECES} SELECT ep, idx, CAST(bucket AS INT) AS bucket, s, e, text, CAST(n_words AS INT) AS n_words, speaker FROM plab")
+def labelled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases cut at handoffs, every piece labelled by itself."""
+    return _pieces(spark, sf_dir).select("ep", "idx", "bucket", "s", "e", "text", F.coalesce(F.size("words"), F.lit(0)).alias("n_words"), "speaker")
 
 
 _CLEAN = """clean AS (SELECT m.* FROM merged m WHERE m.e - m.s BETWEEN 4000 AND 12000 AND NOT EXISTS (
@@ -69,7 +92,7 @@ _CLEAN = """clean AS (SELECT m.* FROM merged m WHERE m.e - m.s BETWEEN 4000 AND
 
 @query(f"WITH {B.SEG}, {B.MERGED}, {_CLEAN} SELECT ep, idx, s, e, speaker FROM clean")
 def clean_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LB.clean_segments(_merged(spark, sf_dir)).select("ep", "idx", "s", "e", "speaker")
+    return LB.clean_segments(B.merged_segments(spark, sf_dir, once=True)).select("ep", "idx", "s", "e", "speaker")
 
 
 _TOP = """chosen AS (SELECT * FROM (SELECT *, coalesce(sum(e - s) OVER (PARTITION BY ep, speaker ORDER BY e - s DESC, s, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had
@@ -78,21 +101,22 @@ _TOP = """chosen AS (SELECT * FROM (SELECT *, coalesce(sum(e - s) OVER (PARTITIO
 
 @query(f"WITH {B.SEG}, {B.MERGED}, {_CLEAN}, {_TOP} SELECT ep, idx, s, e, speaker FROM chosen")
 def reference_topup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LB.top_up(LB.clean_segments(_merged(spark, sf_dir))).select("ep", "idx", "s", "e", "speaker")
+    return LB.top_up(LB.clean_segments(B.merged_segments(spark, sf_dir, once=True))).select("ep", "idx", "s", "e", "speaker")
 
 
-@query(f"""WITH {B.SEG}, {B.MERGED}, {B.RANKS}, {B.PHR}, {_CLEAN}, {_TOP},
-ov AS (SELECT p.ep, p.idx, m.speaker, row_number() OVER (PARTITION BY p.ep, p.idx ORDER BY least(p.e, m.e) - greatest(p.s, m.s) DESC, m.s, m.e, m.speaker) AS k
-  FROM phr p JOIN merged m ON m.ep = p.ep AND m.s < p.e AND p.s < m.e AND least(p.e, m.e) > greatest(p.s, m.s)),
-lab AS (SELECT p.ep, p.idx, p.s, p.e, p.text, coalesce(o.speaker, t.speaker, 'spk_0') AS speaker
-  FROM phr p LEFT JOIN ov o ON o.ep = p.ep AND o.idx = p.idx AND o.k = 1 LEFT JOIN ranks t ON t.ep = p.ep AND t.rank = 0 WHERE p.text IS NOT NULL),
+@query(f"""WITH {_KEPT}, {_CLEAN}, {_TOP}, {_BEST},
 sg AS (SELECT c.ep, c.speaker, c.idx, c.s, trim(string_agg(l.text, '' ORDER BY l.s, l.idx)) AS t
-  FROM chosen c JOIN lab l ON l.ep = c.ep AND l.speaker = c.speaker AND greatest(l.s, c.s) < least(l.e, c.e) GROUP BY c.ep, c.speaker, c.idx, c.s)
+  FROM chosen c JOIN named d ON d.ep = c.ep AND d.speaker = c.speaker
+  JOIN lab l ON l.ep = c.ep AND l.speaker = d.name AND l.text IS NOT NULL AND greatest(l.s, c.s) < least(l.e, c.e) GROUP BY c.ep, c.speaker, c.idx, c.s)
 SELECT ep, speaker, string_agg(t, '。' ORDER BY s, idx) AS transcript FROM sg WHERE t <> '' GROUP BY ep, speaker""")
 def reference_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = _merged(spark, sf_dir)
-    said = LB.label_by_overlap(B.phrases(spark, sf_dir).where("text IS NOT NULL"), merged, LB.speaker_ranks(merged))
-    return LB.reference_transcript(LB.top_up(LB.clean_segments(merged)), said)
+    """Transcripts of the chosen segments of each kept speaker, from the phrases under its name."""
+    merged, named, kept = _labelled(spark, sf_dir)
+    said = LB.label_by_overlap(B.phrases(spark, sf_dir).where("text IS NOT NULL"), kept, named)
+    labels = named.select("ep", F.col("speaker").alias("_label"), F.col("name").alias("speaker"))
+    chosen = LB.top_up(LB.clean_segments(merged)).join(named.select("ep", "speaker", "name"), ["ep", "speaker"])
+    got = LB.reference_transcript(chosen.select("ep", "idx", "s", "e", F.col("name").alias("speaker")), said)
+    return got.join(labels, ["ep", "speaker"]).select("ep", F.col("_label").alias("speaker"), "transcript")
 
 
 _TURNS = """old AS (SELECT *, lag(speaker) OVER w AS psp, lag(e) OVER w AS pe, row_number() OVER w AS rn FROM uni WINDOW w AS (PARTITION BY ep ORDER BY idx)),
@@ -119,7 +143,7 @@ b AS (SELECT t.ep, t.turn_id, max(CASE WHEN p.s >= t.s - 1500 AND p.s <= t.s + 3
 SELECT t.ep, t.turn_id, t.s, CASE WHEN b.onset IS NOT NULL AND abs(b.onset - 50 - t.s) > 50 THEN greatest(0, b.onset - 50) ELSE t.s END AS snapped
 FROM turns t JOIN b ON b.ep = t.ep AND b.turn_id = t.turn_id""")
 def onset_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    speech = _merged(spark, sf_dir).select("ep", "s", "e")
+    speech = B.merged_segments(spark, sf_dir).select("ep", "s", "e")
     return LB.snap_to_onsets(_turns(spark, sf_dir).select("ep", "turn_id", "s"), speech)
 
 
@@ -163,7 +187,7 @@ def placement_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _cues(spark, sf_dir)
     total = rows.groupBy("ep").agg((F.max_by("e", "idx") + 500).alias("total"))
-    return rows.join(total, "ep").select("ep", "idx", "cue", "dur", (F.col("dur") / 10).cast("bigint").alias("pause"), "total")
+    return rows.join(total, "ep").select("ep", "idx", "cue", "dur", F.array((F.col("dur") / 10).cast("bigint")).alias("pauses"), "total")
 
 
 @query()
@@ -190,10 +214,9 @@ def subtitle_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def orphan_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = _merged(spark, sf_dir)
-    rows = LB.label_by_overlap(B.phrases(spark, sf_dir), merged, LB.speaker_ranks(merged))
-    return S.merge_orphans(rows.select("ep", F.col("idx").cast("bigint").alias("idx"), "s", "e", "speaker", "text"))
+def label_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelling of a job from end to end: merge, noise filter, names, handoff cuts, labels of the pieces, orphans."""
+    return S.merge_orphans(_pieces(spark, sf_dir))
 
 
 @query()
