@@ -96,6 +96,16 @@ def test_known_words_are_no_name(models):
     assert P.defects(names, *models) == ["copied", None]
 
 
+def test_terminal_contexts_of_marked_languages():
+    sample = ["the host left", "the guest left", "he left the room", "she left the room"] * 5
+    got = P.closing_contexts(sample)
+    assert got["host left"] == 1.0 and got["the room"] == 1.0 and "he left" not in got
+    assert P.closing_contexts(["他走了吗"] * 5 + ["他走了吗好"] * 6) == {"走了吗好": 1.0}
+    d = P.Dictionaries.fit({"en": [t.encode() for t in sample], "th": ["ผู้ฟังเล่า".encode()] * 3})
+    said = lambda t: P.is_truncated("ผู้ฟังเล่าถึง", t, "th", "en", d)
+    assert not said("Then she left the room") and said("Then she left the") and said("Then she left the room...") and said("“Then she left the room")
+
+
 def test_languages_outside_the_models(models):
     greek, dutch, german = "Το μικρό σπίτι είναι κοντά στη θάλασσα.", "Het kleine huis staat aan de zee en de zon schijnt vandaag erg fel.", "Gestern kaufte meine Schwester frisches Brot und etwas Käse."
     assert P.defects([(EN, t, "en", "de") for t in (greek, dutch, german)], *models) == ["wrong_language", "wrong_language", None]

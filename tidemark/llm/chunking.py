@@ -89,6 +89,7 @@ class Piece:
     core: int
     end: int
     size: int
+    overlap: int  # units that the piece before holds too
     cut: str  # where it ends: 'sentence' or 'inside' one
 
 
@@ -130,7 +131,7 @@ def pieces(text: str | None, by_char: bool, lim: Limits, words: Words | None = N
             else:
                 stop = _clause_end(text, units, at + max(1, math.ceil(lim.least_fill * room)), at + room)
         first = at - head
-        out.append(Piece(units[first][0], units[at][0], units[stop - 1][1], stop - first, "sentence" if stop in whole else "inside"))
+        out.append(Piece(units[first][0], units[at][0], units[stop - 1][1], stop - first, head, "sentence" if stop in whole else "inside"))
         prev_start, at = first, stop
     return out, cut
 
@@ -151,7 +152,7 @@ def _clause_end(text: str, units: list[tuple[int, int]], low: int, high: int) ->
 def split_oversized(df: DataFrame, text: str, lang: Column, keys: list[str], limits: Limits = Limits(), vocabulary: str = VOCABULARY) -> DataFrame:
     """Pieces of every text over its limit.
 
-    Columns: keys, piece_no, char_start (with overlap), core_start, char_end, size, cut (of the piece:
+    Columns: keys, piece_no, char_start (with overlap), core_start, char_end, size, overlap, cut (of the piece:
     'sentence' or 'inside') and text_cut ('inside' if a sentence of the text is itself over the limit). A text over
     either limit has more than 2 * words characters or more than `chars`; shorter ones are left out by a
     JVM filter before any text reaches Python. A null language counts words.
@@ -172,11 +173,11 @@ def split_oversized(df: DataFrame, text: str, lang: Column, keys: list[str], lim
                 found, cut = pieces(t, by_char, limits, known)
                 for k, p in enumerate(found):
                     rows.append(r)
-                    cols.append((k, p.start, p.core, p.end, p.size, p.cut, cut))
+                    cols.append((k, p.start, p.core, p.end, p.size, p.overlap, p.cut, cut))
             out = pdf[keys].iloc[rows].reset_index(drop=True)
-            names = ["piece_no", "char_start", "core_start", "char_end", "size", "cut", "text_cut"]
+            names = ["piece_no", "char_start", "core_start", "char_end", "size", "overlap", "cut", "text_cut"]
             got = pd.DataFrame(cols, columns=names)
-            yield pd.concat([out, got.astype(dict.fromkeys(names[:5], "int32") | {"cut": "object", "text_cut": "object"})], axis=1)
+            yield pd.concat([out, got.astype(dict.fromkeys(names[:6], "int32") | {"cut": "object", "text_cut": "object"})], axis=1)
 
     schema = ",".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name[0] != "_")
-    return base.mapInPandas(run, schema + ", piece_no int, char_start int, core_start int, char_end int, size int, cut string, text_cut string")
+    return base.mapInPandas(run, schema + ", piece_no int, char_start int, core_start int, char_end int, size int, overlap int, cut string, text_cut string")

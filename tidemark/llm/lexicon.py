@@ -164,12 +164,12 @@ REFUSALS = (
 TERMINAL = ".!?。！？؟।॥…‥"
 # --- fixed values: words that read the same in every language
 SHARED_WORDS = frozenset("ok okay tv dj vip ceo ai app wifi internet email www".split())
-# --- fixed values: pieces of words of which every refusal holds at least one
-REFUSAL_STEMS = (
-    "translat render process comply fulfil assist help provide request instruction content passage as a guideline policy policies programming"
-    " traduc petición solicitud contenido modelo de como tradui demande contenu modèle tant qu übersetz anfrage sprachmodell als ki"
-    " tradu richiesta contenuto modello pedido conteúdo перев запрос просьб языков 翻訳 訳文 モデル お応え aiとして 번역 언어 요청"
-    " 翻译 译文 请求 作为 ترجم الطلب المحتوى نموذج अनुवाद मॉडल अनुरोध แปล คำขอ โมเดล แบบจำลอง"
-).split()
+# --- fixed values: pieces of text of which every refusal holds at least one
+REFUSAL_STEMS = tuple(
+    "translat|render|process|comply|fulfil|assist|help|provide|request|instruction|content|passage|as an ai|as a ai|as an artificial|as a artificial|as a language|as an language|as a large|as an large"
+    "|guideline|policy|policies|programming|traduc|petición|solicitud|contenido|modelo de leng|como ia|como una ia|inteligencia artificial"
+    "|tradui|demande|contenu|tant que mod|tant qu'ia|tant qu’ia|übersetz|anfrage|sprachmodell|als ki|tradu|richiesta|contenuto|modello|pedido|conteúdo|modelo de ling"
+    "|перев|запрос|просьб|языков|翻訳|訳文|モデル|お応え|aiとして|번역|언어|요청|翻译|译文|请求|作为|ترجم|الطلب|المحتوى|نموذج|अनुवाद|मॉडल|अनुरोध|แปล|คำขอ|โมเดล|แบบจำลอง".split("|")
+)
 # --- fixed values: Thai vowels that are written before their consonant
 LEADING_VOWELS = ("เ", "แ", "โ", "ใ", "ไ")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
@@ -113,12 +113,12 @@ def mix_sources(docs: DataFrame, targets: DataFrame, mix: Mixture = Mixture()) -
         .select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"), "n_tokens")
     )
     out = mixture.groupBy("source").agg(F.sum("n_tokens").alias("tokens_out"))
-    total = out.agg(F.sum("tokens_out").alias("total"))
+    # no more rows than targets, so one window may hold them
+    out = out.withColumn("total", F.sum("tokens_out").over(Window.partitionBy(F.lit(0))))
     report = (
         sums.join(wanted, "source", "full")
         .join(F.broadcast(rate), "source", "left")
         .join(F.broadcast(out), "source", "left")  # no more sources than targets
-        .crossJoin(F.broadcast(total))  # one row
         .select(
             "source",
             "target_share",

@@ -15,7 +15,7 @@ from tidemark.llm.pairs import Dictionaries, find_defects
 from tidemark.llm.ppm import ByteModels
 from tidemark.llm.sentences import split_sentences
 from tidemark.llm.turns import cast_of, clean_rows, fit_model, speaker_turns
-from tidemark.session import small, spread
+from tidemark.session import cut_lineage, small, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,7 +83,7 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         # only long texts reach the join
         long = units.select("ep", "idx", F.col(field).alias("text")).where(F.length("text") >= least_length())
         with_lang = long.join(job_langs(spark, sf_dir, column), "ep", "left")
-        part = split_oversized(with_lang, "text", F.col("lang"), ["ep", "idx"]).select("ep", "idx", F.lit(field).alias("field_name"), "piece_no", "char_start", "core_start", "char_end", "size", "cut", "text_cut")
+        part = split_oversized(with_lang, "text", F.col("lang"), ["ep", "idx"]).select("ep", "idx", F.lit(field).alias("field_name"), "piece_no", "char_start", "core_start", "char_end", "size", "overlap", "cut", "text_cut")
         found = part if found is None else found.unionByName(part)
     return found.distinct()
 
@@ -97,17 +97,45 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["p3_pieces"] = p3_pieces
 
 
+_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_FIELDS = """f AS (SELECT DISTINCT u.ep, u.idx, 'source_text' AS field_name, u.source_text AS text, j.source_lang AS lang FROM translation_units u LEFT JOIN (SELECT ep, any_value(lower(trim(source_lang))) AS source_lang FROM jobs GROUP BY ep) j USING (ep)
+  UNION SELECT u.ep, u.idx, 'target_text', u.target_text, j.target_lang FROM translation_units u LEFT JOIN (SELECT ep, any_value(lower(trim(target_lang))) AS target_lang FROM jobs GROUP BY ep) j USING (ep))"""
+SQL["p3_sizes"] = f"""WITH {_FIELDS},
+n AS (SELECT ep, idx, field_name, coalesce(lang IN ('ja', 'th', 'zh'), false) AS by_char, len(regexp_extract_all(text, '{_SPACE.replace('[', '[^', 1)}+')) AS words, length(regexp_replace(text, '{_SPACE}', '', 'g')) AS chars FROM f)
+SELECT ep, idx, field_name, CAST(CASE WHEN by_char THEN chars ELSE words END AS BIGINT) AS size FROM n WHERE CASE WHEN by_char THEN chars > 700 ELSE words > 275 END"""
+
+
+@query
+def p3_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of each oversized field, from its pieces: what they hold without their overlaps."""
+    p = p3_pieces(spark, sf_dir)
+    own = F.col("size") - F.when(F.col("piece_no") == 0, 0).otherwise(F.col("overlap"))
+    return p.groupBy("ep", "idx", "field_name").agg(F.sum(own).alias("size"))
+
+
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of clean speech."""
-    cast = cast_of(table(spark, sf_dir, "speaker_refs"), table(spark, sf_dir, "jobs"))
+    # read three times: for the sample's size, the sample and the rows
+    cast = cut_lineage(cast_of(table(spark, sf_dir, "speaker_refs"), table(spark, sf_dir, "jobs")))
     transcript = table(spark, sf_dir, "speaker_phrases").select("ep", "idx", "start_s", "end_s", "text", "speaker")
     model = fit_model(transcript, cast)
     # only what the turns need goes into the shuffle
-    spoken = clean_rows(spread(transcript, "ep", "idx"), small(cast, 50_000), model).drop("clean")
+    spoken = clean_rows(spread(transcript, "ep", "idx"), small(cast), model).drop("clean")
     return speaker_turns(spoken).select("ep", "first_idx", "last_idx", "speaker", "n_letters")
 
 
+#: Compatibility characters that the tables hold (full-width forms, a Thai vowel), for engines that know only NFC.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u0e33"
+_NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''") + "\u0e32"
+_STREAM = "regexp_replace(lower(nfc_normalize(translate(text, '%s', '%s'))), '[^\\p{L}\\p{N}]+', '', 'g')" % (_WIDE, _NARROW)
+SQL["p6_found"] = f"""WITH i AS (SELECT item_id, CASE WHEN lang IN ('ja', 'ko', 'zh') THEN 40 ELSE 80 END AS n, {_STREAM} AS s FROM (SELECT DISTINCT item_id, text, lang FROM eval_items)),
+d AS (SELECT doc_id, {_STREAM} AS s FROM (SELECT DISTINCT doc_id, text FROM documents)),
+g AS (SELECT DISTINCT item_id, n, substr(s, k, n) AS piece FROM (SELECT *, unnest(range(1, length(s) - n + 2)) AS k FROM i WHERE length(s) >= n)),
+p AS (SELECT doc_id, n, substr(s, k, n) AS piece FROM (SELECT doc_id, s, n, unnest(range(1, length(s) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM g) WHERE length(s) >= n))
+SELECT DISTINCT doc_id, item_id FROM p JOIN g USING (n, piece)"""
+
+
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a stretch of a test item."""
