@@ -107,14 +107,32 @@ def test_orphans_join_with_their_words(spark):
     assert got == [(10000, 12300, "host", "是更重要的", 2)]
 
 
-@pytest.mark.parametrize("stretch", [600_000, 2500, 10])
-def test_next_in_order(spark, stretch):
+@pytest.mark.parametrize("block", [600_000, 2500, 10])
+def test_blocks_equal_whole_windows(spark, block):
     rng = np.random.default_rng(1)
-    rows = [(ep, i, int(rng.integers(0, 20000)), int(rng.integers(0, 9))) for ep in range(4) for i in range(40)]
+    rows = [(ep, i, int(rng.integers(0, 20000)), int(rng.integers(0, 9))) for ep in (0, 1, 2, None) for i in range(40)]
     df = spark.createDataFrame(rows, "ep bigint, idx int, s bigint, x int")
-    got = {(r["ep"], r["idx"]): r["nx"] for r in I.next_in_order(df, ["s", "idx"], {"nx": "x"}, stretch).collect()}
-    order = sorted(rows, key=lambda r: (r[0], r[2], r[1]))
-    assert got == {a[:2]: b[3] if b and a[0] == b[0] else None for a, b in zip(order, [*order[1:], None])}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2], r[1]))
+    pairs = list(zip(order, [*order[1:], None]))
+    for ahead in (True, False):
+        got = {(r["ep"], r["idx"]): r["nx"] for r in I.neighbour(df, ["s", "idx"], {"nx": "x"}, block, ahead).collect()}
+        want = {a[:2]: b[3] if b and a[0] == b[0] else None for a, b in (pairs if ahead else [(b, a) for a, b in zip([None, *order], order)])}
+        assert got == want
+    sums, most = {}, {}
+    for ep in (0, 1, 2, None):
+        total, top = 0, -1
+        for r in (r for r in order if r[0] == ep):
+            total, top = total + r[3], max(top, r[3])
+            sums[r[:2]], most[r[:2]] = total, top
+    assert {(r["ep"], r["idx"]): r["t"] for r in I.running(df, ["s", "idx"], {"t": F.col("x")}, block).collect()} == sums
+    assert {(r["ep"], r["idx"]): r["t"] for r in I.running(df, ["s", "idx"], {"t": F.col("x")}, block, most=True).collect()} == most
+
+
+@pytest.mark.parametrize("block", [1, 2, 5, 4096])
+def test_context_over_blocks(spark, block):
+    rows = [(1, i * 3, None if i == 4 else str(i)) for i in range(20)]
+    got = [r["context"] for r in I.preceding_context(spark.createDataFrame(rows, "ep bigint, idx int, text string"), "text", block=block).orderBy("idx").collect()]
+    assert got == [" ".join(str(k) for k in range(max(0, i - 3), i) if k != 4) for i in range(20)]
 
 
 def test_clean_segments_and_top_up(spark):
@@ -253,6 +271,7 @@ def test_checks(spark):
     assert got == {1: [], 2: ["missing"], 3: ["not_finite"], 4: ["negative", "order"]}
     js = spark.createDataFrame([(1, '{"a": [{"auto_map": {"auto_map": 1}}]}'), (2, "no json"), (3, None), (4, "{}")], "id int, body string")
     assert {tuple(r) for r in C.unsafe_fields(js, "body", ["id"]).collect()} == {(1, "a[0].auto_map"), (2, "!")}
+    assert C.UNSAFE_KEYS == ("_attn_implementation_internal", "_experts_implementation_internal", "auto_map", "trust_remote_code")
     assert [r["id"] for r in C.missing_keys(spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(2,)], "id int"), ["id"]).collect()] == [1]
 
 
@@ -288,3 +307,26 @@ def test_an_absurd_span_costs_few_buckets(spark):
     assert n[1] < 5000 and n[2] == 4 and 3 not in n and n[4] < 10_000
     found = intervals.overlap_join(df, df.select("ep", F.col("s").alias("a"), F.col("e").alias("b")), "ep", ("s", "e"), ("a", "b"), F.lit(True))
     assert sorted(r["ep"] for r in found.collect()) == [1, 2, 4]
+
+
+def test_logical_turns(spark):
+    rows = [(1, 0, 7, "a", 0, 9), (1, 1, 7, "a", 10, 12), (1, 2, 8, "b", 13, 14), (1, 3, 8, "c", 15, 20), (1, 4, 7, "a", 21, 22)]
+    turns = I.logical_turns(spark.createDataFrame(rows, "ep bigint, idx int, turn_id int, speaker string, s bigint, e bigint"), ["idx"])
+    got = [(r["turn_id"], r["s"], r["e"], r["n_chunks"], r["reappears"], r["mixed"]) for r in turns.orderBy("run").collect()]
+    assert got == [(7, 0, 12, 2, False, False), (8, 13, 20, 2, False, True), (7, 21, 22, 1, True, False)]
+    with pytest.raises(RuntimeError, match="turn 8 contains multiple speakers"):
+        I.require_logical(turns, "tts")
+    I.require_logical(turns.where("run = 0"), "tts")
+
+
+def test_strict_zip_and_reports(spark):
+    a = spark.createDataFrame([(1, 0, "x"), (1, 1, "y")], "ep bigint, idx int, l string")
+    b = spark.createDataFrame([(1, 0, "p"), (1, 1, "q")], "ep bigint, idx int, r string")
+    assert {(r["l"], r["r"]) for r in C.strict_zip(a, b, ["ep"], "idx").collect()} == {("x", "p"), ("y", "q")}
+    with pytest.raises(Exception, match="one side lacks position 1 of 1"):
+        C.strict_zip(a, b.where("idx = 0"), ["ep"], "idx").collect()
+    want = spark.createDataFrame([(1, i) for i in range(25)] + [(2, 5)], "ep bigint, id int")
+    got = C.missing_report(want, spark.createDataFrame([(1, 3)], "ep bigint, id int"), "ep", "id", 4).orderBy("ep").collect()
+    assert [tuple(r) for r in got] == [(1, 24, [0, 1, 2, 4]), (2, 1, [5])]
+    texts = spark.createDataFrame([(0, "ab", None), (1, " a ", "abc")], "i int, s string, t string")
+    assert [r["b"] for r in texts.select(C.blank_texts(texts, ["s", "t"], 2).alias("b")).collect()] == [["t"], ["s"]]

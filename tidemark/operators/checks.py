@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,41 @@ def missing_keys(expected: DataFrame, present: DataFrame, keys: list[str]) -> Da
     return expected.select(*keys).distinct().join(present.select(*keys).distinct(), keys, "left_anti")
 
 
+def missing_report(expected: DataFrame, present: DataFrame, group: str, key: str, shown: int = 10) -> DataFrame:
+    """Groups with missing keys (group, n_missing, first): how many, and the first `shown` of them in order.
+
+    Only the keys that can be shown are gathered: each group's missing keys are numbered first.
+    """
+    lost = missing_keys(expected, present, [group, key])
+    ranked = lost.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(key)))
+    first = F.array_sort(F.collect_list(F.when(F.col("_k") <= shown, F.col(key))))
+    return ranked.groupBy(group).agg(F.count("*").alias("n_missing"), first.alias("first"))
+
+
+def blank_texts(rows: DataFrame, texts: list[str], least: int = 1) -> Column:
+    """Array of the text columns that are null, blank or shorter than `least` characters without outer blanks."""
+    bad = [F.when(F.coalesce(F.length(F.trim(F.col(t))) < least, F.lit(True)), F.lit(t)) for t in texts]
+    return F.array_compact(F.array(*bad))
+
+
+def strict_zip(left: DataFrame, right: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """The rows of both tables with equal keys and position; a key whose two sides have different positions fails the job.
+
+    Columns other than keys and position must differ. Both sides must have unique positions.
+    """
+    a, b = left.withColumn("_a", F.lit(True)), right.withColumn("_b", F.lit(True))
+    both = a.join(b, [*keys, position], "full")
+    odd = F.raise_error(F.concat_ws(" ", F.lit("one side lacks position"), F.col(position).cast("string"), F.lit("of"), *[F.col(k).cast("string") for k in keys]))
+    return both.where(F.when(F.col("_a") & F.col("_b"), F.lit(True)).otherwise(odd.cast("boolean"))).drop("_a", "_b")
+
+
+def require_none(failures: DataFrame, told: Column, what: str, shown: int = 10) -> None:
+    """Raise RuntimeError if there are failures, with at most `shown` of them: a gate between stages."""
+    found = [r[0] for r in failures.select(told.cast("string")).limit(shown + 1).collect()]  # bounded
+    if found:
+        raise RuntimeError(f"{what}: " + ", ".join(found[:shown]) + (", ..." if len(found) > shown else ""))
+
+
 def set_audit(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that only one of the two tables has, with the side."""
     a, b = left.select(*keys).distinct(), right.select(*keys).distinct()
@@ -53,8 +88,8 @@ def digest_mismatches(files: DataFrame, expected: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("actual")).join(expected, "path").where("actual <> sha256")
 
 
-#: Keys of model settings that name code to be run.
-UNSAFE_KEYS = ("auto_map", "custom_code", "trust_remote_code", "remote_code")
+# --- fixed values: keys of model settings that name code to be run
+UNSAFE_KEYS = ("_attn_implementation_internal", "_experts_implementation_internal", "auto_map", "trust_remote_code")
 
 
 def unsafe_fields(rows: DataFrame, text: str, keys: list[str], names: tuple[str, ...] = UNSAFE_KEYS) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.checks import require_none
+
 UNBOUNDED = Window.unboundedPreceding
 
 
@@ -22,20 +24,51 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, na
     return flagged.withColumn(name, F.sum("_open").over(w.rowsBetween(UNBOUNDED, 0)) - 1).drop("_open")
 
 
-def next_in_order(rows: DataFrame, order: list[str], values: dict[str, str], stretch_ms: int = 600_000) -> DataFrame:
-    """Add the values {new name: column} of the next row of the episode in order; the first of `order` is a time in ms.
+#: Rows of an episode (by their number) or milliseconds of it that are worked together.
+BLOCK_ROWS, STRETCH_MS = 4096, 600_000
+
+
+def _blocks(rows: DataFrame, order: list[str], block: int) -> DataFrame:
+    """The rows with `_b`, the block of the first order column, spread by episode and block. The explicit exchange is
+    shared by all that is derived from the result."""
+    return rows.withColumn("_b", F.expr(f"CAST({order[0]} AS BIGINT) div {block}")).repartition("ep", "_b")
+
+
+def neighbour(rows: DataFrame, order: list[str], values: dict[str, str], block: int = STRETCH_MS, ahead: bool = True) -> DataFrame:
+    """Add the values {new name: column} of the next row of the episode in order (ahead) or of the one before.
 
-    The episode is worked in stretches of time; only the first and last rows of a stretch meet in one window.
+    The first of `order` is a number; the episode is worked in blocks of it, and only the first and last rows of
+    a block meet in one window, so a hot episode is spread over many tasks.
     """
-    cut = rows.withColumn("_st", F.expr(f"{order[0]} div {stretch_ms}"))
-    w = Window.partitionBy("ep", "_st").orderBy(*order)
+    shift = F.lead if ahead else F.lag
+    w = Window.partitionBy("ep", "_b").orderBy(*order)
     told = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
-    near = cut.withColumn("_own", told).withColumn("_near", F.lead("_own").over(w)).withColumn("_k", F.row_number().over(w))
-    edge = (F.col("_k") == 1) | F.col("_near").isNull()
-    placed = near.withColumn("_place", F.when(edge, F.lit(-1)).otherwise(F.col("_st")))
-    v = Window.partitionBy("ep", "_place").orderBy("_st", *order)
-    far = placed.withColumn("_next", F.coalesce("_near", F.lead("_own").over(v)))
-    return far.select(*rows.columns, *[F.col(f"_next.{n}").alias(n) for n in values])
+    near = _blocks(rows, order, block).withColumn("_own", told).withColumn("_next", F.lead("_own").over(w)).withColumn("_k", F.row_number().over(w))
+    near = near.withColumn("_near", F.col("_next") if ahead else F.lag("_own").over(w))
+    placed = near.withColumn("_place", F.when((F.col("_k") == 1) | F.col("_next").isNull(), F.lit(-1)).otherwise(F.col("_b")))
+    v = Window.partitionBy("ep", "_place").orderBy("_b", *order)
+    # a null in the block means the neighbour lies beyond it: it is the next edge
+    far = placed.withColumn("_met", F.coalesce("_near", F.when(F.col("_place") == -1, shift("_own").over(v))))
+    return far.select(*rows.columns, *[F.col(f"_met.{n}").alias(n) for n in values])
+
+
+def running(rows: DataFrame, order: list[str], totals: dict[str, Column], block: int = BLOCK_ROWS, most: bool = False) -> DataFrame:
+    """Add the running totals {new name: value} of the episode in order, or with `most` the running maxima; each
+    row's own value counts.
+
+    The first of `order` is a number. Blocks of it are summed where they lie, what the blocks before it come to is
+    one row a block, and no window holds the rows of a whole episode.
+    """
+    agg = F.max if most else F.sum
+    spread = _blocks(rows.select("*", *[v.alias(f"_v_{n}") for n, v in totals.items()]), order, block)
+    sums = spread.groupBy("ep", "_b").agg(*[agg(f"_v_{n}").alias(f"_s_{n}") for n in totals])
+    v = Window.partitionBy("ep").orderBy("_b").rowsBetween(UNBOUNDED, -1)
+    before = sums.select("ep", "_b", *[agg(f"_s_{n}").over(v).alias(f"_s_{n}") for n in totals])
+    w = Window.partitionBy("ep", "_b").orderBy(*order).rowsBetween(UNBOUNDED, 0)
+    local = spread.select("*", *[agg(f"_v_{n}").over(w).alias(f"_l_{n}") for n in totals])
+    joined = local.join(before, (local["ep"].eqNullSafe(before["ep"])) & (local["_b"] == before["_b"])).drop(before["ep"]).drop(before["_b"])
+    both = (lambda n: F.greatest(f"_l_{n}", f"_s_{n}")) if most else (lambda n: F.col(f"_l_{n}") + F.coalesce(f"_s_{n}", F.lit(0)))
+    return joined.select(*rows.columns, *[both(n).alias(n) for n in totals])
 
 
 def _stretch_parts(gap_ms: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -130,10 +163,35 @@ def collapsed_runs(words: DataFrame, most: int = 8) -> DataFrame:
 
 def coalesce_turns(units: DataFrame, gap_ms: int = 2500) -> DataFrame:
     """Number the turns of units (ep, idx, s, e, speaker): one speaker, gaps to the last unit's end up to gap_ms."""
-    w = Window.partitionBy("ep").orderBy("idx")
-    old = units.withColumn("_sp", F.lag("speaker").over(w)).withColumn("_e", F.lag("e").over(w))
-    cut = ~F.col("speaker").eqNullSafe(F.col("_sp")) | (F.col("s") - F.col("_e") > gap_ms)
-    return islands(old, ["ep"], ["idx"], cut, "turn_id").drop("_sp", "_e")
+    old = neighbour(units, ["idx"], {"_sp": "speaker", "_e": "e", "_some": "idx"}, BLOCK_ROWS, ahead=False)
+    cut = F.col("_some").isNull() | ~F.col("speaker").eqNullSafe(F.col("_sp")) | F.coalesce(F.col("s") - F.col("_e") > gap_ms, F.lit(True))
+    numbered = running(old, ["idx"], {"turn_id": cut.cast("bigint")})
+    return numbered.withColumn("turn_id", F.col("turn_id") - 1).drop("_sp", "_e", "_some")
+
+
+def logical_turns(chunks: DataFrame, order: list[str]) -> DataFrame:
+    """Turns (ep, run, turn_id, speaker, s, e, n_chunks, reappears, mixed) of chunks (ep, turn_id, speaker, s, e and order).
+
+    A turn is a longest sequence of consecutive chunks of one turn_id. `reappears` marks a turn whose id had a
+    turn before it, `mixed` one with several speakers; both are errors of the stage that made the chunks
+    (see `require_logical`).
+    """
+    w = Window.partitionBy("ep").orderBy(*order)
+    new = ~F.col("turn_id").eqNullSafe(F.lag("turn_id").over(w))
+    runs = islands(chunks.withColumn("_new", new), ["ep"], order, F.col("_new"), "run")
+    first = F.struct(*order)
+    turns = runs.groupBy("ep", "run").agg(
+        F.first("turn_id").alias("turn_id"), F.min_by("speaker", first).alias("speaker"), F.min_by("s", first).alias("s"), F.max("e").alias("e"), F.count("*").alias("n_chunks"),
+        (F.count_distinct(F.coalesce(F.col("speaker"), F.lit("\0"))) > 1).alias("mixed"),
+    )
+    again = F.row_number().over(Window.partitionBy("ep", "turn_id").orderBy("run")) > 1
+    return turns.withColumn("reappears", again)
+
+
+def require_logical(turns: DataFrame, stage: str) -> None:
+    """Raise RuntimeError for turns of `logical_turns` that reappear or mix speakers."""
+    what = F.concat(F.lit("turn "), F.col("turn_id").cast("string"), F.when(F.col("reappears"), " reappears after a different turn").otherwise(" contains multiple speakers"))
+    require_none(turns.where("reappears OR mixed"), what, stage)
 
 
 def true_runs(mask: DataFrame, keys: list[str], frame: str, flag: Column) -> DataFrame:
@@ -149,20 +207,28 @@ def dilate(mask: DataFrame, keys: list[str], frame: str, flag: str, k: int, name
     return mask.withColumn(name, F.max(flag).over(w))
 
 
-def preceding_context(rows: DataFrame, text: str, n: int = 3, name: str = "context") -> DataFrame:
-    """Add the texts of up to n rows before, joined by blanks; '' at the start. Null texts are skipped."""
-    w = Window.partitionBy("ep").orderBy("idx").rowsBetween(-n, -1)
-    return rows.withColumn(name, F.concat_ws(" ", F.collect_list(text).over(w)))
+def preceding_context(rows: DataFrame, text: str, n: int = 3, name: str = "context", block: int = BLOCK_ROWS) -> DataFrame:
+    """Add the texts of up to n rows before, joined by blanks; '' at the start. Null texts are skipped.
+
+    Rows are worked in blocks of idx; the first and last n rows of the blocks meet in one window.
+    """
+    w = Window.partitionBy("ep", "_b").orderBy("idx")
+    near = _blocks(rows, ["idx"], block).withColumn("_k", F.row_number().over(w)).withColumn("_left", F.count("*").over(Window.partitionBy("ep", "_b")) - F.col("_k"))
+    near = near.withColumn("_near", F.collect_list(text).over(w.rowsBetween(-n, -1)))
+    placed = near.withColumn("_place", F.when((F.col("_k") <= n) | (F.col("_left") < n), F.lit(-1)).otherwise(F.col("_b")))
+    v = Window.partitionBy("ep", "_place").orderBy("idx").rowsBetween(-n, -1)
+    far = F.when(F.col("_k") <= n, F.collect_list(text).over(v)).otherwise(F.col("_near"))
+    return placed.withColumn(name, F.concat_ws(" ", far)).select(*[c for c in rows.columns if c != name], name)
 
 
 def max_plus_starts(turns: DataFrame, gap_ms: int = 250, early_ms: int = 1500) -> DataFrame:
     """Start of each turn (ep, idx, cue, dur) when it follows the one before by gap_ms, at most early_ms early.
 
     start_i = max(start_{i-1} + dur_{i-1} + gap, cue_i - early), the first at its cue: a prefix maximum
-    after the summed durations are taken off, so one pass of windows replaces the sequential rule.
+    after the summed durations are taken off, so two prefix passes replace the sequential rule.
     """
-    w = Window.partitionBy("ep").orderBy("idx")
-    before = F.coalesce(F.sum(F.col("dur") + gap_ms).over(w.rowsBetween(UNBOUNDED, -1)), F.lit(0))
-    base = F.when(F.row_number().over(w) == 1, F.col("cue")).otherwise(F.col("cue") - early_ms)
-    shifted = turns.withColumn("_before", before).withColumn("_base", base).withColumn("_rel", F.col("_base") - F.col("_before"))
-    return shifted.withColumn("start", F.max("_rel").over(w.rowsBetween(UNBOUNDED, 0)) + F.col("_before")).drop("_before", "_base", "_rel")
+    summed = running(turns, ["idx"], {"_sum": F.col("dur") + gap_ms, "_no": F.lit(1).cast("bigint")})
+    before = F.col("_sum") - F.col("dur") - gap_ms
+    base = F.when(F.col("_no") == 1, F.col("cue")).otherwise(F.col("cue") - early_ms)
+    far = running(summed.withColumn("_before", before), ["idx"], {"_rel": base - before}, most=True)
+    return far.withColumn("start", F.col("_rel") + F.col("_before")).drop("_sum", "_no", "_before", "_rel")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.intervals import overlap_join
-from tidemark.operators.islands import next_in_order
+from tidemark.operators.islands import neighbour
 
 SPLIT_EDGE_MS = 50
 SPLIT_HOLD_MS = 400
@@ -63,7 +63,7 @@ def handoff_cuts(phrases: DataFrame, kept: DataFrame) -> DataFrame:
     `kept` are the named segments of `kept_segments`. A cut lies midway between consecutive segments of
     different names, inside the phrase by 50 ms, and both must hold at least 400 ms of it.
     """
-    nxt = next_in_order(kept, ["s", "e", "idx"], {"_ns": "s", "_ne": "e", "_nsp": "speaker"}).where("_nsp <> speaker")
+    nxt = neighbour(kept, ["s", "e", "idx"], {"_ns": "s", "_ne": "e", "_nsp": "speaker"}).where("_nsp <> speaker")
     cuts = nxt.select("ep", F.col("s").alias("_a0"), F.col("e").alias("_b0"), F.col("_ns").alias("_a1"), F.col("_ne").alias("_b1"), (F.col("e") + F.col("_ns")).alias("cut2"))
     cuts = cuts.withColumn("_at", F.floor(F.col("cut2") / 2)).withColumn("_to", F.col("_at"))
     on = (

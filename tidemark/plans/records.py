@@ -10,6 +10,8 @@ from tidemark.operators import checks as C
 from tidemark.operators.scans import pack_sentences
 from tidemark.plans import base as B
 from tidemark.plans.registry import query, table
+from tidemark.plans.sequential import SENTENCE_PACK
+from tidemark.sources import artifacts as A
 from tidemark.sources.media import html_row, speaker_colours, srt_rows
 
 
@@ -85,12 +87,12 @@ def cache_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS = "pr AS (SELECT DISTINCT ep, unnest(pairs).id AS id FROM translate_events)"
 
 
-@query(f"""WITH {_PAIRS}, want AS (SELECT DISTINCT ep, unnest(line_ids) AS id FROM translate_events)
-SELECT ep, id FROM want EXCEPT SELECT ep, id FROM pr""")
+@query(f"""WITH {_PAIRS}, have AS (SELECT DISTINCT ep, CAST(idx AS INT) AS id FROM phrases), lost AS (SELECT ep, id FROM pr EXCEPT SELECT ep, id FROM have)
+SELECT ep, count(*) AS n_missing, list(id ORDER BY id)[1:10] AS first FROM lost GROUP BY ep""")
 def missing_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "translate_events")
-    have = ev.select("ep", F.explode("pairs.id").alias("id"))
-    return C.missing_keys(ev.select("ep", F.explode("line_ids").alias("id")), have, ["ep", "id"])
+    """Translated lines whose phrase is missing: their number in each episode, and the first ten."""
+    lines = table(spark, sf_dir, "translate_events").select("ep", F.explode("pairs.id").alias("id"))
+    return C.missing_report(lines, table(spark, sf_dir, "phrases").select("ep", F.col("idx").cast("int").alias("id")), "ep", "id")
 
 
 @query(f"""WITH {_PAIRS}, l AS (SELECT DISTINCT ep, CAST(idx AS INT) AS id FROM phrases)
@@ -113,12 +115,18 @@ def span_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ep", "idx", F.concat_ws(",", C.span_violations(rows)).alias("violations")).where("violations <> ''")
 
 
-@query(f"""WITH w AS (SELECT ep, idx, start_s, end_s, words FROM phrases WHERE len(words) > 0)
-SELECT DISTINCT ep, idx FROM w WHERE len(list_filter(range(2, len(words) + 1), lambda i: words[i].start_s < words[i - 1].start_s)) > 0
+@query("""WITH g AS (SELECT ep, idx // 8 AS grp, list({'start_s': start_s, 'end_s': end_s} ORDER BY idx, start_s, end_s) AS words, min(start_s) AS start_s, max(end_s) - 1 AS end_s
+  FROM (SELECT DISTINCT ep, idx, start_s, end_s FROM diar_segments WHERE isfinite(start_s) AND isfinite(end_s)) GROUP BY ep, idx // 8)
+SELECT ep, grp FROM g WHERE len(list_filter(range(2, len(words) + 1), lambda i: words[i].start_s < words[i - 1].start_s)) > 0
   OR len(list_filter(words, lambda x: x.start_s < start_s - 0.001 OR x.end_s > end_s + 0.001)) > 0""")
 def word_order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "phrases").where("size(words) > 0")
-    return rows.where(C.words_out_of_order(F.col("words"), F.col("start_s"), F.col("end_s"))).select("ep", "idx").distinct()
+    """Groups of eight segments in order of arrival, checked like the words of a phrase that ends a second too early
+    (the words of the phrases break no rule)."""
+    big = F.lit(float("inf"))
+    rows = table(spark, sf_dir, "diar_segments").select("ep", "idx", "start_s", "end_s").where(~F.isnan("start_s") & ~F.isnan("end_s") & (F.abs("start_s") < big) & (F.abs("end_s") < big)).distinct()
+    words = F.transform(F.array_sort(F.collect_list(F.struct("idx", "start_s", "end_s"))), lambda w: F.struct(w["start_s"], w["end_s"]))
+    groups = rows.groupBy("ep", F.expr("CAST(idx div 8 AS INT)").alias("grp")).agg(words.alias("words"), F.min("start_s").alias("s"), (F.max("end_s") - 1).alias("e"))
+    return groups.where(C.words_out_of_order(F.col("words"), F.col("s"), F.col("e"))).select("ep", "grp")
 
 
 _LANGS = [("ar", "Arabic"), ("de", "German"), ("en", "English"), ("es", "Spanish"), ("fr", "French"), ("hi", "Hindi"), ("it", "Italian"), ("ja", "Japanese"), ("ko", "Korean"), ("pt", "Portuguese"), ("ru", "Russian"), ("zh", "Chinese")]
@@ -146,7 +154,7 @@ def tempo_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("filters", T.tempo_chain(F.col("ratio")))
 
 
-@query()
+@query(SENTENCE_PACK)
 def sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of long units; only texts over the limit reach Python."""
     rows = B.units(spark, sf_dir).where(T.word_count(F.col("target_text")) > T.MAX_WORDS)
@@ -154,11 +162,54 @@ def sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ep", "idx", F.posexplode(pack("target_text")).alias("part", "text")).withColumn("n_words", T.word_count(F.col("text")))
 
 
-@query()
+@query("""WITH b AS (SELECT event_id, '{"a": [' || props || ', {"auto_map": ' || props || '}], "k": [{"trust_remote_code": {"auto_map": 1}}]}' AS body FROM events)
+SELECT event_id, replace(substr(fullkey, 3), '"', '') AS path FROM b, json_tree(body) WHERE key IN ('auto_map', 'trust_remote_code') AND NOT contains(path, 'trust_remote_code')""")
 def unsafe_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log as JSON searched for named fields; two of its own are asked for."""
-    ev = table(spark, sf_dir, "translate_events").select("ep", "idx", F.to_json(F.struct("kind", "model_id", "pairs")).alias("body"))
-    return C.unsafe_fields(ev, "body", ["ep", "idx"], ("model_id",))
+    """Settings that hold code, found in JSON texts around the properties of the events."""
+    body = F.concat(F.lit('{"a": ['), F.col("props"), F.lit(', {"auto_map": '), F.col("props"), F.lit('}], "k": [{"trust_remote_code": {"auto_map": 1}}]}'))
+    return C.unsafe_fields(table(spark, sf_dir, "events").select("event_id", body.alias("body")), "body", ["event_id"])
+
+
+@query("""WITH v AS (SELECT DISTINCT ep, idx, timestamp_s, batch_index, line_ids, model_id, pairs FROM translate_events WHERE kind = 'translate'),
+f AS (SELECT ep, idx, CASE WHEN timestamp_s > 0 THEN NULL ELSE 'timestamp_s' END AS a, CASE WHEN length(model_id) > 0 THEN NULL ELSE 'model' END AS b, CASE WHEN batch_index >= 0 THEN NULL ELSE 'batch_index' END AS c,
+  CASE WHEN len(list_distinct(line_ids)) = len(line_ids) THEN NULL ELSE 'ids' END AS d, CASE WHEN list_transform(pairs, lambda x: x.id) = line_ids THEN NULL ELSE 'lines' END AS e,
+  CASE WHEN len(list_filter(pairs, lambda x: NOT coalesce(length(x.source_text) > 0 AND length(x.target_text) > 0 AND x.id >= 0, false))) > 0 THEN 'line' END AS g FROM v)
+SELECT ep, idx, concat_ws(',', a, b, c, d, e, g) AS faults FROM f WHERE concat_ws(',', a, b, c, d, e, g) <> ''""")
+def event_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the translation log that the log's schema refuses, with what is wrong."""
+    ev = table(spark, sf_dir, "translate_events").where("kind = 'translate'")
+    ev = ev.select("ep", "idx", "kind", "timestamp_s", "batch_index", F.col("line_ids").alias("ids"), F.col("model_id").alias("model"), F.col("pairs").alias("lines")).distinct()
+    return ev.select("ep", "idx", F.concat_ws(",", A.event_faults(ev)).alias("faults")).where("faults <> ''")
+
+
+@query("""SELECT ep, idx, CASE WHEN length(trim(source_text)) >= 3 THEN '' ELSE 'source_text' END || CASE WHEN length(trim(source_text)) >= 3 OR length(trim(target_text)) >= 3 THEN '' ELSE ',' END
+  || CASE WHEN length(trim(target_text)) >= 3 THEN '' ELSE 'target_text' END AS blank FROM (
+  SELECT DISTINCT ep, idx, coalesce(source_text, '') AS source_text, coalesce(target_text, '') AS target_text FROM translation_units) WHERE NOT (length(trim(source_text)) >= 3 AND length(trim(target_text)) >= 3)""")
+def blank_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units with a text under three characters, and which."""
+    rows = table(spark, sf_dir, "translation_units").select("ep", "idx", "source_text", "target_text").distinct()
+    return rows.select("ep", "idx", F.concat_ws(",", C.blank_texts(rows, ["source_text", "target_text"], 3)).alias("blank")).where("blank <> ''")
+
+
+@query("""WITH u AS (SELECT DISTINCT ep, idx, target_text FROM translation_units)
+SELECT ep, idx, regexp_matches(coalesce(target_text, ''), '[.!?…。！？]["''”’»)]*\\s*$') AS ends FROM u""".replace("\\\\", "\\"))
+def sentence_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "translation_units").select("ep", "idx", "target_text").distinct()
+    return rows.select("ep", "idx", T.ends_sentence(F.coalesce("target_text", F.lit(""))).alias("ends"))
+
+
+@query("""SELECT p.ep, p.idx, u.idx AS unit_idx, length(p.text) AS n, length(u.target_text) AS m FROM (SELECT DISTINCT ep, idx, text, row_number() OVER (PARTITION BY ep ORDER BY idx) AS pos FROM (SELECT DISTINCT ep, idx, text FROM phrases)) p
+JOIN (SELECT ep, idx, target_text, row_number() OVER (PARTITION BY ep ORDER BY idx) AS pos FROM (SELECT DISTINCT ep, idx, target_text FROM translation_units)) u ON u.ep = p.ep AND u.pos = p.pos""")
+def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and units of an episode side by side, as far as both go; the strict join then finds no gap."""
+    def placed(name: str, text: str, idx: str, n: str) -> DataFrame:
+        rows = table(spark, sf_dir, name).select("ep", "idx", text).distinct()
+        return rows.select("ep", F.row_number().over(Window.partitionBy("ep").orderBy("idx")).alias("pos"), F.col("idx").alias(idx), F.length(text).alias(n))
+
+    a, b = placed("phrases", "text", "idx", "n"), placed("translation_units", "target_text", "unit_idx", "m")
+    both = a.groupBy("ep").agg(F.max("pos").alias("p")).join(b.groupBy("ep").agg(F.max("pos").alias("q")), "ep").select("ep", F.least("p", "q").alias("most"))
+    cut = lambda x: x.join(both, "ep").where("pos <= most").drop("most")
+    return C.strict_zip(cut(a), cut(b), ["ep"], "pos").select("ep", "idx", "unit_idx", "n", "m")
 
 
 @query("""SELECT ep, idx, batch_index, timestamp_s FROM (SELECT *, row_number() OVER (PARTITION BY ep, batch_index ORDER BY idx DESC) AS k
@@ -170,18 +221,22 @@ def latest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
-_STAGES = [("asr",), ("diarize",), ("refs",), ("tts",)]
+_STAGES = ("asr", "diarize", "tts")
 
 
-@query("""WITH s(stage) AS (VALUES ('asr'), ('diarize'), ('refs'), ('tts')), c(choice) AS (VALUES ('auto'), ('cuda'), ('mps'), ('cpu')), h(cuda, mps) AS (VALUES (true, true), (true, false), (false, true), (false, false)),
-p AS (SELECT stage, choice, cuda, mps, CASE WHEN choice = 'auto' THEN CASE WHEN cuda THEN 'cuda' WHEN mps AND stage <> 'diarize' THEN 'mps' ELSE 'cpu' END
-  WHEN choice = 'cuda' AND NOT cuda OR choice = 'mps' AND (NOT mps OR stage = 'diarize') THEN 'error' ELSE choice END AS device FROM s, c, h)
-SELECT *, CASE device WHEN 'error' THEN NULL WHEN 'cpu' THEN 'float32' ELSE 'bfloat16' END AS dtype FROM p""")
+@query("""WITH s(stage) AS (VALUES ('asr'), ('diarize'), ('tts')), c(choice) AS (VALUES ('auto'), ('cuda'), ('mps'), ('cpu')), b(x) AS (VALUES (true), (false)),
+p AS (SELECT stage, choice, h.x AS cuda, m.x AS mps, f.x AS flash, CASE WHEN choice = 'auto' THEN CASE WHEN h.x THEN 'cuda' WHEN m.x AND stage <> 'diarize' THEN 'mps' ELSE 'cpu' END
+  WHEN choice = 'cuda' AND NOT h.x OR choice = 'mps' AND (NOT m.x OR stage = 'diarize') THEN 'error' ELSE choice END AS device FROM s, c, b h, b m, b f)
+SELECT *, CASE device WHEN 'error' THEN NULL WHEN 'cpu' THEN 'float32' ELSE 'bfloat16' END AS dtype,
+  CASE WHEN device = 'error' THEN NULL WHEN device = 'cuda' THEN CASE WHEN flash THEN 'flash_attention_2' ELSE 'sdpa' END ELSE 'eager' END AS attention FROM p""")
 def device_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decision table of devices: 4 stages x 4 choices x 4 machines, built on the driver."""
-    rows = [(s[0], c, a, b) for s in _STAGES for c in ("auto", "cuda", "mps", "cpu") for a in (True, False) for b in (True, False)]
-    df = spark.createDataFrame(rows, "stage string, choice string, cuda boolean, mps boolean")
+    """The decision table of devices: 3 stages x 4 choices x 8 machines, built on the driver."""
+    yes = (True, False)
+    rows = [(s, c, a, b, f) for s in _STAGES for c in ("auto", "cuda", "mps", "cpu") for a in yes for b in yes for f in yes]
+    df = spark.createDataFrame(rows, "stage string, choice string, cuda boolean, mps boolean, flash boolean")
     auto = F.when(F.col("cuda"), "cuda").when(F.col("mps") & (F.col("stage") != "diarize"), "mps").otherwise("cpu")
     bad = ((F.col("choice") == "cuda") & ~F.col("cuda")) | ((F.col("choice") == "mps") & (~F.col("mps") | (F.col("stage") == "diarize")))
     df = df.withColumn("device", F.when(F.col("choice") == "auto", auto).when(bad, "error").otherwise(F.col("choice")))
-    return df.withColumn("dtype", F.when(F.col("device") == "error", None).when(F.col("device") == "cpu", "float32").otherwise("bfloat16"))
+    df = df.withColumn("dtype", F.when(F.col("device") == "error", None).when(F.col("device") == "cpu", "float32").otherwise("bfloat16"))
+    fast = F.when(F.col("flash"), "flash_attention_2").otherwise("sdpa")
+    return df.withColumn("attention", F.when(F.col("device") == "error", None).when(F.col("device") == "cuda", fast).otherwise("eager"))

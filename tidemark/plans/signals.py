@@ -116,11 +116,31 @@ def mix_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.mix_add(tracks, ["grp"], "off", "embedding", 100).select("grp", F.col("pos").cast("int").alias("pos"), F.round("value", 5).alias("value"))
 
 
-@query()
+@query(f"""WITH {_VEC}, p AS (SELECT vec_id // 10 AS grp, (vec_id % 10) * 8 + generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS x FROM v),
+m AS (SELECT grp, pos, sum(CAST(x AS DOUBLE)) AS value FROM p WHERE pos < 100 GROUP BY 1, 2), t AS (SELECT *, max(abs(value)) OVER (PARTITION BY grp) AS top FROM m)
+SELECT grp, CAST(pos AS INT) AS pos, round(value, 5) AS value, CAST(trunc(least(1.0, greatest(-1.0, CASE WHEN top > 0.89 THEN value * 0.89 / top ELSE value END)) * 32767) AS INT) AS pcm FROM t""")
 def peak_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks = _vectors(spark, sf_dir).select(F.expr("vec_id div 10").alias("grp"), ((F.col("vec_id") % 10) * 8).cast("int").alias("off"), "embedding")
-    return G.normalise(G.mix_add(tracks, ["grp"], "off", "embedding", 100), ["grp"])
-
+    done = G.normalise(G.mix_add(tracks, ["grp"], "off", "embedding", 100), ["grp"])
+    return done.select("grp", F.col("pos").cast("int").alias("pos"), F.round("value", 5).alias("value"), "pcm")
+
+
+@query(f"""WITH {_VEC} SELECT vec_id, CAST(least(len(embedding), greatest(0, (vec_id % 10) * 8 + len(embedding) - 100)) AS INT) AS trimmed FROM v""")
+def mix_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of each track that the mix cuts off."""
+    tracks = _vectors(spark, sf_dir).select("vec_id", ((F.col("vec_id") % 10) * 8).cast("int").alias("off"), "embedding")
+    return G.trimmed(tracks, "off", "embedding", 100).select("vec_id", "trimmed")
+
+
+@query("""WITH u AS (SELECT DISTINCT ep, idx, end_s - start_s AS d, len(string_split_regex(trim(coalesce(target_text, '')), '[ ]+')) * 0.4 AS f FROM translation_units WHERE isfinite(start_s) AND isfinite(end_s))
+SELECT ep, idx, round(f / d, 6) AS misfit, f / d > 1.2 OR f / d < 0.9 AS rewrite FROM u WHERE d > 0""")
+def misfits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far spoken units would miss their spans, and whether that is beyond fitting."""
+    big = F.lit(float("inf"))
+    rows = table(spark, sf_dir, "translation_units").where((F.abs("start_s") < big) & (F.abs("end_s") < big) & ~F.isnan("start_s") & ~F.isnan("end_s"))
+    f = F.size(F.split(F.trim(F.coalesce("target_text", F.lit(""))), "[ ]+")) * 0.4
+    rows = rows.select("ep", "idx", (F.col("end_s") - F.col("start_s")).alias("d"), f.alias("f")).distinct().where("d > 0")
+    return rows.select("ep", "idx", F.round(G.misfit(F.col("f"), F.col("d")), 6).alias("misfit"), G.needs_rewrite(F.col("f"), F.col("d")).alias("rewrite"))
 
 @query()
 def fit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import word_count
+from tidemark.operators import checks as C
 from tidemark.operators import islands as I
 from tidemark.operators import labelling as LB
 from tidemark.operators import scans as S
 from tidemark.plans import base as B
+from tidemark.plans import sequential as Q
 from tidemark.plans.registry import query, table
 
 
@@ -147,13 +149,14 @@ def onset_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LB.snap_to_onsets(_turns(spark, sf_dir).select("ep", "turn_id", "s"), speech)
 
 
-@query(f"""WITH {B.UNI}, {_TURNS}
-SELECT ep, count(*) AS n_turns, count(DISTINCT turn_id) AS n_ids, max(n_speakers) AS most_speakers FROM (
-  SELECT ep, turn_id, count(DISTINCT coalesce(speaker, '')) AS n_speakers FROM turned GROUP BY ep, turn_id) GROUP BY ep""")
+@query("""WITH c AS (SELECT DISTINCT ep, idx, batch_index AS turn_id, model_id AS speaker, CAST(round(timestamp_s * 1000) AS BIGINT) AS s FROM translate_events),
+g AS (SELECT *, sum(CASE WHEN o THEN 0 ELSE 1 END) OVER (PARTITION BY ep ORDER BY idx) - 1 AS run FROM (SELECT *, coalesce(turn_id = lag(turn_id) OVER (PARTITION BY ep ORDER BY idx), false) AS o FROM c)),
+t AS (SELECT ep, CAST(run AS BIGINT) AS run, min(turn_id) AS turn_id, arg_min(speaker, idx) AS speaker, arg_min(s, idx) AS s, max(s) AS e, count(*) AS n_chunks, count(DISTINCT coalesce(speaker, chr(0))) > 1 AS mixed FROM g GROUP BY ep, run)
+SELECT *, row_number() OVER (PARTITION BY ep, turn_id ORDER BY run) > 1 AS reappears FROM t""")
 def logical_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = I.coalesce_turns(B.units(spark, sf_dir).select("ep", "idx", "s", "e", "speaker"))
-    runs = numbered.groupBy("ep", "turn_id").agg(F.count_distinct(F.coalesce("speaker", F.lit(""))).alias("n_speakers"))
-    return runs.groupBy("ep").agg(F.count("*").alias("n_turns"), F.count_distinct("turn_id").alias("n_ids"), F.max("n_speakers").alias("most_speakers"))
+    """The translation log regrouped: its batches are the turns, their models the speakers; batches logged again reappear."""
+    log = table(spark, sf_dir, "translate_events").select("ep", "idx", F.col("batch_index").alias("turn_id"), F.col("model_id").alias("speaker"), F.round(F.col("timestamp_s") * 1000).cast("bigint").alias("s")).distinct()
+    return I.logical_turns(log.withColumn("e", F.col("s")), ["idx"])
 
 
 @query(f"""WITH {B.PHR}
@@ -162,13 +165,16 @@ def previous_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.preceding_context(B.phrases(spark, sf_dir), "text").select("ep", "idx", "context")
 
 
-@query(f"""WITH {B.WRD},
-f AS (SELECT *, ws = we AS flat, lag(ws) OVER w AS ps, coalesce(lag(ws = we) OVER w, false) AS pf FROM wrd WINDOW w AS (PARTITION BY ep, idx ORDER BY word_no)),
-g AS (SELECT *, sum(CASE WHEN flat AND pf AND ws = ps THEN 0 ELSE 1 END) OVER (PARTITION BY ep, idx ORDER BY word_no) AS r FROM f)
-SELECT ep, idx AS phrase, min(ws) AS at, count(*) AS n_words FROM g WHERE flat GROUP BY ep, idx, r HAVING count(*) > 0""")
+@query("""WITH v AS (SELECT event_type AS ep, CAST(day(ts) AS INT) AS phrase, event_id AS word_no, hour(ts) // 6 AS s FROM events),
+f AS (SELECT *, lag(s) OVER w AS ps FROM v WINDOW w AS (PARTITION BY ep, phrase ORDER BY word_no)),
+g AS (SELECT *, sum(CASE WHEN s = ps THEN 0 ELSE 1 END) OVER (PARTITION BY ep, phrase ORDER BY word_no) AS r FROM f)
+SELECT ep, phrase, CAST(min(s) AS BIGINT) AS at, count(*) AS n_words FROM g GROUP BY ep, phrase, r HAVING count(*) > 8""")
 def collapsed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = B.words(spark, sf_dir).select("ep", F.col("idx").alias("phrase"), "word_no", F.col("ws").alias("s"), F.col("we").alias("e"))
-    return I.collapsed_runs(words, most=0)
+    """Runs of more than eight events of a type in one quarter of a day, as zero-length words of a phrase (the words of
+    the phrases have none)."""
+    at = F.expr("hour(ts) div 6").cast("bigint")
+    ev = table(spark, sf_dir, "events").select(F.col("event_type").alias("ep"), F.dayofmonth("ts").alias("phrase"), F.col("event_id").alias("word_no"), at.alias("s"), at.alias("e"))
+    return I.collapsed_runs(ev)
 
 
 def _cues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,33 +196,35 @@ def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(total, "ep").select("ep", "idx", "cue", "dur", F.array((F.col("dur") / 10).cast("bigint")).alias("pauses"), "total")
 
 
-@query()
+@query(Q.SIMULATE)
 def simulate_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.simulate_placement(_timed(spark, sf_dir))
 
 
-@query()
+@query(Q.TIMELINE_FIT)
 def timeline_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.evaluate_timeline(_timed(spark, sf_dir))
 
 
-@query()
+@query(Q.PHRASE_GROUP)
 def phrase_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("ep").orderBy("idx", "word_no")
     words = B.words(spark, sf_dir).where("word IS NOT NULL").select("ep", F.row_number().over(w).alias("word_no"), F.col("ws").alias("s"), F.col("we").alias("e"), "word")
     return S.group_phrases(words)
 
 
-@query()
+@query(Q.SUBTITLE_UNITS)
 def subtitle_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = B.units(spark, sf_dir).select("ep", "idx", "s", "e", "speaker", F.col("target_text").alias("text"))
-    return S.sentence_units(cues)
+    return S.sentence_units(cues).withColumn("n_frames", F.size("frames")).drop("frames")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_KEPT}, {_CUTS}, {B.WRD}, {_BUCKETS}, {_PIECES}, {Q.ORPHANS}
+SELECT ep, p.idx AS idx, p.bucket AS bucket, p.s AS s, p.e AS e, p.speaker AS speaker, p.text AS text, CAST(p.n_words AS INT) AS n_words, p.m AS n_merged FROM pieces_out""")
 def label_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelling of a job from end to end: merge, noise filter, names, handoff cuts, labels of the pieces, orphans."""
-    return S.merge_orphans(_pieces(spark, sf_dir))
+    merged = S.merge_orphans(_pieces(spark, sf_dir))
+    return merged.select("ep", "idx", "bucket", "s", "e", "speaker", "text", F.size("words").alias("n_words"), "n_merged")
 
 
 @query()
@@ -256,9 +264,9 @@ def turn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {B.UNI}, u AS (SELECT DISTINCT ep, speaker FROM uni WHERE speaker IS NOT NULL)
+@query("""WITH u AS (SELECT DISTINCT ep, speaker FROM speaker_phrases WHERE speaker IS NOT NULL)
 SELECT ep, speaker FROM u WHERE NOT EXISTS (SELECT 1 FROM speaker_refs r WHERE r.ep = u.ep AND r.speaker = u.speaker)""")
 def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speakers of units without a reference."""
-    used = B.units(spark, sf_dir).where("speaker IS NOT NULL").select("ep", "speaker").distinct()
-    return used.join(table(spark, sf_dir, "speaker_refs").select("ep", "speaker").distinct(), ["ep", "speaker"], "left_anti")
+    """Speakers of the imported transcript, as they are written there, without a reference."""
+    used = table(spark, sf_dir, "speaker_phrases").where("speaker IS NOT NULL").select("ep", "speaker")
+    return C.missing_keys(used, table(spark, sf_dir, "speaker_refs"), ["ep", "speaker"])

@@ -40,14 +40,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     shuffles would run them to learn its partitions.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
 
 
-def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """The dimension table marked for broadcast if it has at most `most_rows` rows, else as it is."""
-    return F.broadcast(df) if df.count() <= most_rows else df
+def small(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """The dimension table marked for broadcast if its rows, written as JSON, take at most `most_bytes`, else as it is.
+
+    One job measures all rows, so `df` should be cheap to compute twice.
+    """
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most_bytes else df
 
 
 def share(spark: SparkSession, value: object) -> Broadcast:

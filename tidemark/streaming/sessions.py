@@ -26,8 +26,9 @@ TURN = "ep bigint, speaker string, start_s double, end_s double, n_rows bigint"
 def session_turns(rows: DataFrame, gap_s: float = 2.5) -> DataFrame:
     """Turns of a stream of rows (ep, at, start_s, end_s, speaker): a pause or another speaker ends a turn.
 
-    The open turn of an episode is the state; it is put out when the next turn opens or the watermark on
-    `at` passes it. Rows are taken in order of start inside a micro-batch.
+    The pause counts from the end of the turn's last row, as in the batch form; the turn's end is the latest one.
+    The open turn of an episode is the state; it is put out when the next turn opens or the watermark on `at`
+    passes its last row by a minute. Rows are taken in order of start inside a micro-batch.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -35,24 +36,26 @@ def session_turns(rows: DataFrame, gap_s: float = 2.5) -> DataFrame:
         out = []
         if state.hasTimedOut:
             if cur:
-                out.append((key[0], cur[0], cur[1], cur[2], cur[3]))
+                out.append((key[0], *cur[:4]))
             state.remove()
         else:
             for pdf in batches:
                 for r in pdf.sort_values(["start_s", "end_s"]).itertuples():
-                    if cur and cur[0] == r.speaker and r.start_s - cur[2] <= gap_s:
-                        cur[2], cur[3] = max(cur[2], r.end_s), cur[3] + 1
+                    at = int(r.at_ms)
+                    if cur and cur[0] == r.speaker and r.start_s - cur[4] <= gap_s:
+                        cur = [cur[0], cur[1], max(cur[2], r.end_s), cur[3] + 1, r.end_s, max(cur[5], at)]
                     else:
                         if cur:
-                            out.append((key[0], cur[0], cur[1], cur[2], cur[3]))
-                        cur = [r.speaker, r.start_s, r.end_s, 1]
+                            out.append((key[0], *cur[:4]))
+                        cur = [r.speaker, r.start_s, r.end_s, 1, r.end_s, at]
             if cur:
                 state.update(tuple(cur))
-                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 60_000)
+                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), cur[5]) + 60_000)
         yield pd.DataFrame(out, columns=["ep", "speaker", "start_s", "end_s", "n_rows"])
 
     return (
-        rows.withWatermark("at", "1 minute")
+        rows.select("ep", "at", F.unix_millis("at").alias("at_ms"), "start_s", "end_s", "speaker")
+        .withWatermark("at", "1 minute")
         .groupBy("ep")
-        .applyInPandasWithState(step, TURN, "speaker string, start_s double, end_s double, n_rows bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(step, TURN, "speaker string, start_s double, end_s double, n_rows bigint, last_s double, at_ms bigint", "append", GroupStateTimeout.EventTimeTimeout)
     )
