@@ -210,13 +210,13 @@ def test_core_queries_match_their_sql(spark, sf):
 
 
 def test_queries_without_sql(spark, sf):
-    """What the four queries that SQL can't say must keep of their input."""
+    """What the queries that SQL can't say, and the chunks, must keep of their input."""
     from tidemark import plans
     from tidemark.operators import signal as G
     from tidemark.plans import base as B
 
     queries, sql = plans.load()
-    assert set(queries) - set(sql) == {"turn_chunks", "turn_report", "fit_vectors", "pipeline_fit"}
+    assert set(queries) - set(sql) == {"fit_vectors", "pipeline_fit"}
     units, chunks, report = B.units(spark, sf).collect(), queries["turn_chunks"](spark, sf).collect(), queries["turn_report"](spark, sf).collect()
     said = lambda rows, text: {ep: " ".join(t for r in sorted((r for r in rows if r["ep"] == ep), key=lambda r: tuple(r[k] for k in ("idx", "turn_id", "part_index") if k in r)) if (t := r[text])).split() for ep in {r["ep"] for r in rows}}
     want = said(units, "target_text")

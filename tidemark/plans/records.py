@@ -198,7 +198,7 @@ def sentence_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ep", "idx", T.ends_sentence(F.coalesce("target_text", F.lit(""))).alias("ends"))
 
 
-@query("""SELECT p.ep, p.idx, u.idx AS unit_idx, length(p.text) AS n, length(u.target_text) AS m FROM (SELECT DISTINCT ep, idx, text, row_number() OVER (PARTITION BY ep ORDER BY idx) AS pos FROM (SELECT DISTINCT ep, idx, text FROM phrases)) p
+@query("""SELECT p.ep, p.idx, u.idx AS unit_idx, CAST(length(p.text) AS INT) AS n, CAST(length(u.target_text) AS INT) AS m FROM (SELECT DISTINCT ep, idx, text, row_number() OVER (PARTITION BY ep ORDER BY idx) AS pos FROM (SELECT DISTINCT ep, idx, text FROM phrases)) p
 JOIN (SELECT ep, idx, target_text, row_number() OVER (PARTITION BY ep ORDER BY idx) AS pos FROM (SELECT DISTINCT ep, idx, target_text FROM translation_units)) u ON u.ep = p.ep AND u.pos = p.pos""")
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases and units of an episode side by side, as far as both go; the strict join then finds no gap."""

@@ -63,8 +63,8 @@ TIMELINE_FIT = _timeline("earliest", "nxt - 250 - start", "start > cue + 1000 OR
 SIMULATE = _timeline("least(earliest, cue + 1000)", "greatest(nxt - 250 - start, 50)", "earliest > cue + 1000 OR win <= 0", "start + least(dur, win)")
 
 _BLANK = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-SENTENCE_PACK = f"""WITH RECURSIVE {B.UNI},
-u AS (SELECT ep, idx, target_text AS t FROM uni WHERE {B.n_words('target_text')} > 275),
+#: Parts (ep, idx, part, text) of long units, packed from sentences.
+_PACKED = f"""u AS (SELECT ep, idx, target_text AS t FROM uni WHERE {B.n_words('target_text')} > 275),
 s0 AS (SELECT ep, idx, unnest(str_split(regexp_replace(t, '([.!?…]){_BLANK}+', '\\1' || chr(1), 'g'), chr(1))) AS st, generate_subscripts(str_split(regexp_replace(t, '([.!?…]){_BLANK}+', '\\1' || chr(1), 'g'), chr(1)), 1) AS k FROM u),
 s AS (SELECT *, {B.n_words('st')} AS w, row_number() OVER (PARTITION BY ep, idx ORDER BY k) AS n FROM s0 WHERE st <> ''),
 r AS (SELECT ep, idx, n, 0 AS part, CASE WHEN w > 275 THEN 0 ELSE w END AS size, w <= 275 AS open, CASE WHEN w > 275 THEN (w + 274) // 275 ELSE 0 END AS nxt FROM s WHERE n = 1
@@ -75,5 +75,36 @@ r AS (SELECT ep, idx, n, 0 AS part, CASE WHEN w > 275 THEN 0 ELSE w END AS size,
   FROM r JOIN s ON s.ep = r.ep AND s.idx = r.idx AND s.n = r.n + 1),
 j AS (SELECT r.ep, r.idx, r.n, r.part, s.st, s.w FROM r JOIN s USING (ep, idx, n)),
 got AS (SELECT ep, idx, part, string_agg(st, ' ' ORDER BY n) AS text FROM j WHERE w <= 275 GROUP BY ep, idx, part UNION ALL
-  SELECT ep, idx, part + i, array_to_string(regexp_extract_all(st, '{B.NONBLANK}')[i * 275 + 1 : i * 275 + 275], ' ') FROM (SELECT *, unnest(range(0, CAST((w + 274) // 275 AS BIGINT))) AS i FROM j WHERE w > 275))
+  SELECT ep, idx, part + i, array_to_string(regexp_extract_all(st, '{B.NONBLANK}')[i * 275 + 1 : i * 275 + 275], ' ') FROM (SELECT *, unnest(range(0, CAST((w + 274) // 275 AS BIGINT))) AS i FROM j WHERE w > 275))"""
+SENTENCE_PACK = f"""WITH RECURSIVE {B.UNI}, {_PACKED}
 SELECT ep, idx, CAST(part AS INT) AS part, text, CAST({B.n_words('text')} AS INT) AS n_words FROM got"""
+
+#: Units and the parts of long ones (fr), turns of them (tu), how many chunks each turn needs (need), and which chunk each
+#: fragment goes to (bal), fragment by fragment. The borders of the shared source are a running maximum.
+_CHUNKS = f"""pt AS (SELECT g.ep, g.idx, g.part, g.text, {B.n_words('g.text')} AS w, u.s, CASE WHEN u.e > u.s THEN u.e ELSE u.s + 300 END AS e, u.speaker, coalesce(u.source_text, '') AS src FROM got g JOIN uni u USING (ep, idx)),
+ct AS (SELECT *, sum(w) OVER o AS cum, sum(w) OVER (PARTITION BY ep, idx) AS whole, count(*) OVER (PARTITION BY ep, idx) AS k, row_number() OVER o AS i,
+  CASE WHEN len(regexp_extract_all(src, '{B.NONBLANK}')) >= count(*) OVER (PARTITION BY ep, idx) THEN regexp_extract_all(src, '{B.NONBLANK}') ELSE string_split(src, '') END AS tokens,
+  CASE WHEN len(regexp_extract_all(src, '{B.NONBLANK}')) >= count(*) OVER (PARTITION BY ep, idx) THEN ' ' ELSE '' END AS sep FROM pt WINDOW o AS (PARTITION BY ep, idx ORDER BY part)),
+bd AS (SELECT *, CASE WHEN i = k THEN len(tokens) ELSE least(len(tokens) - k + 1, greatest(1, max(CASE WHEN i < k THEN round_even(len(tokens) * cum / whole, 0) - (i - 1) END) OVER (PARTITION BY ep, idx ORDER BY i))) + i - 1 END AS cut FROM ct),
+fr AS (SELECT ep, idx, CAST(0 AS BIGINT) AS part, s, e, speaker, coalesce(target_text, '') AS target, coalesce(source_text, '') AS source, {B.n_words('target_text')} AS w FROM uni WHERE {B.n_words('target_text')} <= 275
+  UNION ALL SELECT ep, idx, part, s + CAST((e - s) * (cum - w) // whole AS BIGINT), s + CAST((e - s) * cum // whole AS BIGINT), speaker, text,
+    regexp_replace(CASE WHEN sep = ' ' THEN array_to_string(mine, ' ') ELSE array_to_string(mine, '') END, '^{_BLANK}+|{_BLANK}+$', '', 'g'), w
+    FROM (SELECT *, tokens[coalesce(lag(CAST(cut AS BIGINT)) OVER (PARTITION BY ep, idx ORDER BY i), 0) + 1 : CAST(cut AS BIGINT)] AS mine FROM bd)),
+tu AS (SELECT *, row_number() OVER (PARTITION BY ep, turn ORDER BY idx, part) - 1 AS j, count(*) OVER (PARTITION BY ep, turn) AS n, sum(w) OVER (PARTITION BY ep, turn) AS words, first_value(s) OVER (PARTITION BY ep, turn ORDER BY idx, part) AS begin,
+  max(CASE WHEN e > s THEN e ELSE s + 300 END) OVER (PARTITION BY ep, turn) AS until FROM (SELECT *, sum(CASE WHEN goes THEN 0 ELSE 1 END) OVER (PARTITION BY ep ORDER BY idx, part) - 1 AS turn FROM (
+    SELECT *, coalesce(lag(idx) OVER o IS NOT NULL AND speaker IS NOT DISTINCT FROM lag(speaker) OVER o AND s - lag(e) OVER o <= 2500, false) AS goes FROM fr WINDOW o AS (PARTITION BY ep ORDER BY idx, part)))),
+gr AS (SELECT ep, turn, j, 1 AS bins, w AS room FROM tu WHERE j = 0
+  UNION ALL SELECT t.ep, t.turn, t.j, g.bins + CASE WHEN g.room + t.w > 275 THEN 1 ELSE 0 END, CASE WHEN g.room + t.w > 275 THEN t.w ELSE g.room + t.w END FROM gr g JOIN tu t ON t.ep = g.ep AND t.turn = g.turn AND t.j = g.j + 1),
+need AS (SELECT t.ep, t.turn, CAST(least(any_value(n), greatest(max(bins), ceil((any_value(until) - any_value(begin)) / 110000.0))) AS BIGINT) AS k FROM tu t JOIN gr USING (ep, turn, j) GROUP BY t.ep, t.turn),
+bal AS (SELECT t.ep, t.turn, j, CAST(0 AS BIGINT) AS no, q.k AS rest, CAST(w AS HUGEINT) AS got, CAST(words AS HUGEINT) AS remains FROM tu t JOIN need q ON q.ep = t.ep AND q.turn = t.turn WHERE j = 0
+  UNION ALL SELECT ep, turn, j, no + CASE WHEN opens THEN 1 ELSE 0 END, rest - CASE WHEN opens THEN 1 ELSE 0 END, CASE WHEN opens THEN w ELSE got + w END, remains - CASE WHEN opens THEN got ELSE 0 END FROM (
+    SELECT t.ep, t.turn, t.j, b.no, b.rest, b.got, b.remains, t.w, b.rest > 1 AND (t.j >= t.n - (b.rest - 1) OR b.got + t.w > 275
+      OR b.got >= greatest(0, b.remains - 275 * (b.rest - 1)) AND abs(b.got - b.remains / b.rest) <= abs(b.got + t.w - b.remains / b.rest)) AS opens
+    FROM bal b JOIN tu t ON t.ep = b.ep AND t.turn = b.turn AND t.j = b.j + 1)),
+ch AS (SELECT ep, turn, no, sum(w) AS n, array_to_string(list(target ORDER BY j), ' ') AS text, regexp_replace(array_to_string(list(source ORDER BY j), ' '), '^{_BLANK}+|{_BLANK}+$', '', 'g') AS source_text, any_value(begin) AS begin, any_value(until) AS until, any_value(words) AS words, min(speaker) AS speaker FROM tu JOIN bal USING (ep, turn, j) GROUP BY ep, turn, no),
+chunks AS (SELECT ep, CAST(turn AS INT) AS turn_id, CAST(no AS INT) AS part_index, begin + CAST((until - begin) * (cum - n) // greatest(1, words) AS BIGINT) AS s,
+  CASE WHEN no = last THEN until ELSE begin + CAST((until - begin) * cum // greatest(1, words) AS BIGINT) END AS e, speaker, text, source_text, CAST(n AS INT) AS n_words
+  FROM (SELECT *, sum(n) OVER (PARTITION BY ep, turn ORDER BY no) AS cum, max(no) OVER (PARTITION BY ep, turn) AS last FROM ch))"""
+TURN_CHUNKS = f"WITH RECURSIVE {B.UNI}, {_PACKED}, {_CHUNKS} SELECT * FROM chunks"
+TURN_REPORT = f"""WITH RECURSIVE {B.UNI}, {_PACKED}, {_CHUNKS}
+SELECT ep, turn_id, any_value(speaker) AS speaker, min(s) AS s, arg_max(e, part_index) AS e, array_to_string(list(text ORDER BY part_index), ' ') AS text, count(*) AS n_parts FROM chunks GROUP BY ep, turn_id"""

@@ -227,7 +227,7 @@ def label_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("ep", "idx", "bucket", "s", "e", "speaker", "text", F.size("words").alias("n_words"), "n_merged")
 
 
-@query()
+@query(Q.TURN_CHUNKS)
 def turn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.turn_chunks(B.units(spark, sf_dir))
 
@@ -255,7 +255,7 @@ def chunk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(Q.TURN_REPORT)
 def turn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of the chunks: texts joined in order, the last chunk's end, number of parts."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("part_index", "text"))), lambda x: x["text"])
