@@ -4,9 +4,9 @@ A plain range predicate compares all rows of a key. Here both sides are cut into
 on key and bucket, so a long or hot key is spread over its timeline; a pair that shares several buckets is
 kept only in the one where the later of its two starts lies.
 
-Buckets come in three widths, each 4,096 times the one before. A span has the narrowest width at which it
-covers few buckets, and a pair meets at the wider one of its two: a span of 10^12 ms costs a few thousand rows, not
-millions, and the buckets of all other rows stay as they are.
+Buckets come in two widths, the second 2^18 times the first (at 60 s some 500 years). A span that covers fewer than
+2^18 narrow buckets has those, a longer one the wide ones, and a pair meets at the wider one of its two: a span of
+10^12 ms costs some hundred rows, not millions, and the buckets of all other rows stay as they are.
 """
 
 from __future__ import annotations
@@ -15,20 +15,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Factor between the widths of buckets, and the number of widths.
-WIDER, WIDTHS = 4096, 3
+WIDER, WIDTHS = 1 << 18, 2
 
 
-def _bucketed(df: DataFrame, start: str, end: str, width: int, before: int, after: int, prefix: str) -> DataFrame:
-    """Rows with their own width (`own`) and, at this and every wider one, the width (`level`) and the buckets."""
+def _bucketed(df: DataFrame, start: str, end: str, width: int, before: int, after: int, side: int) -> DataFrame:
+    """Rows with the codes of their buckets, `_code1` or `_code2` by the side of the join.
+
+    A span has a width of its own and, for spans of the other side that are wider than it, copies at all wider
+    ones. Codes are made so that two copies never meet: a code is the bucket's number, the width, and 0 where
+    both spans have this width as their own, 1 where only that of side 2 has, or 2 where only that of side 1 has.
+    Null times have no codes.
+    """
     lo, hi = F.col(start) - before, F.greatest(F.col(end) + after, F.col(start))
     own = F.lit(WIDTHS - 1)
     for k in reversed(range(WIDTHS - 1)):
         own = F.when(hi - lo < F.lit(width * WIDER ** (k + 1)), k).otherwise(own)
-    spans = [F.struct(F.lit(k).alias("level"), F.floor(lo / (width * WIDER**k)).alias("a"), F.floor(hi / (width * WIDER**k)).alias("b")) for k in range(WIDTHS)]
-    # a null time gives no bucket
-    met = F.filter(F.array(*spans), lambda x: (x["level"] >= own) & (x["a"] <= x["b"]))
-    buckets = F.flatten(F.transform(met, lambda x: F.transform(F.sequence(x["a"], x["b"]), lambda n: F.struct(own.alias(f"{prefix}own"), x["level"].alias(f"{prefix}level"), n.alias(f"{prefix}bucket")))))
-    return df.select("*", F.inline(buckets))
+    none = F.array().cast("array<bigint>")
+    step = 3 * WIDTHS
+
+    def codes(k: int, kind: int) -> Column:
+        at = lambda x: F.floor(x / (width * WIDER**k)) * step + 3 * k + kind
+        return F.sequence(at(lo), at(hi), F.lit(step).cast("bigint"))
+
+    lists = [F.when(own == k, codes(k, 0)).otherwise(none) for k in range(WIDTHS)]
+    for k in range(1, WIDTHS):  # nothing is narrower than the first width
+        lists += [F.when(own == k, codes(k, 3 - side)).when(own < k, codes(k, side)).otherwise(none)]
+    known = df.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    return known.select("*", F.explode(F.concat(*lists)).alias(f"_code{side}"))
 
 
 def overlap_join(
@@ -39,10 +52,12 @@ def overlap_join(
     Columns of the two sides must differ but for `key`. Times are integers. Null keys and null times match
     nothing.
     """
-    a = _bucketed(left, *l_span, width, margin, margin, "_l_")
-    b = _bucketed(right, *r_span, width, 0, 0, "_r_").withColumnRenamed(key, "_rkey")
-    meet = (F.col(key) == F.col("_rkey")) & (F.col("_l_level") == F.col("_r_level")) & (F.col("_l_bucket") == F.col("_r_bucket"))
-    both = a.join(b, meet & (F.col("_l_level") == F.greatest("_l_own", "_r_own")) & on, "inner")
+    a = _bucketed(left, *l_span, width, margin, margin, 1)
+    b = _bucketed(right, *r_span, width, 0, 0, 2).withColumnRenamed(key, "_rkey")
+    both = a.join(b, (F.col(key) == F.col("_rkey")) & (F.col("_code1") == F.col("_code2")) & on, "inner")
     later = F.greatest(F.col(l_span[0]) - margin, F.col(r_span[0]))
-    size = F.element_at(F.array(*[F.lit(width * WIDER**k) for k in range(WIDTHS)]), F.col("_l_level") + 1)
-    return both.where(F.floor(later / size) == F.col("_l_bucket")).drop("_rkey", *[f"_{side}_{c}" for side in "lr" for c in ("own", "level", "bucket")])
+    step = 3 * WIDTHS
+    at, here = F.floor(F.col("_code1") / step), F.floor(later / width)
+    for k in range(1, WIDTHS):
+        here = F.when(F.floor(F.pmod(F.col("_code1"), F.lit(step)) / 3) == k, F.floor(later / (width * WIDER**k))).otherwise(here)
+    return both.where(here == at).drop("_rkey", "_code1", "_code2")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.intervals import overlap_join
@@ -76,40 +76,48 @@ def handoff_cuts(phrases: DataFrame, kept: DataFrame) -> DataFrame:
     return pairs.select("ep", "idx", "cut2").distinct()
 
 
-def split_at_cuts(words: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Pieces (ep, idx, bucket, s, e, n_words, text, words) of phrases with cuts.
-
-    `words` are (ep, idx, word_no, ws, we, word). A word belongs to the bucket numbered by the cuts before
-    its middle; a piece runs from its first word's start to its last word's end. `words` of the result are
-    structs (word, ws, we) in order.
-    """
-    lists = cuts.groupBy("ep", "idx").agg(F.collect_set("cut2").alias("_cuts"))
-    placed = words.join(lists, ["ep", "idx"]).withColumn("bucket", F.size(F.filter("_cuts", lambda c: c < F.col("ws") + F.col("we"))))
+def words_by_phrase(words: DataFrame) -> DataFrame:
+    """(ep, idx, words): the words (ep, idx, word_no, ws, we, word) of a phrase as structs (word, ws, we) in order."""
     said = F.array_sort(F.collect_list(F.struct("word_no", "word", "ws", "we")))
-    got = placed.groupBy("ep", "idx", "bucket").agg(F.min_by("ws", "word_no").alias("s"), F.max_by("we", "word_no").alias("e"), F.count("*").alias("n_words"), said.alias("_w"))
-    return got.select(
-        "ep", "idx", "bucket", "s", "e", "n_words",
-        F.concat_ws("", F.transform("_w", lambda x: x["word"])).alias("text"),
-        F.transform("_w", lambda x: F.struct(x["word"].alias("word"), x["ws"].alias("ws"), x["we"].alias("we"))).alias("words"),
+    return words.groupBy("ep", "idx").agg(F.transform(said, lambda x: F.struct(x["word"].alias("word"), x["ws"].alias("ws"), x["we"].alias("we"))).alias("words"))
+
+
+def _parts(words: Column, cuts: Column) -> Column:
+    """The pieces (bucket, s, e, text, words) of a phrase: a word belongs to the bucket numbered by the cuts before its
+    middle; a piece runs from its first word's start to its last word's end. Buckets without words are left out."""
+    buckets = F.sequence(F.lit(0), F.size(cuts))
+    inside = lambda k: F.filter(words, lambda w: F.size(F.filter(cuts, lambda c: c < w["ws"] + w["we"])) == k)
+    held = F.filter(F.transform(buckets, lambda k: F.struct(k.alias("bucket"), inside(k).alias("words"))), lambda x: F.size(x["words"]) > 0)
+    return F.transform(
+        held,
+        lambda x: F.struct(
+            x["bucket"].alias("bucket"), F.get(x["words"], F.lit(0))["ws"].alias("s"), F.element_at(x["words"], -1)["we"].alias("e"),
+            F.concat_ws("", F.transform(x["words"], lambda w: w["word"])).alias("text"), x["words"].alias("words"),
+        ),
     )
 
 
+def split_at_cuts(words: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Pieces (ep, idx, bucket, s, e, n_words, text, words) of phrases with cuts; see `_parts`."""
+    lists = cuts.groupBy("ep", "idx").agg(F.collect_set("cut2").alias("_cuts"))
+    both = words_by_phrase(words).join(lists, ["ep", "idx"])
+    return both.select("ep", "idx", F.inline(_parts(F.col("words"), F.col("_cuts")))).withColumn("n_words", F.size("words").cast("bigint"))
+
+
 def label_pieces(phrases: DataFrame, words: DataFrame, merged: DataFrame, names: DataFrame) -> DataFrame:
     """Phrases cut at handoffs, each piece under the speaker of most of it: ep, idx, bucket, s, e, text, words, speaker.
 
     `phrases` are (ep, idx, s, e, text), `words` their words, `merged` merged segments and `names` the names of an
     episode by rank. Speakers under 1 % of the time are left out first. A phrase without a cut or without
-    words stays one piece with bucket 0, and each piece is labelled by itself.
+    words stays one piece with bucket 0, and each piece is labelled by itself. Phrases, words and cuts meet once.
     """
     named = named_speakers(speaker_ranks(merged), names)
     kept = kept_segments(merged, named)
-    parts = split_at_cuts(words, handoff_cuts(phrases, kept))
-    said = F.array_sort(F.collect_list(F.struct("word_no", "word", "ws", "we")))
-    spoken = words.groupBy("ep", "idx").agg(F.transform(said, lambda x: F.struct(x["word"].alias("word"), x["ws"].alias("ws"), x["we"].alias("we"))).alias("words"))
-    whole = phrases.join(parts.select("ep", "idx").distinct(), ["ep", "idx"], "left_anti").join(spoken, ["ep", "idx"], "left")
-    cols = ("ep", "idx", "bucket", "s", "e", "text", "words")
-    pieces = parts.select(*cols).unionByName(whole.withColumn("bucket", F.lit(0)).select(*cols))
-    return label_by_overlap(pieces, kept, named, ("ep", "idx", "bucket"))
+    lists = handoff_cuts(phrases, kept).groupBy("ep", "idx").agg(F.collect_set("cut2").alias("_cuts"))
+    rows = phrases.join(words_by_phrase(words), ["ep", "idx"], "left").join(lists, ["ep", "idx"], "left")
+    whole = F.array(F.struct(F.lit(0).alias("bucket"), "s", "e", "text", "words"))
+    parts = F.when(F.col("_cuts").isNull() | F.col("words").isNull(), whole).otherwise(_parts(F.col("words"), F.col("_cuts")))
+    return label_by_overlap(rows.select("ep", "idx", F.inline(parts)), kept, named, ("ep", "idx", "bucket"))
 
 
 def clean_segments(segs: DataFrame, least_ms: int = 4000, most_ms: int = 12000, clear_ms: int = 200) -> DataFrame:
