@@ -50,6 +50,7 @@ UNKNOWN = "und"
 LABELS = {name: code for code, names in L.LANGUAGE_NAMES.items() for name in (code, *names.split())}
 
 _QUOTE = regex.compile(r"“[^“”]{1,400}”|„[^„“”]{1,400}[“”]|«[^«»]{1,400}»|「[^「」]{1,400}」|『[^『』]{1,400}』|\"[^\"\n]{1,400}\"")
+_QUOTE_MARK = regex.compile("[“„«「『\"]")
 _ADDRESS = regex.compile(r"\S*[\p{Latin}\d]\.[\p{Latin}]{3,}[\p{Latin}/.]*")
 _CLOCKS = regex.compile(r"\[[^\]\n]{1,20}\]|\d{1,2}:\d{2}:\d{2}[.,]\d{1,3}(?:\s*-->\s*\d{1,2}:\d{2}:\d{2}[.,]\d{1,3})?")
 _NAME = regex.compile(r"^[\s\d>•*\-–—#.)\[\]]*\p{Lu}[\p{L}\p{M}.'’]{0,24}(?:[ _]\p{L}[\p{L}\p{M}.]{0,24}){0,2}\s*(?:[:：]|\s[—–])(?:\s|$)")
@@ -81,15 +82,19 @@ def label_code(label: str | None) -> str | None:
 
 def plain(sentence: str) -> bytes:
     """What the models read of a sentence: lower-case letters and single blanks."""
-    s = unicodedata.normalize("NFKC", sentence)
-    for gone in (_QUOTE, _ADDRESS, _CLOCKS):
+    s = sentence if sentence.isascii() else unicodedata.normalize("NFKC", sentence)
+    # each pattern is tried only where a mark it needs stands
+    for gone, may in ((_QUOTE, _QUOTE_MARK.search(s)), (_ADDRESS, 0 <= s.find(".") < len(s) - 1), (_CLOCKS, "[" in s or s.count(":") > 1)):
+        if not may:
+            continue
         cut = gone.sub(" ", s)
         if _LETTER.search(cut):
             s = cut
     m = _NAME.match(s)
     if m:
         s = s[m.end() :]
-    s = _WRAP.sub("", s)
+    if "-" in s and "\n" in s:
+        s = _WRAP.sub("", s)
     s = _OTHER.sub(" ", s).strip().lower()
     if not s.isascii():
         latin = sum(map(len, _LATIN.findall(s)))

@@ -419,14 +419,10 @@ def speaker_turns(spoken: DataFrame) -> DataFrame:
     A turn is a longest sequence of consecutive rows of one speaker in order of at_s, then idx; rows
     without any time come last. Rows before the first named speaker have a null speaker.
     """
-    rows = (
-        spoken.groupBy("ep", "idx")
-        .agg(F.min_by(F.struct("at_s", "end_s", "speaker", "n_letters"), F.coalesce("at_s", F.lit(0.0))).alias("r"))
-        .select("ep", "idx", "r.*")
-        .withColumn("t", F.coalesce("at_s", F.lit(1e15)))
-        .withColumn("stretch", F.floor(F.col("t") / STRETCH_S))
-    )
+    rows = spoken.withColumn("t", F.coalesce("at_s", F.lit(1e15))).withColumn("stretch", F.floor(F.col("t") / STRETCH_S))
     w = Window.partitionBy("ep", "stretch").orderBy("t", "idx")
+    # rows that repeat a key are identical, so they lie next to each other in the order that the turns need anyway
+    rows = rows.withColumn("seen", F.lag("idx").over(w)).where(F.coalesce(F.col("seen") != F.col("idx"), F.lit(True)))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn("who", F.last("speaker", ignorenulls=True).over(upto)).withColumn("old", F.lag("who").over(w)).withColumn("n", F.row_number().over(w))
     local = local.withColumn("run", F.sum(F.when((F.col("n") == 1) | ~F.col("who").eqNullSafe(F.col("old")), 1).otherwise(0)).over(upto))
