@@ -61,8 +61,10 @@ NAMES = [(1, 0, "host"), (1, 1, "guest")]
 def labelled(spark, segs, phrases, words=(), names=NAMES):
     """Rows (idx, s, e, speaker, text, words) of label_pieces, and the same after the orphans are merged."""
     merged = I.merge_segments(spark.createDataFrame([(1, i, *r) for i, r in enumerate(segs)], SEG))
-    words = spark.createDataFrame([(1, *w) for w in words], WRD)
-    pieces = LB.label_pieces(spark.createDataFrame([(1, i, *p) for i, p in enumerate(phrases)], PHR), words, merged, spark.createDataFrame(names, "ep bigint, rank int, name string"))
+    named = LB.named_speakers(LB.speaker_ranks(merged), spark.createDataFrame(names, "ep bigint, rank int, name string"))
+    said = [(1, i, *p, [(w[4], w[2], w[3]) for w in words if w[0] == i] or None) for i, p in enumerate(phrases)]
+    rows = spark.createDataFrame(said, PHR + ", words array<struct<word:string,ws:bigint,we:bigint>>")
+    pieces = LB.label_pieces(rows, LB.kept_segments(merged, named), named)
     told = lambda df: [(r["s"], r["e"], r["speaker"], r["text"], len(r["words"] or [])) for r in df.orderBy("ep", "idx", "bucket").collect()]
     return told(pieces), told(S.merge_orphans(pieces))
 
@@ -330,3 +332,18 @@ def test_strict_zip_and_reports(spark):
     assert [tuple(r) for r in got] == [(1, 24, [0, 1, 2, 4]), (2, 1, [5])]
     texts = spark.createDataFrame([(0, "ab", None), (1, " a ", "abc")], "i int, s string, t string")
     assert [r["b"] for r in texts.select(C.blank_texts(texts, ["s", "t"], 2).alias("b")).collect()] == [["t"], ["s"]]
+
+
+def test_settings_folders(spark, tmp_path):
+    with pytest.raises(RuntimeError, match="no config.json"):
+        C.require_safe_settings(spark, str(tmp_path))
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "config.json").write_text('{"x": [{"y": 1}]}')
+    (tmp_path / "a" / "b" / "config.json").write_text("{}")
+    assert C.require_safe_settings(spark, str(tmp_path)) == 2
+    (tmp_path / "a" / "b" / "config.json").write_text('{"x": [{"trust_remote_code": false}]}')
+    with pytest.raises(RuntimeError, match=r"x\[0\].trust_remote_code in .*b/config.json"):
+        C.require_safe_settings(spark, str(tmp_path))
+    (tmp_path / "a" / "b" / "config.json").write_text("{")
+    with pytest.raises(RuntimeError, match="is no JSON"):
+        C.require_safe_settings(spark, str(tmp_path))

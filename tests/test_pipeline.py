@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import scans as S
 from tidemark.plans import pipeline as P
 
@@ -86,3 +88,10 @@ def test_units_outside_the_window_are_left_out(spark, tmp_path):
     assert got == {(1, 0): 20_000, (1, 1): 20_000} | {(ep, t): 32_500 for ep in (2, 3, 4) for t in range(4)}
     # the last turn's window runs to the horizon
     assert {(r["ep"], r["start"] + r["window"]) for r in P.fit_loop(chunks)[1].where("ep = 1 AND idx = 1 OR ep = 2 AND idx = 3").collect()} == {(1, 19_750), (2, 32_250)}
+
+
+def test_own_measurer_and_rewriter(spark):
+    df = spark.createDataFrame([(1, 0, 0, 0, 6000, 40)], CHUNKS)
+    # a translator that never gives fewer than 30 words, and a voice of 200 ms a word
+    chunks, fitted = P.fit_loop(df.withColumn("total", F.lit(3000).cast("bigint")), 3, lambda n: (sum(n) * 200, []), lambda counts, budgets: [max(30, b) for b in budgets])
+    assert chunks.first()["n_words"] == 30 and fitted.first()["direction"] == "tighter"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -127,3 +127,16 @@ def unsafe_fields(rows: DataFrame, text: str, keys: list[str], names: tuple[str,
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
     return rows.select(*keys, text).mapInPandas(run, schema + ", path string")
+
+
+def require_safe_settings(spark: SparkSession, folder: str, name: str = "config.json") -> int:
+    """The number of settings files under a folder; RuntimeError where there is none, one is no JSON, or one names code."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", "true").load(folder)
+    texts = found.select("path", F.decode("content", "UTF-8").alias("body"))
+    n = texts.count()
+    if not n:
+        raise RuntimeError(f"no {name} under {folder}")
+    bad = unsafe_fields(texts.select(F.col("path").alias("file"), "body"), "body", ["file"])
+    told = F.when(F.col("path") == "!", F.concat(F.col("file"), F.lit(" is no JSON"))).otherwise(F.concat_ws(" in ", "path", "file"))
+    require_none(bad, told, "unsafe settings")
+    return n

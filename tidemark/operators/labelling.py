@@ -43,18 +43,7 @@ def label_by_overlap(spans: DataFrame, kept: DataFrame, named: DataFrame, keys:
     `kept` are the named segments of `kept_segments`. The first segment wins ties; a span that none overlaps
     gets the name of the episode's first-ranked speaker, or 'spk_0' where there is none.
     """
-    right = kept.select("ep", F.col("s").alias("_s"), F.col("e").alias("_e"), "speaker")
-    on = (F.col("s") < F.col("_e")) & (F.col("_s") < F.col("e"))
-    pairs = overlap_join(spans.select(*keys, "s", "e"), right, "ep", ("s", "e"), ("_s", "_e"), on)
-    share = F.least("e", "_e") - F.greatest("s", "_s")
-    best = pairs.where(share > 0).groupBy(*keys).agg(F.min_by("speaker", F.struct(-share, "_s", "_e", "speaker")).alias("_best"))
-    top = named.where("rank = 0").select("ep", F.col("name").alias("_top"))
-    return (
-        spans.join(best, list(keys), "left")
-        .join(top, "ep", "left")
-        .withColumn("speaker", F.coalesce("_best", "_top", F.lit("spk_0")))
-        .drop("_best", "_top")
-    )
+    return _or_first(spans.join(_best_overlap(spans, kept, keys), list(keys), "left"), named)
 
 
 def handoff_cuts(phrases: DataFrame, kept: DataFrame) -> DataFrame:
@@ -104,20 +93,38 @@ def split_at_cuts(words: DataFrame, cuts: DataFrame) -> DataFrame:
     return both.select("ep", "idx", F.inline(_parts(F.col("words"), F.col("_cuts")))).withColumn("n_words", F.size("words").cast("bigint"))
 
 
-def label_pieces(phrases: DataFrame, words: DataFrame, merged: DataFrame, names: DataFrame) -> DataFrame:
+def label_pieces(phrases: DataFrame, kept: DataFrame, named: DataFrame) -> DataFrame:
     """Phrases cut at handoffs, each piece under the speaker of most of it: ep, idx, bucket, s, e, text, words, speaker.
 
-    `phrases` are (ep, idx, s, e, text), `words` their words, `merged` merged segments and `names` the names of an
-    episode by rank. Speakers under 1 % of the time are left out first. A phrase without a cut or without
-    words stays one piece with bucket 0, and each piece is labelled by itself. Phrases, words and cuts meet once.
+    `phrases` are (ep, idx, s, e, text, words), with words as arrays of structs (word, ws, we) and unique (ep, idx);
+    `named` and `kept` come from `named_speakers` and `kept_segments`. A phrase without a cut or without
+    words stays one piece with bucket 0, and each piece is labelled by itself. What the joins on time move are
+    keys and times; texts and words are only moved to their phrase.
     """
-    named = named_speakers(speaker_ranks(merged), names)
-    kept = kept_segments(merged, named)
     lists = handoff_cuts(phrases, kept).groupBy("ep", "idx").agg(F.collect_set("cut2").alias("_cuts"))
-    rows = phrases.join(words_by_phrase(words), ["ep", "idx"], "left").join(lists, ["ep", "idx"], "left")
     whole = F.array(F.struct(F.lit(0).alias("bucket"), "s", "e", "text", "words"))
-    parts = F.when(F.col("_cuts").isNull() | F.col("words").isNull(), whole).otherwise(_parts(F.col("words"), F.col("_cuts")))
-    return label_by_overlap(rows.select("ep", "idx", F.inline(parts)), kept, named, ("ep", "idx", "bucket"))
+    uncut = F.col("_cuts").isNull() | F.coalesce(F.size("words") <= 0, F.lit(True))
+    parts = F.when(uncut, whole).otherwise(_parts(F.col("words"), F.col("_cuts")))
+    cut = phrases.join(lists, ["ep", "idx"], "left")
+    spans = cut.select("ep", "idx", F.inline(parts)).select("ep", "idx", "bucket", "s", "e")
+    by_piece = _best_overlap(spans, kept, ("ep", "idx", "bucket")).groupBy("ep", "idx").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "_best"))).alias("_said"))
+    told = cut.join(by_piece, ["ep", "idx"], "left").select("ep", "idx", "_said", F.inline(parts))
+    return _or_first(told.withColumn("_best", F.col("_said")[F.col("bucket")]).drop("_said"), named)
+
+
+def _best_overlap(spans: DataFrame, kept: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, _best): the speaker whose segment overlaps a span most, for spans that one overlaps; the first wins ties."""
+    right = kept.select("ep", F.col("s").alias("_s"), F.col("e").alias("_e"), "speaker")
+    on = (F.col("s") < F.col("_e")) & (F.col("_s") < F.col("e"))
+    pairs = overlap_join(spans.select(*keys, "s", "e"), right, "ep", ("s", "e"), ("_s", "_e"), on)
+    share = F.least("e", "_e") - F.greatest("s", "_s")
+    return pairs.where(share > 0).groupBy(*keys).agg(F.min_by("speaker", F.struct(-share, "_s", "_e", "speaker")).alias("_best"))
+
+
+def _or_first(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows with _best as speaker, else the episode's first-ranked name, else 'spk_0'."""
+    top = named.where("rank = 0").select("ep", F.col("name").alias("_top"))
+    return rows.join(top, "ep", "left").withColumn("speaker", F.coalesce("_best", "_top", F.lit("spk_0"))).drop("_best", "_top")
 
 
 def clean_segments(segs: DataFrame, least_ms: int = 4000, most_ms: int = 12000, clear_ms: int = 200) -> DataFrame:

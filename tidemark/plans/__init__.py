@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that register queries when they are imported.
-MODULES = ("periods", "timeline", "records", "signals", "pipeline")
+MODULES = ("periods", "timeline", "records", "signals", "pipeline", "exchange")
 
 
 def load() -> tuple[dict, dict]:

@@ -40,6 +40,14 @@ def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ep", "idx", to_ms(F.col("start_s")).alias("s"), to_ms(F.col("end_s")).alias("e"), "text").where("s >= 0 AND e >= s").distinct()
 
 
+def spoken_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases (ep, idx, s, e, text, words) with their words as structs (word, ws, we) with times in order."""
+    rows = table(spark, sf_dir, "phrases")
+    said = F.transform("words", lambda w: F.struct(w["text"].alias("word"), to_ms(w["start_s"]).alias("ws"), to_ms(w["end_s"]).alias("we")))
+    cols = ("ep", "idx", to_ms(F.col("start_s")).alias("s"), to_ms(F.col("end_s")).alias("e"), "text", F.filter(said, lambda w: (w["ws"] >= 0) & (w["we"] >= w["ws"])).alias("words"))
+    return rows.select(*cols).where("s >= 0 AND e >= s").dropDuplicates(["ep", "idx"])
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Translated units (ep, idx, s, e, speaker, source_text, target_text)."""
     rows = table(spark, sf_dir, "translation_units")

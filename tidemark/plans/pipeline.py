@@ -53,14 +53,17 @@ def spoken(counts: list[int]) -> tuple[int, list[int]]:
     return sum(counts) * MS_A_WORD + (len(counts) - 1) * 150 + 100, pauses
 
 
-def fit_loop(chunks: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def fit_loop(
+    chunks: DataFrame, rounds: int = ROUNDS, spoken: S.Measurer = spoken, rewrite: S.Rewriter = lambda counts, budgets: budgets
+) -> tuple[DataFrame, DataFrame]:
     """(chunks, assessment) after at most `rounds` rewrites of the turns that miss their windows.
 
-    A stand-in translator meets its word budget exactly; budgets are those of `scans.rewrite_budgets`.
+    `spoken` measures and `rewrite` rewrites a turn; the stand-ins speak at a fixed rate and meet their budgets.
+    Budgets are those of `scans.rewrite_budgets`.
     """
     # without a horizon the last end counts: a window, as a join would compute the chunks twice
     total = F.col("total") if "total" in chunks.columns else F.max("e").over(Window.partitionBy("ep")) + 500
-    fitted = S.fit_turns(chunks.select("ep", "turn_id", "part_index", "s", "n_words", total.alias("total")), rounds, spoken)
+    fitted = S.fit_turns(chunks.select("ep", "turn_id", "part_index", "s", "n_words", total.alias("total")), rounds, spoken, rewrite)
     words = fitted.select("ep", F.col("idx").cast("int").alias("turn_id"), F.posexplode("counts").alias("part_index", "n_words"))
     return chunks.drop("n_words").join(words, ["ep", "turn_id", "part_index"]), fitted.drop("counts")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import word_count
@@ -13,6 +13,7 @@ from tidemark.operators import scans as S
 from tidemark.plans import base as B
 from tidemark.plans import sequential as Q
 from tidemark.plans.registry import query, table
+from tidemark.session import cut_lineage, small
 
 
 @query(f"WITH {B.SEG}, {B.MERGED} SELECT ep, idx, s, e, speaker, n_rows FROM merged")
@@ -27,10 +28,10 @@ def speaker_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(merged segments, named speakers, named segments), the first read from a checkpoint."""
+    """(merged segments, named speakers, named segments), all read from checkpoints, as plans use them several times."""
     merged = B.merged_segments(spark, sf_dir, once=True)
-    named = LB.named_speakers(LB.speaker_ranks(merged), B.roster_names(spark, sf_dir))
-    return merged, named, LB.kept_segments(merged, named)
+    named = cut_lineage(LB.named_speakers(LB.speaker_ranks(merged), B.roster_names(spark, sf_dir)))
+    return merged, named, cut_lineage(LB.kept_segments(merged, small(named)))
 
 
 _BEST = """ov AS (SELECT p.ep, p.idx, m.speaker, row_number() OVER (PARTITION BY p.ep, p.idx ORDER BY least(p.e, m.e) - greatest(p.s, m.s) DESC, m.s, m.e, m.speaker) AS k
@@ -78,14 +79,14 @@ plab AS (SELECT p.*, coalesce(o.speaker, t.name, 'spk_0') AS speaker FROM pieces
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = B.merged_segments(spark, sf_dir, once=True)
-    return LB.label_pieces(B.phrases(spark, sf_dir), B.words(spark, sf_dir), merged, B.roster_names(spark, sf_dir))
+    _, named, kept = _labelled(spark, sf_dir)
+    return LB.label_pieces(B.spoken_phrases(spark, sf_dir), kept, named)
 
 
 @query(f"WITH {_KEPT}, {_CUTS}, {B.WRD}, {_BUCKETS}, {_PIECES} SELECT ep, idx, CAST(bucket AS INT) AS bucket, s, e, text, CAST(n_words AS INT) AS n_words, speaker FROM plab")
 def labelled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases cut at handoffs, every piece labelled by itself."""
-    return _pieces(spark, sf_dir).select("ep", "idx", "bucket", "s", "e", "text", F.coalesce(F.size("words"), F.lit(0)).alias("n_words"), "speaker")
+    return _pieces(spark, sf_dir).select("ep", "idx", "bucket", "s", "e", "text", F.greatest(F.coalesce(F.size("words"), F.lit(0)), F.lit(0)).alias("n_words"), "speaker")
 
 
 _CLEAN = """clean AS (SELECT m.* FROM merged m WHERE m.e - m.s BETWEEN 4000 AND 12000 AND NOT EXISTS (
@@ -208,9 +209,8 @@ def timeline_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(Q.PHRASE_GROUP)
 def phrase_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("ep").orderBy("idx", "word_no")
-    words = B.words(spark, sf_dir).where("word IS NOT NULL").select("ep", F.row_number().over(w).alias("word_no"), F.col("ws").alias("s"), F.col("we").alias("e"), "word")
-    return S.group_phrases(words)
+    words = B.words(spark, sf_dir).where("word IS NOT NULL").select("ep", "idx", "word_no", F.col("ws").alias("s"), F.col("we").alias("e"), "word")
+    return S.group_phrases(words, order=("idx", "word_no"))
 
 
 @query(Q.SUBTITLE_UNITS)

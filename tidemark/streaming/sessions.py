@@ -23,14 +23,17 @@ def windowed_activity(events: DataFrame, ts: str, key: str, window: str = "1 min
 TURN = "ep bigint, speaker string, start_s double, end_s double, n_rows bigint"
 
 
-def session_turns(rows: DataFrame, gap_s: float = 2.5) -> DataFrame:
+def session_turns(rows: DataFrame, gap_s: float = 2.5, order: str | None = None) -> DataFrame:
     """Turns of a stream of rows (ep, at, start_s, end_s, speaker): a pause or another speaker ends a turn.
 
     The pause counts from the end of the turn's last row, as in the batch form; the turn's end is the latest one.
     The open turn of an episode is the state; it is put out when the next turn opens or the watermark on `at`
-    passes its last row by a minute. Rows are taken in order of start inside a micro-batch.
+    passes its last row by a minute. Rows are taken in order of start and end, then of the column `order`, inside a
+    micro-batch, whose rows of one episode are held together: the source's trigger options bound them.
     """
 
+    ties = [order] if order else []
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cur = list(state.get) if state.exists else None
         out = []
@@ -39,8 +42,9 @@ def session_turns(rows: DataFrame, gap_s: float = 2.5) -> DataFrame:
                 out.append((key[0], *cur[:4]))
             state.remove()
         else:
-            for pdf in batches:
-                for r in pdf.sort_values(["start_s", "end_s"]).itertuples():
+            # the rows of one episode in one micro-batch
+            for pdf in [pd.concat(list(batches))]:
+                for r in pdf.sort_values(["start_s", "end_s", *ties]).itertuples():
                     at = int(r.at_ms)
                     if cur and cur[0] == r.speaker and r.start_s - cur[4] <= gap_s:
                         cur = [cur[0], cur[1], max(cur[2], r.end_s), cur[3] + 1, r.end_s, max(cur[5], at)]
@@ -54,7 +58,7 @@ def session_turns(rows: DataFrame, gap_s: float = 2.5) -> DataFrame:
         yield pd.DataFrame(out, columns=["ep", "speaker", "start_s", "end_s", "n_rows"])
 
     return (
-        rows.select("ep", "at", F.unix_millis("at").alias("at_ms"), "start_s", "end_s", "speaker")
+        rows.select("ep", "at", F.unix_millis("at").alias("at_ms"), "start_s", "end_s", "speaker", *ties)
         .withWatermark("at", "1 minute")
         .groupBy("ep")
         .applyInPandasWithState(step, TURN, "speaker string, start_s double, end_s double, n_rows bigint, last_s double, at_ms bigint", "append", GroupStateTimeout.EventTimeTimeout)
