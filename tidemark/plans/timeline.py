@@ -27,10 +27,14 @@ def speaker_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LB.named_speakers(ranks, B.roster_names(spark, sf_dir)).select("ep", "speaker", "total_ms", "rank", "name")
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(merged segments, named speakers, named segments), all read from checkpoints, as plans use them several times."""
+def _labelled(spark: SparkSession, sf_dir: str, twice: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(merged segments, named speakers, named segments); the first is read from a checkpoint, with `twice` all are,
+    for plans that use the segments more than once."""
     merged = B.merged_segments(spark, sf_dir, once=True)
-    named = cut_lineage(LB.named_speakers(LB.speaker_ranks(merged), B.roster_names(spark, sf_dir)))
+    named = LB.named_speakers(LB.speaker_ranks(merged), B.roster_names(spark, sf_dir))
+    if not twice:
+        return merged, named, LB.kept_segments(merged, named)
+    named = cut_lineage(named)
     return merged, named, cut_lineage(LB.kept_segments(merged, small(named)))
 
 
@@ -79,7 +83,7 @@ plab AS (SELECT p.*, coalesce(o.speaker, t.name, 'spk_0') AS speaker FROM pieces
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, named, kept = _labelled(spark, sf_dir)
+    _, named, kept = _labelled(spark, sf_dir, twice=True)
     return LB.label_pieces(B.spoken_phrases(spark, sf_dir), kept, named)
 
 
