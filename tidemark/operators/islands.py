@@ -45,7 +45,9 @@ def neighbour(rows: DataFrame, order: list[str], values: dict[str, str], block:
     told = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
     near = _blocks(rows, order, block).withColumn("_own", told).withColumn("_next", F.lead("_own").over(w)).withColumn("_k", F.row_number().over(w))
     near = near.withColumn("_near", F.col("_next") if ahead else F.lag("_own").over(w))
-    placed = near.withColumn("_place", F.when((F.col("_k") == 1) | F.col("_next").isNull(), F.lit(-1)).otherwise(F.col("_b")))
+    # what moves on is the neighbour found, and of an edge its own values
+    edge = (F.col("_k") == 1) | F.col("_next").isNull()
+    placed = near.select(*rows.columns, "_b", "_near", F.when(edge, F.col("_own")).alias("_own"), F.when(edge, F.lit(-1)).otherwise(F.col("_b")).alias("_place"))
     v = Window.partitionBy("ep", "_place").orderBy("_b", *order)
     # a null in the block means the neighbour lies beyond it: it is the next edge
     far = placed.withColumn("_met", F.coalesce("_near", F.when(F.col("_place") == -1, shift("_own").over(v))))

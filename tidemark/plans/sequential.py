@@ -22,7 +22,7 @@ r AS (SELECT ep, n, 0 AS no, s, e, speaker, text, 1 AS n_cues, greatest(0, e //
     CASE WHEN goes THEN r.text || ' ' || o.text ELSE o.text END, CASE WHEN goes THEN r.n_cues + 1 ELSE 1 END, greatest(0, o.e // 500 - o.s // 500) + CASE WHEN goes THEN r.n_frames ELSE 0 END
   FROM r JOIN o ON o.ep = r.ep AND o.n = r.n + 1,
   LATERAL (SELECT r.speaker IS NOT DISTINCT FROM o.speaker AND NOT regexp_matches(r.text, '[.!?…。！？]["''”’»)]*\\s*$') AND o.s - r.e <= 1200 AND o.e - r.s <= 15000 AS goes) g)
-SELECT ep, CAST(no AS INT) AS unit_no, s, e, speaker, text, CAST(n_cues AS INT) AS n_cues, CAST(n_frames AS INT) AS n_frames FROM (SELECT *, row_number() OVER (PARTITION BY ep, no ORDER BY n DESC) AS k FROM r) WHERE k = 1"""
+SELECT ep, CAST(no AS INT) AS unit_no, s, e, speaker, text, CAST(n_cues AS INT) AS n_cues, CAST(n_frames AS BIGINT) AS n_frames FROM (SELECT *, row_number() OVER (PARTITION BY ep, no ORDER BY n DESC) AS k FROM r) WHERE k = 1"""
 
 #: Needs the CTE plab (labelled pieces). held: the piece that may grow; ahead: an orphan that waits for the next piece.
 ORPHANS = """o AS (SELECT ep, idx, bucket, s, e, speaker, coalesce(text, '') AS text, n_words, row_number() OVER (PARTITION BY ep ORDER BY idx, bucket) AS n FROM plab),

@@ -220,7 +220,8 @@ def phrase_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(Q.SUBTITLE_UNITS)
 def subtitle_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = B.units(spark, sf_dir).select("ep", "idx", "s", "e", "speaker", F.col("target_text").alias("text"))
-    return S.sentence_units(cues).withColumn("n_frames", F.size("frames")).drop("frames")
+    n = F.aggregate("frames", F.lit(0).cast("bigint"), lambda a, x: a + x["until"] - x["first"])
+    return S.sentence_units(cues).withColumn("n_frames", n).drop("frames")
 
 
 @query(f"""WITH RECURSIVE {_KEPT}, {_CUTS}, {B.WRD}, {_BUCKETS}, {_PIECES}, {Q.ORPHANS}
