@@ -336,7 +336,7 @@ def _after_pair(text: str, sent_start: int, i: int, j: int) -> bool:
 
 
 #: A path of the lattice: score, start of the open sentence, last list number, and the cuts so far, linked.
-Path_ = tuple[float, int, int, "tuple | None"]
+Partial = tuple[float, int, int, "tuple | None"]
 
 
 def _ends_of(text: str, m: regex.Match, start: int) -> tuple[int, float]:
@@ -411,15 +411,15 @@ def _best_cuts(text: str, thai: bool, words: Words) -> list[int]:
     if not events or len(events) == 1 and events[0][1] == "t" and _skip(text, events[0][2].end()) >= n:
         return []
     gains: dict[int, float] = {}  # of gaps and blanks, which don't depend on the path
-    places: dict[int, dict[int, Path_]] = {0: {first: (0.0, first, 1 if _LIST_START.match(text) else 0, None)}}
+    places: dict[int, dict[int, Partial]] = {0: {first: (0.0, first, 1 if _LIST_START.match(text) else 0, None)}}
 
-    def put(k: int, p: Path_) -> None:
+    def put(k: int, p: Partial) -> None:
         here = places.setdefault(k, {})
         old = here.get(p[1])
         if old is None or p[0] > old[0]:
             here[p[1]] = p
 
-    def fork(k: int, p: Path_, end: int, gain: float, to: int, number: int = -1) -> None:
+    def fork(k: int, p: Partial, end: int, gain: float, to: int, number: int = -1) -> None:
         """Both edges at a place where a sentence may end, or only the likely one where it is sure."""
         if end > p[1] and gain > -SURE:
             start = _skip(text, end)
