@@ -9,6 +9,7 @@ addresses, speaker names and clock times inside a sentence don't count.
 from __future__ import annotations
 
 import random
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +35,7 @@ class Fit:
     rows: int = 20  # of an episode
     longest: int = 2_000  # characters of a sampled row
     bytes_each: int = 60_000  # of sample text of each language
-    batches: int = 2  # of an episode's translation log, for the pairs
+    batches: int = 2  # of an episode's translation log, for a sample of the pairs
     order: int = 4
     switch_bits: float = 30.0  # for a language that is new to a document
     known_bits: float = 4.0  # between languages that a document is known to hold
@@ -50,14 +51,21 @@ UNKNOWN = "und"
 LABELS = {name: code for code, names in L.LANGUAGE_NAMES.items() for name in (code, *names.split())}
 
 _QUOTE = regex.compile(r"“[^“”]{1,400}”|„[^„“”]{1,400}[“”]|«[^«»]{1,400}»|「[^「」]{1,400}」|『[^『』]{1,400}』|\"[^\"\n]{1,400}\"")
-_QUOTE_MARK = regex.compile("[“„«「『\"]")
+_QUOTE_MARK = re.compile("[“„«「『\"]")
 _ADDRESS = regex.compile(r"\S*[\p{Latin}\d]\.[\p{Latin}]{3,}[\p{Latin}/.]*")
+#: What any address holds; its own pattern is slow.
+DOTTED = re.compile(r"\S\.\S{3}")
 _CLOCKS = regex.compile(r"\[[^\]\n]{1,20}\]|\d{1,2}:\d{2}:\d{2}[.,]\d{1,3}(?:\s*-->\s*\d{1,2}:\d{2}:\d{2}[.,]\d{1,3})?")
 _NAME = regex.compile(r"^[\s\d>•*\-–—#.)\[\]]*\p{Lu}[\p{L}\p{M}.'’]{0,24}(?:[ _]\p{L}[\p{L}\p{M}.]{0,24}){0,2}\s*(?:[:：]|\s[—–])(?:\s|$)")
 _WRAP = regex.compile(r"(?<=\p{L})-\s*\n\s*(?=\p{Ll})")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 _LATIN = regex.compile(r"\p{Latin}+")
+#: A letter of another script than Latin stands above the first range; a lower-case Latin one in the second ranges.
+_BEYOND = re.compile("[\u0250-\U0010ffff]")
+_MAY_LATIN = re.compile("[a-z\u00aa-\u02ff\u1d00-\u1eff\u2071-\u2188\u2c60-\u2c7f\ua720-\uab6f\ufb00-\ufb06\uff21-\uff5a\U00010780-\U000107ff\U0001df00-\U0001dfff]")
+#: Blanks for what is no letter of an ASCII text.
+_ASCII_LETTERS = {c: c if chr(c).isalpha() else " " for c in range(128)}
 _THAI_PART = regex.compile(r"\s+")
 _WORDS = regex.compile(r"\p{L}{2,}")
 _THAI_LETTER = regex.compile(r"\p{Thai}")
@@ -84,19 +92,21 @@ def plain(sentence: str) -> bytes:
     """What the models read of a sentence: lower-case letters and single blanks."""
     s = sentence if sentence.isascii() else unicodedata.normalize("NFKC", sentence)
     # each pattern is tried only where a mark it needs stands
-    for gone, may in ((_QUOTE, _QUOTE_MARK.search(s)), (_ADDRESS, 0 <= s.find(".") < len(s) - 1), (_CLOCKS, "[" in s or s.count(":") > 1)):
+    for gone, may in ((_QUOTE, _QUOTE_MARK.search(s)), (_ADDRESS, "." in s and DOTTED.search(s)), (_CLOCKS, "[" in s or s.count(":") > 1)):
         if not may:
             continue
         cut = gone.sub(" ", s)
         if _LETTER.search(cut):
             s = cut
-    m = _NAME.match(s)
+    m = _NAME.match(s) if ":" in s or "—" in s or "–" in s else None
     if m:
         s = s[m.end() :]
     if "-" in s and "\n" in s:
         s = _WRAP.sub("", s)
+    if s.isascii():
+        return " ".join(s.translate(_ASCII_LETTERS).split()).lower().encode()
     s = _OTHER.sub(" ", s).strip().lower()
-    if not s.isascii():
+    if _BEYOND.search(s) and _MAY_LATIN.search(s):
         latin = sum(map(len, _LATIN.findall(s)))
         if 0 < latin < 0.7 * sum(map(len, s.split())):
             cut = _OTHER.sub(" ", _LATIN.sub(" ", s)).strip()

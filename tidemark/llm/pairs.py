@@ -22,6 +22,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import lexicon as L
-from tidemark.llm.langid import plain
+from tidemark.llm.langid import DOTTED, plain
 from tidemark.llm.ppm import ByteModels
 from tidemark.llm.sentences import _token, spans
 from tidemark.session import share, shared
@@ -47,7 +48,7 @@ UNMARKED = ("th",)
 _STEM = re.compile("|".join(map(re.escape, L.REFUSAL_STEMS)))
 _REFUSAL = regex.compile("|".join(L.REFUSALS), regex.I)
 _ADDRESS = regex.compile(r"\S*[\p{Latin}\d]\.[\p{Latin}]{3,}[\p{Latin}/.]*")
-_QUOTE_MARK = regex.compile("[“„«「\"]")
+_QUOTE_MARK = re.compile("[“„«「\"]")
 _QUOTE = regex.compile(r"“[^“”]{1,400}”|„[^„“”]{1,400}[“”]|«[^«»]{1,400}»|「[^「」]{1,400}」|\"[^\"\n]{1,400}\"")
 #: One to three capitalised words without an end mark: a name, which reads the same everywhere, unless the dictionaries know them.
 _NAME = regex.compile(r"\p{Lu}[\p{Latin}\p{Cyrillic}'’-]+(?:\s+\p{Lu}[\p{Latin}\p{Cyrillic}.'’-]*){0,2}")
@@ -57,9 +58,9 @@ _CLOSERS = "”»」』\"“)）]】’'"
 def words(text: str) -> list[str]:
     """Dictionary entries of a text: words, and character pairs of scripts without spaces."""
     out = []
-    if 0 <= text.find(".") < len(text) - 1:
+    if "." in text and DOTTED.search(text):
         text = _ADDRESS.sub(" ", text)
-    dense = bool(text) and max(text) >= "\u0e00"
+    dense = not text.isascii() and max(text) >= "\u0e00"
     for w in _WORD.findall(text.lower()):
         if not dense or not _DENSE.search(w):
             out.append(w)
@@ -100,16 +101,25 @@ def breaks_off(text: str, seen: dict[str, tuple[int, int, int]]) -> bool:
     return False
 
 
+#: How often a context must have ended a text to count.
+LEAST_CLOSINGS = 5
+
+
 def _closing(text: str) -> str:
     """The context at the end of a normalised text: its last two words, or four letters of a script without spaces."""
     ws = text.split()
     return "".join(ws)[-4:] if ws and _DENSE.search(ws[-1]) else " ".join(ws[-2:])
 
 
-def closing_contexts(texts: list[str], least: int = 5) -> dict[str, float]:
-    """Contexts seen at least `least` times and the share of those that ended their text, where it passes one half."""
+def ends_dense(text: str) -> bool:
+    """Whether the last word of a normalised text has letters of a script without spaces."""
+    last = text.rpartition(" ")[2]
+    return not last.isascii() and max(last) >= "\u0e00" and _DENSE.search(last) is not None
+
+
+def closing_counts(texts: list[str]) -> tuple[Counter, Counter]:
+    """How often each context stands in the texts, and how often it ends its text."""
     seen: Counter = Counter()
-    ended = Counter(map(_closing, texts))
     for t in texts:
         ws = t.split()
         if ws and _DENSE.search(ws[-1]):
@@ -117,12 +127,22 @@ def closing_contexts(texts: list[str], least: int = 5) -> dict[str, float]:
             seen.update(run[i - 4 : i] for i in range(4, len(run) + 1))
         else:
             seen.update(" ".join(ws[i - 1 : i + 1]) for i in range(1, len(ws)))
+    return seen, Counter(map(_closing, texts))
+
+
+def closing_contexts(texts: list[str], least: int = LEAST_CLOSINGS) -> dict[str, float]:
+    """Contexts seen at least `least` times and the share of those that ended their text, where it passes one half."""
+    seen, ended = closing_counts(texts)
     return {c: n / seen[c] for c, n in ended.items() if n >= least and 2 * n > seen[c] > 0}
 
 
+#: How often a language must have used a word to know it, and in how many bytes of its text; fewer bytes count as so many.
+LEAST_WORDS, FIT_BYTES = 3, 120_000
+
+
 @dataclass
 class Dictionaries:
-    """Words of each language with log relative frequencies, from a bounded labelled sample."""
+    """Words of each language with log relative frequencies, from labelled texts."""
 
     langs: list[str]
     #: row of each word in `table`
@@ -138,22 +158,32 @@ class Dictionaries:
     closings: dict[str, dict[str, float]]
 
     @classmethod
-    def fit(cls, samples: dict[str, list[bytes]], least: int = 3) -> Dictionaries:
-        langs = sorted(samples)
-        log: dict[str, dict[int, float]] = {}
-        lows, length, ends, closings = [], {}, {}, {}
-        for j, g in enumerate(langs):
+    def fit(cls, samples: dict[str, list[bytes]], least: int = LEAST_WORDS) -> Dictionaries:
+        words_of, length, ends, closings = {}, {}, {}, {}
+        for g in samples:
             texts = [t.decode() for t in samples[g] if t]
             length[g] = sum(map(len, texts)) / max(1, len(texts))
             closings[g] = closing_contexts(texts)
             if g in UNMARKED:
                 ends[g] = terminal_contexts(texts)
             counts = Counter(w for t in samples[g] for w in words(t.decode()))
-            total = sum(counts.values()) + 1
-            lows.append(math.log(0.5 / total))
+            words_of[g] = {w: n for w, n in counts.items() if n >= least}, sum(counts.values()), least
+        return cls.from_counts(words_of, length, ends, closings)
+
+    @classmethod
+    def from_counts(
+        cls, words_of: dict[str, tuple[dict[str, int], int, float]], length: dict[str, float], ends: dict[str, dict[str, tuple[int, int, int]]], closings: dict[str, dict[str, float]]
+    ) -> Dictionaries:
+        """Dictionaries from the words each language knows, with their counts, the number of all its words and the least count of a known one."""
+        langs = sorted(words_of)
+        log: dict[str, dict[int, float]] = {}
+        lows = []
+        for j, g in enumerate(langs):
+            counts, total, least = words_of[g][0], words_of[g][1] + 1, words_of[g][2]
+            # an unknown word has a sixth of the least count: half a word where that is 3
+            lows.append(math.log(least / 6 / total))
             for w, n in counts.items():
-                if n >= least:
-                    log.setdefault(w, {})[j] = math.log(n / total)
+                log.setdefault(w, {})[j] = math.log(n / total)
         floor = min(lows, default=-12.0) - 1
         table = np.full((len(log), len(langs)), floor)
         for r, row in enumerate(log.values()):
@@ -165,6 +195,11 @@ class Dictionaries:
         """Rows of the words that any dictionary holds."""
         return [r for r in map(self.rows.get, ws) if r is not None]
 
+    @cached_property
+    def own(self) -> dict[str, set[str]]:
+        """The words of each language."""
+        return {g: {w for w, r in self.rows.items() if self.table[r, j] > self.floor} for j, g in enumerate(self.langs)}
+
     def knows(self, ws: list[str], lang: str) -> np.ndarray:
         """Which of the found words the language has."""
         if lang not in self.langs:
@@ -252,9 +287,13 @@ def language_doubt(target: str, tgt_lang: str, dicts: Dictionaries) -> str | Non
     if tgt_lang not in dicts.langs:
         return None
     ws = words(_QUOTE.sub(" ", target) if _QUOTE_MARK.search(target) else target) or words(target)
-    found = dicts.found(ws)
     if not ws:
         return None
+    own = dicts.own[tgt_lang]
+    known_here = sum(w in own for w in ws)
+    if known_here == sum(w in dicts.rows for w in ws):  # no other language knows more
+        return "unknown" if 2 * known_here < len(ws) else None
+    found = dicts.found(ws)
     mine = dicts.langs.index(tgt_lang)
     table = dicts.table[found]
     known = table > dicts.floor
@@ -291,9 +330,9 @@ def ends_open(text: str) -> bool:
     if t[-1] in "…‥" or t.endswith(".."):
         return True
     for o, c in (("“", "”"), ("«", "»"), ("「", "」"), ("(", ")"), ("（", "）")):
-        if text.count(o) > text.count(c) and (o != "“" or "„" not in text):
+        if o in text and text.count(o) > text.count(c) and (o != "“" or "„" not in text):
             return True
-    if text.count("„") > text.count("“") + text.count("”"):
+    if "„" in text and text.count("„") > text.count("“") + text.count("”"):
         return True
     if text.count('"') % 2:
         return True
@@ -313,7 +352,8 @@ def is_truncated(source: str, target: str, src_lang: str, tgt_lang: str, dicts:
         return False
     if src_lang not in UNMARKED and ends_open(source):
         return False
-    if len(spans(target)) < len(spans(source)):
+    whole = len(spans(source))
+    if whole > 1 and len(spans(target)) < whole:
         return True
     if tgt_lang not in UNMARKED:
         return ends_open(target) and not _complete_unmarked(source, target, src_lang, tgt_lang, dicts)

@@ -65,6 +65,17 @@ def grams(data: np.ndarray, k: int) -> np.ndarray:
     return key
 
 
+def count_strings(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different k-byte strings that end at the bytes of the texts, as integers, and how often; each text starts after k - 1 line feeds."""
+    pad = b"\n" * (k - 1)
+    raw = np.frombuffer(b"".join(pad + t for t in texts), np.uint8)
+    scored = np.ones(len(raw), bool)
+    starts = np.cumsum([0] + [len(t) + k - 1 for t in texts][:-1]) if texts else np.empty(0, np.int64)
+    for i in range(k - 1):
+        scored[starts.astype(np.int64) + i] = False
+    return np.unique(grams(raw, k)[scored], return_counts=True)
+
+
 @dataclass
 class Order:
     """Entries of one context length: code lengths of strings and escapes of contexts."""
@@ -86,24 +97,28 @@ class ByteModels:
     @classmethod
     def fit(cls, samples: dict[str, list[bytes]], order: int = 5) -> ByteModels:
         """Models from sample texts of each language; each text starts after line feeds."""
-        langs = sorted(samples)
+        return cls.from_counts({g: count_strings(samples[g], order + 1) for g in samples}, order)
+
+    @classmethod
+    def from_counts(cls, counted: dict[str, tuple[np.ndarray, np.ndarray]], order: int = 5, escape_bytes: int | None = None) -> ByteModels:
+        """Models from the different strings of order + 1 bytes of each language and how often each stands in its texts.
+
+        With `escape_bytes` an escape weighs as it does in so many bytes of text; else it gets dearer the more text
+        there is, and so would all text of the language that holds a rare word.
+        """
+        langs = sorted(counted)
         m = cls(langs, order)
-        pad = b"\n" * order
-        data = []
-        for g in langs:
-            raw = np.frombuffer(b"".join(pad + t for t in samples[g]), np.uint8)
-            scored = np.ones(len(raw), bool)
-            starts = np.cumsum([0] + [len(t) + order for t in samples[g]][:-1]) if samples[g] else np.empty(0, np.int64)
-            for i in range(order):
-                scored[starts.astype(np.int64) + i] = False
-            data.append((raw, scored))
         n = len(langs)
+        if not n:
+            return m
         below_keys, below_bits = np.zeros(0, np.uint64), np.zeros((0, n), np.float32)
         for k in range(order + 1):
             counts = []
-            for raw, scored in data:
-                keys, c = np.unique(grams(raw, k + 1)[scored], return_counts=True)
-                counts.append((keys, c.astype(np.float64)))
+            for g in langs:
+                # a shorter string stands wherever a longer one ends in it
+                full, c = counted[g]
+                keys, at = np.unique(full & np.uint64((1 << (8 * (k + 1))) - 1), return_inverse=True)
+                counts.append((keys, np.bincount(at, c, len(keys))))
             keys = np.unique(np.concatenate([c[0] for c in counts]))
             ctx = np.unique(keys >> np.uint64(8))
             bits = np.zeros((len(keys), n), np.float32)
@@ -113,10 +128,11 @@ class ByteModels:
                 lower = below_bits[np.searchsorted(below_keys, suffix)]
             else:
                 lower = np.full((len(keys), n), 8.0, np.float32)
-            for j, (own, c) in enumerate(counts):
+            for j, (g, (own, c)) in enumerate(zip(langs, counts, strict=True)):
+                weight = max(1.0, counted[g][1].sum() / escape_bytes) if escape_bytes else 1.0
                 at_ctx = np.searchsorted(ctx, own >> np.uint64(8))
                 total = np.bincount(at_ctx, c, len(ctx))
-                kinds = np.bincount(at_ctx, minlength=len(ctx))
+                kinds = weight * np.bincount(at_ctx, minlength=len(ctx))
                 seen = total > 0
                 esc[seen, j] = -np.log2(kinds[seen] / (total[seen] + kinds[seen]))
                 bits[:, j] = lower[:, j] + esc[np.searchsorted(ctx, keys >> np.uint64(8)), j]

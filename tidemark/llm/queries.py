@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunking import least_length, split_oversized
+from tidemark.llm.counts import fit_models, labelled
 from tidemark.llm.langid import Fit, identify, label_defects, training_texts
 from tidemark.llm.leakage import find_leaks
 from tidemark.llm.mixing import mix_sources
-from tidemark.llm.pairs import Dictionaries, find_defects
+from tidemark.llm.pairs import find_defects
 from tidemark.llm.ppm import ByteModels
 from tidemark.llm.sentences import split_sentences
 from tidemark.llm.turns import cast_of, clean_rows, fit_model, speaker_turns
@@ -42,7 +43,7 @@ def logged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("ep", "idx", F.col("p.id").alias("line_id"), "p.source_text", "p.target_text")
 
 
-#: Bounds of the sample for the pairs.
+#: Bounds of a sample for the pairs, for tests; p1_found fits on all rows.
 PAIR_FIT = Fit(bytes_each=120_000)
 
 
@@ -54,15 +55,21 @@ def pair_samples(spark: SparkSession, sf_dir: str, fit: Fit = PAIR_FIT) -> dict[
     return training_texts(table(spark, sf_dir, "jobs"), texts, fit)
 
 
+def pair_texts(spark: SparkSession, sf_dir: str, langs: DataFrame, logged: DataFrame) -> DataFrame:
+    """(lang, text) of all phrases, units and logged sources, whose languages `langs` has by episode."""
+    phrases, units = (spread(table(spark, sf_dir, t).select("ep", "idx", c), "ep", "idx") for t, c in (("phrases", "text"), ("translation_units", "target_text")))
+    return labelled(langs, [(phrases, "text", "source_lang"), (units, "target_text", "target_lang"), (logged, "source_text", "source_lang")])
+
+
 @query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective logged lines with the type of their defect."""
     jobs = table(spark, sf_dir, "jobs")
     logged = logged_pairs(spark, sf_dir)
-    samples = pair_samples(spark, sf_dir)
-    langs = jobs.groupBy("ep").agg(*[F.first(F.lower(F.trim(c)), ignorenulls=True).alias(c) for c in ("source_lang", "target_lang")])
-    models = Dictionaries.fit(samples), ByteModels.fit(samples, order=4)
-    known = logged.join(small(langs), "ep", "left")
+    # read for each of the three tables of texts and for the pairs
+    langs = small(cut_lineage(jobs.groupBy("ep").agg(*[F.first(F.lower(F.trim(c)), ignorenulls=True).alias(c) for c in ("source_lang", "target_lang")])))
+    models = fit_models(pair_texts(spark, sf_dir, langs, logged))
+    known = logged.join(langs, "ep", "left")
     return find_defects(known, models, ["ep", "idx", "line_id"]).distinct()
 
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -64,7 +65,8 @@ _THAI_EVENT = regex.compile(
 _SPEAKER = regex.compile(r"(?:\[[^\]\n]*\]\s*)?\p{Lu}\p{Latin}*(?: \p{Lu}\p{Latin}*)?[:：]")
 # --- fixed values: German words before an ordinal number
 _BEFORE_ORDINAL = frozenset("am vom zum den der dem die das bis ab seit im jeden".split())
-_THAI = regex.compile(r"\p{Thai}")
+_THAI = re.compile("[\u0e01-\u0e3a\u0e40-\u0e5b]")
+_WIDE = re.compile("[\u3000-\U0010ffff]")
 _BARE = regex.compile(r"[\p{L}\p{N}]")
 _LIST_START = regex.compile(r"\s*1[.)．、]")
 _GAP_NEIGHBOUR = regex.compile(r"[\p{Nd}\p{Latin}.]")
@@ -165,7 +167,7 @@ _FIXED_WORDS = Words.of({})
 
 
 def _is_thai(text: str) -> bool:
-    if max(text) < "\u0e01" or _THAI.search(text) is None:
+    if text.isascii() or _THAI.search(text) is None:
         return False
     letters = len(_THAI.findall(text))
     return 2 * letters > sum(map(str.isalpha, text))
@@ -191,6 +193,9 @@ def _token(text: str, lo: int, hi: int, latin: bool = False) -> str:
     return text[i:hi]
 
 
+_SECOND = {b for _, b in L.INSIDE_PAIRS}
+
+
 def dot_gain(text: str, dot: int, sent_start: int) -> float:
     """Log odds that the single full stop at `dot` ends the sentence that began at `sent_start`."""
     n, after = len(text), dot + 1
@@ -222,7 +227,9 @@ def dot_gain(text: str, dot: int, sent_start: int) -> float:
     low = tok.lower()
     last = low.rpartition(".")[2]
     head = dot - len(tok)
-    prev = _token(text, max(sent_start, dot - 60), _rstrip(text, sent_start, head)).rstrip(".").lower()
+    prev = ""  # the word before, where a rule below asks for it
+    if tok.isdigit() or len(last) == 1 or last in _SECOND or "؀" <= p <= "ۿ":
+        prev = _token(text, max(sent_start, dot - 60), _rstrip(text, sent_start, head)).rstrip(".").lower()
     numbered = prev.rpartition(".")[2] in L.BEFORE_NUMBER  # a line break in "No. 1"
     if tok.isdigit() and len(tok) <= 3 and (_skip(text, sent_start) == head or not numbered and text[max(0, head - 8) : head].rstrip(" \t")[-1:] == "\n"):
         return -6.0  # a list number
@@ -342,10 +349,10 @@ Partial = tuple[float, int, int, "tuple | None"]
 def _ends_of(text: str, m: regex.Match, start: int) -> tuple[int, float]:
     """(end, log odds) of a sentence that ends with the end marks of `m`, closing marks included."""
     n, end, run = len(text), m.end(), m[0]
-    if any(c in HARD for c in run):
-        gain = 6.0
-    elif run == ".":
+    if run == ".":
         gain = dot_gain(text, m.start(), start)
+    elif any(c in HARD for c in run):
+        gain = 6.0
     else:
         gain = 6.0 if _skip(text, end) >= n else -6.0
     if gain > -SURE:
@@ -400,7 +407,7 @@ def _best_cuts(text: str, thai: bool, words: Words) -> list[int]:
     for m in (_THAI_EVENT if thai else _EVENT).finditer(text):
         kind = m.lastgroup if m.lastgroup != "k" else "l"
         events.append((m.start(), kind, m))
-    if not thai and max(text) > "\u2fff":
+    if not thai and not text.isascii() and _WIDE.search(text):
         for m in _SPACELESS_GAP.finditer(text):
             events.append((m.start(), "g", (m.start(), m.end())))
         for m in _UNMARKED.finditer(text):
@@ -437,7 +444,7 @@ def _best_cuts(text: str, thai: bool, words: Words) -> list[int]:
         here = places.pop(k, None)
         if here is None:
             continue
-        for p in sorted(here.values(), key=lambda x: -x[0])[:BEAM]:
+        for p in here.values() if len(here) == 1 else sorted(here.values(), key=lambda x: -x[0])[:BEAM]:
             if i < p[1]:
                 put(k + 1, p)
             elif kind == "t":
