@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import lexicon as L
-from tidemark.llm.langid import plain, romanise, slices
+from tidemark.llm.langid import plains, romanise, slices
 from tidemark.llm.pairs import FIT_BYTES, LEAST_CLOSINGS, LEAST_WORDS, UNMARKED, Dictionaries, closing_counts, ends_dense, words
 from tidemark.llm.ppm import ByteModels, count_strings
 from tidemark.llm.sentences import spans
@@ -161,16 +161,16 @@ def counted(texts: DataFrame, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies: dict[str, Tally] = {}
         for pdf in slices((b.to_pandas() for b in batches), SLICE_CHARS):
-            plains: dict[str, list[bytes]] = {}
+            sentences: dict[str, list[str]] = {}
             for g, t in zip(pdf["lang"], pdf["text"], strict=True):
-                room = plains.setdefault(g, [])
+                room = sentences.setdefault(g, [])
                 for s, e in spans(t):
-                    room.append(plain(t[s:e]))
+                    room.append(t[s:e])
                     other = romanise(t[s:e], g)
                     if other:
-                        room.append(plain(other))
-            for g, room in plains.items():
-                tallies.setdefault(g, Tally(g, order)).add(room)
+                        room.append(other)
+            for g, room in sentences.items():
+                tallies.setdefault(g, Tally(g, order)).add(plains(room))
             if sum(map(len, tallies.values())) > MOST_ENTRIES:
                 for t in tallies.values():
                     yield from t.frames()

@@ -59,6 +59,9 @@ _CLOCKS = regex.compile(r"\[[^\]\n]{1,20}\]|\d{1,2}:\d{2}:\d{2}[.,]\d{1,3}(?:\s*
 _NAME = regex.compile(r"^[\s\d>•*\-–—#.)\[\]]*\p{Lu}[\p{L}\p{M}.'’]{0,24}(?:[ _]\p{L}[\p{L}\p{M}.]{0,24}){0,2}\s*(?:[:：]|\s[—–])(?:\s|$)")
 _WRAP = regex.compile(r"(?<=\p{L})-\s*\n\s*(?=\p{Ll})")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+#: Without these `_cut` changes nothing.
+_CUT_MARK, _DOT = re.compile('[“„«「『"\\[:—–\n]'), re.compile(r"\.\S{3}")
 _LETTER = regex.compile(r"\p{L}")
 _LATIN = regex.compile(r"\p{Latin}+")
 #: A letter of another script than Latin stands above the first range; a lower-case Latin one in the second ranges.
@@ -90,7 +93,14 @@ def label_code(label: str | None) -> str | None:
 
 def plain(sentence: str) -> bytes:
     """What the models read of a sentence: lower-case letters and single blanks."""
-    s = sentence if sentence.isascii() else unicodedata.normalize("NFKC", sentence)
+    s = _cut(sentence if sentence.isascii() else unicodedata.normalize("NFKC", sentence))
+    if s.isascii():
+        return " ".join(s.translate(_ASCII_LETTERS).split()).lower().encode()
+    return _own_script(_OTHER.sub(" ", s).strip().lower()).encode()
+
+
+def _cut(s: str) -> str:
+    """A sentence in normal form without quotations, addresses, clock times and the speaker's name."""
     # each pattern is tried only where a mark it needs stands
     for gone, may in ((_QUOTE, _QUOTE_MARK.search(s)), (_ADDRESS, "." in s and DOTTED.search(s)), (_CLOCKS, "[" in s or s.count(":") > 1)):
         if not may:
@@ -103,16 +113,59 @@ def plain(sentence: str) -> bytes:
         s = s[m.end() :]
     if "-" in s and "\n" in s:
         s = _WRAP.sub("", s)
-    if s.isascii():
-        return " ".join(s.translate(_ASCII_LETTERS).split()).lower().encode()
-    s = _OTHER.sub(" ", s).strip().lower()
+    return s
+
+
+def _own_script(s: str) -> str:
+    """The lower-case letters without Latin words, where they are the smaller part of a text of another script."""
     if _BEYOND.search(s) and _MAY_LATIN.search(s):
         latin = sum(map(len, _LATIN.findall(s)))
         if 0 < latin < 0.7 * sum(map(len, s.split())):
             cut = _OTHER.sub(" ", _LATIN.sub(" ", s)).strip()
             # accented words are Latin throughout
             s = cut or s
-    return s.encode()
+    return s
+
+
+#: Made by `_kept`; a dict, as a cached function does not travel to workers without the package.
+_TABLES: dict[tuple[str, int], np.ndarray] = {}
+
+
+def _kept(kept: regex.Pattern, size: int) -> np.ndarray:
+    """By code point, whether the pattern of a run of characters holds it."""
+    table = _TABLES.get((kept.pattern, size))
+    if table is None:
+        table = _TABLES[kept.pattern, size] = np.zeros(size, bool)
+        for m in kept.finditer("".join(map(chr, range(size)))):
+            table[m.start() : m.end()] = True
+    return table
+
+
+def only(texts: list[str], kept: regex.Pattern, blank: bool) -> str:
+    """A line for each text without line feeds, with the characters in runs of `kept`; others are left out or, with `blank`,
+    make one blank between two runs. All texts are worked on as one array."""
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    if not len(codes):
+        return ""
+    inside = _kept(kept, 0x10000 if codes.max() < 0x10000 else 0x110000)[codes]
+    inside |= codes == ord("\n")
+    if blank:
+        codes = np.where(inside, codes, ord(" "))
+        # the first one of other characters
+        inside[1:] |= inside[:-1] & (codes[1:] == ord(" ")) & (codes[:-1] != ord("\n"))
+    out = codes[inside].tobytes().decode("utf-32-le", "surrogatepass")
+    return out.replace(" \n", "\n").rstrip(" ") if blank else out
+
+
+def plains(sentences: list[str]) -> list[bytes]:
+    """`plain` of each sentence, all in one array."""
+    lines = [s if s.isascii() else unicodedata.normalize("NFKC", s) for s in sentences]
+    for i, s in enumerate(lines):
+        if _CUT_MARK.search(s) or _DOT.search(s):
+            lines[i] = _cut(s).replace("\n", " ")
+    if not lines:
+        return []
+    return [s.encode() if s.isascii() else _own_script(s).encode() for s in only(lines, _LETTERS, True).lower().split("\n")]
 
 
 def _parts(text: str) -> list[tuple[int, int]]:

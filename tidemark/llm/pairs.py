@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -32,20 +33,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import lexicon as L
-from tidemark.llm.langid import DOTTED, plain
+from tidemark.llm.langid import DOTTED, only, plain
 from tidemark.llm.ppm import ByteModels
 from tidemark.llm.sentences import _token, spans
 from tidemark.session import share, shared
 
 _LETTER = regex.compile(r"[\p{L}\p{N}]")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_ASCII_WORD = re.compile("[a-z0-9]+")
 _DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}ー]+")
 _PLAIN = regex.compile(r"[^\p{L}\p{N}]+")
+_KEPT = regex.compile(r"[\p{L}\p{N}]+")
 _PLAIN_MARKS = regex.compile(r"[^\p{L}\p{M}]+")
+#: Any letter of a script without spaces stands here.
+_MAY_DENSE = re.compile("[\u0e00-\U0010ffff]")
+#: Marks at the end of a text that is meant to go on.
+_GOES_ON = re.compile("[,，、;；…‥—–-]|\\.\\.")
 #: Languages whose sentences need no end mark.
 UNMARKED = ("th",)
 #: A quick look for what any refusal holds; the patterns of whole refusals are slow.
-_STEM = re.compile("|".join(map(re.escape, L.REFUSAL_STEMS)))
+_STEM = re.compile("|".join(f"{re.escape(c)}(?:{'|'.join(re.escape(s[1:]) for s in L.REFUSAL_STEMS if s[0] == c)})" for c in dict.fromkeys(s[0] for s in L.REFUSAL_STEMS)))
 _REFUSAL = regex.compile("|".join(L.REFUSALS), regex.I)
 _ADDRESS = regex.compile(r"\S*[\p{Latin}\d]\.[\p{Latin}]{3,}[\p{Latin}/.]*")
 _QUOTE_MARK = re.compile("[“„«「\"]")
@@ -60,11 +67,16 @@ def words(text: str) -> list[str]:
     out = []
     if "." in text and DOTTED.search(text):
         text = _ADDRESS.sub(" ", text)
-    dense = not text.isascii() and max(text) >= "\u0e00"
+    if text.isascii():
+        return [w for w in _ASCII_WORD.findall(text.lower()) if not w.isdigit() and w not in L.SHARED_WORDS]
+    dense = _MAY_DENSE.search(text) is not None and _DENSE.search(text) is not None
     for w in _WORD.findall(text.lower()):
         if not dense or not _DENSE.search(w):
             out.append(w)
             continue
+        if len(w) > 1 and _DENSE.fullmatch(w):
+            out.extend(map(add, w, w[1:]))
+            continue
         for run in _DENSE.findall(w):
             out.extend(run[i : i + 2] for i in range(len(run) - 1)) if len(run) > 1 else out.append(run)
         out.extend(x for x in _DENSE.split(w) if x)
@@ -114,7 +126,7 @@ def _closing(text: str) -> str:
 def ends_dense(text: str) -> bool:
     """Whether the last word of a normalised text has letters of a script without spaces."""
     last = text.rpartition(" ")[2]
-    return not last.isascii() and max(last) >= "\u0e00" and _DENSE.search(last) is not None
+    return not last.isascii() and _MAY_DENSE.search(last) is not None and _DENSE.search(last) is not None
 
 
 def closing_counts(texts: list[str]) -> tuple[Counter, Counter]:
@@ -210,9 +222,9 @@ class Dictionaries:
 def is_empty(source: str | None, target: str | None) -> bool:
     if target is None:
         return True
-    if not source or not _LETTER.search(source):
+    if not source or not source[0].isalpha() and not _LETTER.search(source):
         return False
-    if not _LETTER.search(target):
+    if not target or not target[0].isalpha() and not _LETTER.search(target):
         return True
     t = target.strip().lower().strip("[](){}<>「」【】\"'`*_-–—.:!/\\ ")
     return (t in L.PLACEHOLDERS or t.replace("_", " ") in L.PLACEHOLDERS) and t != source.strip().lower().strip(".!?\"' ")
@@ -242,15 +254,50 @@ def copy_cost(source: str, target: str) -> float:
     return max(0, len(c.compress(raw)) - 9) / max(1, len(raw))
 
 
-def is_copied(source: str, target: str, src_lang: str, tgt_lang: str, dicts: Dictionaries) -> bool:
-    a, b = _PLAIN.sub("", source).casefold(), _PLAIN.sub("", target).casefold()
-    if not a or not b:
+def bare(texts: list[str | None]) -> list[str]:
+    """Letters and digits of each text, in one case."""
+    return only([(t or "").replace("\n", " ") for t in texts], _KEPT, False).casefold().split("\n")
+
+
+def is_copied(source: str, target: str, src_lang: str, tgt_lang: str, dicts: Dictionaries, letters: tuple[str, str] | None = None) -> bool:
+    """`letters` are those of source and target, if they are known (`bare`)."""
+    a, b = letters or (_PLAIN.sub("", source).casefold(), _PLAIN.sub("", target).casefold())
+    if not a or not b or not _near(a, b) and not (len(a) >= 2 and a in b and _only_framed(a, b, target)):
+        return False
+    return _foreign(source, src_lang, tgt_lang, dicts)
+
+
+def _near(a: str, b: str) -> bool:
+    """Whether compression and character runs show the target in the source."""
+    if a != b and _unlike(a, b):
         return False
     # below COPY_BYTES compression can't see a copy; equal or framed texts are compared as they are
     near = copy_cost(a, b) <= (EQUAL_SHARE if a == b else COPY_SHARE) if len(b.encode()) >= COPY_BYTES else a == b
-    if not (near and (a == b or _covers(a, b))) and not (len(a) >= 2 and a in b and _only_framed(a, b, target)):
+    return near and (a == b or _covers(a, b))
+
+
+#: Characters of a target whose first runs are looked up one by one; in longer texts compression is cheaper.
+LOOKED_UP = 200
+
+
+def _run_length(text: str) -> int:
+    return 2 if not text.isascii() and _MAY_DENSE.search(text) and _DENSE.search(text) else 4
+
+
+def _unlike(a: str, b: str) -> bool:
+    """Whether the first runs of a short target already miss more often in the source than `_covers` allows."""
+    if max(len(a), len(b)) > LOOKED_UP:
         return False
-    return _foreign(source, src_lang, tgt_lang, dicts)
+    k = _run_length(a)
+    n = len(b) - k + 1
+    room, missed = max(12, 0.15 * n), set()
+    for i in range(n):
+        run = b[i : i + k]
+        if run not in a:
+            missed.add(run)
+            if len(missed) > room:
+                return True
+    return False
 
 
 def _only_framed(a: str, b: str, target: str) -> bool:
@@ -262,7 +309,7 @@ def _only_framed(a: str, b: str, target: str) -> bool:
 
 def _covers(a: str, b: str) -> bool:
     """Whether nearly all of the target stands in the source and the target holds most of the source."""
-    k = 2 if _DENSE.search(a) else 4
+    k = _run_length(a)
     have = {a[i : i + k] for i in range(len(a) - k + 1)}
     got = {b[i : i + k] for i in range(len(b) - k + 1)}
     if not have or not got:
@@ -290,8 +337,8 @@ def language_doubt(target: str, tgt_lang: str, dicts: Dictionaries) -> str | Non
     if not ws:
         return None
     own = dicts.own[tgt_lang]
-    known_here = sum(w in own for w in ws)
-    if known_here == sum(w in dicts.rows for w in ws):  # no other language knows more
+    known_here = sum(map(own.__contains__, ws))
+    if known_here == sum(map(dicts.rows.__contains__, ws)):  # no other language knows more
         return "unknown" if 2 * known_here < len(ws) else None
     found = dicts.found(ws)
     mine = dicts.langs.index(tgt_lang)
@@ -347,8 +394,7 @@ def ends_open(text: str) -> bool:
 
 
 def is_truncated(source: str, target: str, src_lang: str, tgt_lang: str, dicts: Dictionaries) -> bool:
-    tail = tail_of(source)
-    if any(c in tail for c in ",，、;；…‥—–-") or ".." in tail:
+    if _GOES_ON.search(tail_of(source)):
         return False
     if src_lang not in UNMARKED and ends_open(source):
         return False
@@ -357,8 +403,7 @@ def is_truncated(source: str, target: str, src_lang: str, tgt_lang: str, dicts:
         return True
     if tgt_lang not in UNMARKED:
         return ends_open(target) and not _complete_unmarked(source, target, src_lang, tgt_lang, dicts)
-    tail = tail_of(target)
-    if any(c in tail for c in ",，、;；…‥—–-") or ".." in tail:
+    if _GOES_ON.search(tail_of(target)):
         return True
     if breaks_off(target, dicts.ends.get(tgt_lang, {})):
         return True
@@ -380,7 +425,7 @@ def _complete_unmarked(source: str, target: str, src_lang: str, tgt_lang: str, d
     return share > 0.5 and _relative_length(source, target, src_lang, tgt_lang, dicts) > 0.8
 
 
-def early_defect(source: str | None, target: str | None, src_lang: str, tgt_lang: str, dicts: Dictionaries) -> tuple[str | None, bool]:
+def early_defect(source: str | None, target: str | None, src_lang: str, tgt_lang: str, dicts: Dictionaries, letters: tuple[str, str] | None = None) -> tuple[str | None, bool]:
     """(empty, refusal or copied where one applies, whether the later types are still open)."""
     if is_empty(source, target):
         return "empty", False
@@ -390,7 +435,7 @@ def early_defect(source: str | None, target: str | None, src_lang: str, tgt_lang
         return "refusal", False
     if source.strip() == target.strip() and _NAME.fullmatch(source.strip()) and not _foreign(source, src_lang, tgt_lang, dicts):
         return None, False
-    if is_copied(source, target, src_lang, tgt_lang, dicts):
+    if is_copied(source, target, src_lang, tgt_lang, dicts, letters):
         return "copied", False
     return None, True
 
@@ -402,8 +447,9 @@ def defects(pairs: list[tuple[str | None, str | None, str, str]], dicts: Diction
     """
     out: list[str | None] = []
     open_, doubts = [], []
-    for i, (source, target, a, b) in enumerate(pairs):
-        found, more = early_defect(source, target, a, b, dicts)
+    letters = zip(bare([p[0] for p in pairs]), bare([p[1] for p in pairs]), strict=True)
+    for i, ((source, target, a, b), both) in enumerate(zip(pairs, letters, strict=False)):
+        found, more = early_defect(source, target, a, b, dicts, both)
         out.append(found)
         if more:
             open_.append(i)

@@ -69,6 +69,7 @@ _THAI = re.compile("[\u0e01-\u0e3a\u0e40-\u0e5b]")
 _WIDE = re.compile("[\u3000-\U0010ffff]")
 _BARE = regex.compile(r"[\p{L}\p{N}]")
 _LIST_START = regex.compile(r"\s*1[.)．、]")
+_BLANK = re.compile(r"\s")
 _GAP_NEIGHBOUR = regex.compile(r"[\p{Nd}\p{Latin}.]")
 _SPACELESS_GAP = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}ー])\s+(?=[\p{Han}\p{Hiragana}\p{Katakana}])")
 _SPACELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}]+")
@@ -182,6 +183,9 @@ def _skip(text: str, i: int) -> int:
 
 def _token(text: str, lo: int, hi: int, latin: bool = False) -> str:
     """The run of letters, marks, digits, full stops, apostrophes and hyphens that ends at hi."""
+    word = text[lo:hi].rpartition(" ")[2]
+    if word.isalnum() and (not latin or word.isascii()):
+        return word  # nearly every word
     i = hi
     while i > lo:
         c = text[i - 1]
@@ -351,7 +355,7 @@ def _ends_of(text: str, m: regex.Match, start: int) -> tuple[int, float]:
     n, end, run = len(text), m.end(), m[0]
     if run == ".":
         gain = dot_gain(text, m.start(), start)
-    elif any(c in HARD for c in run):
+    elif run in HARD if len(run) == 1 else any(c in HARD for c in run):
         gain = 6.0
     else:
         gain = 6.0 if _skip(text, end) >= n else -6.0
@@ -400,25 +404,91 @@ def _pair_gain(text: str, i: int, j: int) -> float:
     return 3.0 * (outside + inside) - 2.0
 
 
-def _best_cuts(text: str, thai: bool, words: Words) -> list[int]:
-    """Ends of the sentences on the best path through the lattice of a text, the last one left out."""
-    n = len(text)
-    events: list[tuple[int, str, object]] = []
-    for m in (_THAI_EVENT if thai else _EVENT).finditer(text):
-        kind = m.lastgroup if m.lastgroup != "k" else "l"
-        events.append((m.start(), kind, m))
+#: A place where a sentence could end: start, kind, and its match or span.
+Event = tuple[int, str, object]
+
+
+def _events(text: str, thai: bool) -> list[Event]:
+    events: list[Event] = [(m.start(), m.lastgroup if m.lastgroup != "k" else "l", m) for m in (_THAI_EVENT if thai else _EVENT).finditer(text)]
     if not thai and not text.isascii() and _WIDE.search(text):
-        for m in _SPACELESS_GAP.finditer(text):
-            events.append((m.start(), "g", (m.start(), m.end())))
+        if _BLANK.search(text):
+            for m in _SPACELESS_GAP.finditer(text):
+                events.append((m.start(), "g", (m.start(), m.end())))
         for m in _UNMARKED.finditer(text):
             events.append((m.start(1), "g", (m.start(1), m.start(1))))
         events.sort(key=lambda e: (e[0], e[1] != "g"))
-    at = [e[0] for e in events]
-    first = _skip(text, 0)
-    if not events or len(events) == 1 and events[0][1] == "t" and _skip(text, events[0][2].end()) >= n:
+    return events
+
+
+def _best_cuts(text: str, thai: bool, words: Words) -> list[int]:
+    """Ends of the sentences on the best path through the lattice of a text, the last one left out.
+
+    As long as every edge is sure there is one path, which is followed here; `_lattice` takes over from the first
+    place with two edges.
+    """
+    n, events = len(text), _events(text, thai)
+    size = len(events)
+    if not size or size == 1 and events[0][1] == "t" and _skip(text, events[0][2].end()) >= n:
         return []
+    start, score, last, cuts = _skip(text, 0), 0.0, 1 if _LIST_START.match(text) else 0, None
+    lone: set[str] = set()  # openers without a closing mark in the rest of the text
+    k = 0
+    while k < size:
+        i, kind, m = events[k]
+        to, number, pair = k + 1, last, 0.0
+        if i < start:
+            k = to
+            continue
+        if kind == "t":
+            end, gain = _ends_of(text, m, start)
+        elif kind == "n":
+            end, gain = i, 6.0
+        elif kind == "l":
+            if not last or int(m["k"]) != last + 1:
+                k = to
+                continue
+            end, gain, number = i, 6.0, last + 1
+        elif kind in ("w", "g"):
+            end, b = m.span() if kind == "w" else m
+            gain = _thai_blank(text, end, b, words) if kind == "w" else _gap_gain(text, end, b, words)
+        else:
+            j = -1 if m[0] in lone else _close_of(text, i)
+            if j < 0:
+                lone.add(m[0])
+                k = to
+                continue
+            pair = _pair_gain(text, i, j)
+            if pair < SURE:
+                break
+            while to < size and events[to][0] <= j:
+                to += 1
+            end, gain = j + 1, 5.0 if _after_pair(text, start, i, j) else -5.0
+        if -SURE < gain < SURE and end > start:
+            break
+        score += pair
+        if end > start and gain > -SURE:
+            start, score, last, cuts = _skip(text, end), score + gain, number, (end, cuts)
+            k += 1
+            while k < size and (k < to or events[k][0] < start):
+                if events[k][1] == "l" and last and int(events[k][2]["k"]) == last + 1:
+                    last += 1  # the cut itself ends at the next item of the list
+                k += 1
+        else:
+            k = to
+    if k < size:
+        cuts = _lattice(text, words, events, k, (score, start, last, cuts), lone)
+    out: list[int] = []
+    while cuts:
+        out.append(cuts[0])
+        cuts = cuts[1]
+    return out[::-1]
+
+
+def _lattice(text: str, words: Words, events: list[Event], begin: int, path: Partial, lone: set[str]) -> tuple | None:
+    """The linked cuts of the best path that goes on from `path` at the event `begin`."""
+    at = [e[0] for e in events]
     gains: dict[int, float] = {}  # of gaps and blanks, which don't depend on the path
-    places: dict[int, dict[int, Partial]] = {0: {first: (0.0, first, 1 if _LIST_START.match(text) else 0, None)}}
+    places: dict[int, dict[int, Partial]] = {begin: {path[1]: path}}
 
     def put(k: int, p: Partial) -> None:
         here = places.setdefault(k, {})
@@ -439,8 +509,8 @@ def _best_cuts(text: str, thai: bool, words: Words) -> list[int]:
                 return
         put(to, p)
 
-    lone: set[str] = set()  # openers without a closing mark in the rest of the text
-    for k, (i, kind, m) in enumerate(events):
+    for k in range(begin, len(events)):
+        i, kind, m = events[k]
         here = places.pop(k, None)
         if here is None:
             continue
@@ -478,12 +548,7 @@ def _best_cuts(text: str, thai: bool, words: Words) -> list[int]:
                 if pair < SURE and inner:
                     put(k + 1, p)
     last = max(places.get(len(events), {}).values(), key=lambda x: x[0], default=None)
-    cuts: list[int] = []
-    link = last[3] if last else None
-    while link:
-        cuts.append(link[0])
-        link = link[1]
-    return cuts[::-1]
+    return last[3] if last else None
 
 
 def spans(text: str | None, words: Words | None = None) -> list[tuple[int, int]]:
@@ -503,7 +568,7 @@ def spans(text: str | None, words: Words | None = None) -> list[tuple[int, int]]
                 out[-1] = (out[-1][0], e2)
             else:
                 out.append((s, e2))
-        s = _skip(text, e)
+        s = _skip(text, e) if e < n else n
     return out
 
 
